@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -42,5 +48,38 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 """
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+c AS (SELECT k, doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+w AS (SELECT k, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM c),
+g AS (SELECT k, i, w || chr(1) || lead(w, 1) OVER o || chr(1) || lead(w, 2) OVER o || chr(1) || lead(w, 3) OVER o || chr(1) || lead(w, 4) OVER o AS g
+  FROM w WINDOW o AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT k, i FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+s AS (SELECT k, sum(least(5, coalesce(gap, 5))) AS n FROM (SELECT k, lead(i) OVER (PARTITION BY k ORDER BY i) - i AS gap FROM r) GROUP BY k),
+b AS (SELECT c.k, doc_id, lang, source, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+  coalesce(s.n, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN s ON c.k = s.k),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_ratio,
+  100 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_ratio,
+  1000 * n_repeat_words // greatest(n_words, 1) AS repeat_ratio FROM b),
+m AS (UNPIVOT (SELECT k, lang, source, symbol_ratio, word_length, dup_line_ratio, repeat_ratio FROM f WHERE NOT base_failed)
+  ON symbol_ratio, word_length, dup_line_ratio, repeat_ratio INTO NAME ratio VALUE v),
+x AS (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS v FROM m),
+lv AS (SELECT 0 AS level, lang, source, ratio, v FROM x UNION ALL SELECT 1, lang, NULL, ratio, v FROM x UNION ALL SELECT 2, NULL, NULL, ratio, v FROM x),
+q AS (SELECT level, lang, source, ratio, count(*) AS total, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM lv GROUP BY ALL),
+fe AS (SELECT level, lang, source, ratio, q3 + reach AS high, CASE WHEN ratio = 'word_length' THEN q1 - reach END AS low FROM (
+  SELECT *, CASE ratio WHEN 'symbol_ratio' THEN 3 WHEN 'word_length' THEN 9 ELSE 4 END * greatest(q3 - q1, CASE ratio WHEN 'symbol_ratio' THEN 20 WHEN 'dup_line_ratio' THEN 100 ELSE 50 END) AS reach
+  FROM q WHERE level = 2 OR total >= 200)),
+bad AS (SELECT DISTINCT f.k FROM f JOIN (SELECT k, ratio AS r, v AS val FROM m) u ON f.k = u.k
+  LEFT JOIN fe a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM f.lang AND a.source IS NOT DISTINCT FROM f.source AND a.ratio = u.r
+  LEFT JOIN fe l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM f.lang AND l.ratio = u.r
+  LEFT JOIN fe z ON z.level = 2 AND z.ratio = u.r
+  WHERE u.val > coalesce(a.high, l.high, z.high) OR u.val < coalesce(a.low, l.low, z.low))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbol_ratio, word_length, dup_line_ratio, repeat_ratio,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.k = f.k) AS kept FROM f
+"""
+
+
 def oracle_sql():
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_exact_dedup": OP6_SQL}
