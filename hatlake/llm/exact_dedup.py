@@ -1,7 +1,7 @@
 """Exact dedup by content sort.
 
 Texts are normalised (each run of white space becomes one space), range-partitioned by sampled
-splitters over (text, id), sorted externally inside each partition, and neighbours are compared in
+splitters over (head of the text, hash, id), sorted externally inside each partition, and neighbours are compared in
 full. A group of any size spreads over as many partitions as its rows need, because the id is part
 of the sort key; the runs that touch a partition's edge (two for each partition at most) are joined
 up by SHA-256 in a second, small aggregation.
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, materialise, text_of
 
+#: Characters of a normalised text in a splitter. The driver gets the sampled splitters, so they must be short.
+HEAD_CHARS = 32
+
 RUNS = "id long, sha string, local_keep long, local_size long, first_row boolean, edge boolean, part int"
 
 
@@ -82,9 +85,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.select(
         F.regexp_replace(text_of(text_col), f"{SPACE_CLASS}+", " ").alias("norm"),
         F.col(id_col).cast("long").alias("id"),
-    )
-    order = [F.col("norm").asc(), F.col("id").asc_nulls_last()]
-    rows = materialise(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_runs, RUNS))
+    ).withColumns({"head": F.substring("norm", 1, HEAD_CHARS), "tie": F.xxhash64("norm")})
+    # Equal texts have equal heads and ties, so they stay adjacent; the sampled splitters are short whatever the texts are.
+    by_head, by_id = [F.col("head").asc(), F.col("tie").asc()], F.col("id").asc_nulls_last()
+    dealt = keyed.repartitionByRange(n, *by_head, by_id).sortWithinPartitions(*by_head, F.col("norm").asc(), by_id)
+    rows = materialise(dealt.select("norm", "id").mapInArrow(_runs, RUNS))
 
     # Edge runs: at most two for each partition, so this table is bounded by the number of partitions.
     first = F.struct(F.col("id").isNull().alias("none"), "id", "part")
