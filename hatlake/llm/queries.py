@@ -13,6 +13,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import delete_path, shared_path
+    from .warc import page_report
+
+    path = shared_path(spark, "warc")
+    report = page_report(table(spark, sf_dir, "pages"), path)
+    delete_path(spark, path)  # all that was read from the archives is checkpointed
+    return report
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
