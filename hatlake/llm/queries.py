@@ -13,6 +13,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
@@ -64,6 +70,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 """
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, * FROM documents),
+l AS (SELECT k, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM d),
+n AS (SELECT k, doc_id, source, raw, i, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
+b AS (SELECT line, min(doc_id) AS first_id FROM n WHERE len(string_split(line, ' ')) >= 4 GROUP BY line HAVING count(DISTINCT coalesce('s' || source, 'none')) >= 6),
+t AS (SELECT k, string_agg(raw, chr(10) ORDER BY i) AS text, count(*) AS n FROM n LEFT JOIN b USING (line) WHERE b.line IS NULL OR b.first_id IS NOT DISTINCT FROM doc_id GROUP BY k)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, d.lang, d.source,
+  CASE WHEN coalesce(t.n, 0) = len(string_split(coalesce(d.text, ''), chr(10))) THEN d.n_chars ELSE length(coalesce(t.text, '')) END AS n_chars FROM d LEFT JOIN t ON d.k = t.k
+"""
+
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 c AS (SELECT k, doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -98,4 +114,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql():
-    return {"op3_quality_rules": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_exact_dedup": OP6_SQL}
