@@ -63,6 +63,24 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, ids=False, digests=True)
 
 
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    from .common import delete_path, materialise, shared_path
+    from .rollups import token_rollup
+
+    path = shared_path(spark, "rollups")
+    totals = materialise(token_rollup(table(spark, sf_dir, "documents"), path, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, "byte_bpe_50k"))
+    delete_path(spark, path)
+    return totals
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
