@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,20 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that their Python can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_hatlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="hatlake-")) / "hatlake.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted((root / "hatlake").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._hatlake_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the session's own setting if it has one.
 
@@ -46,8 +63,6 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, for tables that are written and read back."""
-    import uuid
-
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
