@@ -61,12 +61,15 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.zip_with("starts", F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), lambda a, b: F.least(F.lit(5), F.coalesce(b - a, F.lit(5))))
     step = step.select(*counts, F.aggregate(F.when(F.size("starts") > 0, covered).otherwise(F.array().cast("array<int>")), F.lit(0).cast("long"), lambda n, x: n + x).alias("n_repeat_words"))
     part = lambda scale, a, b: F.expr(f"({scale} * {a}) div greatest({b}, 1)")
-    return step.select(
+    step = step.select(
         "*",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         part(1000, "n_symbols", "word_chars").alias("symbol_ratio"), part(100, "word_chars", "n_words").alias("word_length"),
         part(1000, "n_dup_lines", "n_lines").alias("dup_line_ratio"), part(1000, "n_repeat_words", "n_words").alias("repeat_ratio"),
     )
+    # A generator between the steps and what comes after: a filter on a count must not be pushed below it,
+    # where the count would be worked out again inside the filter, lambda by lambda.
+    return step.select("row", F.explode(F.array(F.struct(*[c for c in step.columns if c != "row"]))).alias("f")).select("row", "f.*")
 
 
 def bin_of(value: Column) -> Column:
@@ -86,6 +89,7 @@ def fit_fences(features: DataFrame, lang: Column, source: Column) -> DataFrame:
         .select("lang", "source", "base_failed", ratios.alias("ratio", "bin"))
         .groupBy("lang", "source", "ratio", "bin").agg(F.count_if(~F.col("base_failed")).alias("n"))
     )
+    cohorts = materialise(cohorts)
     # The sketch of a language is the sum of its cohorts' sketches, and that of all rows the sum of those.
     levels = cohorts.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("level")).select(
         "level", F.when(F.col("level") < 2, F.col("lang")).alias("lang"), F.when(F.col("level") < 1, F.col("source")).alias("source"), "ratio", "bin", "n")
