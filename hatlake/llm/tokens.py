@@ -17,7 +17,7 @@ import struct
 import numpy as np
 
 #: Pieces whose ids a worker keeps, and the longest piece that is kept. Memory only: results don't depend on them.
-MEMO_PIECES, MEMO_CHARS = 250_000, 64
+MEMO_PIECES, MEMO_CHARS = 400_000, 64
 
 _SAFE_CUT = re.compile(r"(?<=\S) ")
 _SPACES_RUN = re.compile(r"\s ")
@@ -99,9 +99,26 @@ class Encoder:
         chars = {c: b for b, c in shown.items()}
         vocab = tokenizer.get_vocab(with_added_tokens=False)
         self.token_bytes: list[bytes] = [b""] * (max(vocab.values(), default=-1) + 1)
+        self.marks: dict[str, bytes] = {}
+        self.marks = {mark: self._encode_piece(mark) for mark in ".,;:!?"}
         for token, i in vocab.items():
             self.token_bytes[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
 
+    def _encode_word(self, word: str) -> bytes:
+        """The ids of a space and ``word``, which has no white space that could join the space before it."""
+        if word.isalpha():  # one pre-token
+            ids = [t.id for t in self.model.tokenize((b" " + word.encode()).decode("latin-1").translate(self.shown))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        stem, mark = word[:-1], word[-1:]
+        if mark in self.marks and stem.isalpha():  # two pre-tokens, of which the first is shared with the bare word
+            ids = self.young.get(stem)
+            if ids is None:
+                ids = self.old.get(stem) or self._encode_word(stem)
+                if len(stem) <= MEMO_CHARS:
+                    self.young[stem] = ids
+            return ids + self.marks[mark]
+        return self._encode_piece(" " + word)
+
     def _encode_piece(self, piece: str) -> bytes:
         ids: list[int] = []
         for pre in self.pre_tokens(piece):
@@ -124,7 +141,7 @@ class Encoder:
         young, old = self.young, self.old
         extra: dict[str, bytes] = {}
         for piece in set().union(*[parts[1:] for parts in cut]).difference(young):
-            (young if len(piece) <= MEMO_CHARS else extra)[piece] = old.get(piece) or self._encode_piece(" " + piece)
+            (young if len(piece) <= MEMO_CHARS else extra)[piece] = old.get(piece) or self._encode_word(piece)
         ids = young.__getitem__ if not extra else lambda piece: young.get(piece) or extra[piece]
         return [self._encode_piece(parts[0]) + b"".join(map(ids, parts[1:])) if parts else b"" for parts in cut]
 
