@@ -1,7 +1,7 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 P(word | history) = P(upper class | history) * P(class | upper class, history) * P(word | class). The
-first two are softmaxes of 32 outputs each over hashed features of the history: the word before, the
+first two are softmaxes of 16 outputs each over hashed features of the history: the word before, the
 word before that (a skip feature) and the pair of their classes. The most frequent words are classes of
 their own; other words share a class by their last two bytes, and within a class a word has its
 smoothed relative frequency, with a share for unknown words.
@@ -28,17 +28,19 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions_for, text_of
 from .hashing import U, mix, words_of
 
-UPPER, LOWER = 32, 32
+UPPER, LOWER = 16, 16
 CLASSES = UPPER * LOWER
 #: Words that are classes of their own, and the class of the end of a text.
-TOP_WORDS, END_CLASS = 512, CLASSES - 1
+TOP_WORDS, END_CLASS = 128, CLASSES - 1
 SUFFIX_CLASSES = CLASSES - TOP_WORDS - 1
 #: Rows of each of the two weight tables; row 0 is the bias of the upper softmax.
-FEATURE_BITS = 14
+FEATURE_BITS = 13
 #: Bytes of text in a block, and in a training task.
 BLOCK_BYTES, TRAIN_BYTES = 24 << 20, 96 << 20
 ROUNDS, RATE = 2, 0.15
-ROWS_AT_ONCE = 64
+ROWS_AT_ONCE = 128
+#: Tokens of a gradient step at most.
+STEP_TOKENS = 1 << 16
 #: A hash that stands for the end of a text, and classes that stand for the time before it.
 END_HASH, START_CLASS = U(0xE4D0FA7E87F3C219), CLASSES
 
@@ -168,12 +170,12 @@ class Model:
         """The weight rows of a feature: for the upper softmax, and with the upper class for the lower."""
         shift = U(64 - FEATURE_BITS)
         upper = (feature >> shift).astype(np.int32)
-        lower = (mix(feature + (cls >> 5).astype(U)) >> shift).astype(np.int32)
+        lower = (mix(feature + (cls // LOWER).astype(U)) >> shift).astype(np.int32)
         return upper, lower
 
     def log_probabilities(self, features, cls):
         """ln P of each token's class, with what a gradient step needs: rows, and the probabilities of both softmaxes."""
-        up, low = cls >> 5, cls & 31
+        up, low = cls // LOWER, cls % LOWER
         rows = [self.rows(f, cls) for f in features]
         a, b = np.broadcast_to(self.upper_bias, (len(cls), UPPER)).copy(), self.lower_bias[up]
         for i, j in rows:
@@ -194,8 +196,8 @@ class Model:
         """One AdaGrad step on a batch of tokens."""
         _, rows, a, b = self.log_probabilities(features, cls)
         each = np.arange(len(cls))
-        a[each, cls >> 5] -= 1
-        b[each, cls & 31] -= 1
+        a[each, cls // LOWER] -= 1
+        b[each, cls % LOWER] -= 1
         for pair in rows:
             for table, square, gradient, row in zip((self.upper, self.lower), squares, (a, b), pair, strict=True):
                 order = np.argsort(row.astype(np.uint16), kind="stable")
@@ -226,8 +228,8 @@ def _train(batches: Iterator[pa.RecordBatch], shared, rate: float) -> Iterator[p
         cls = model.classes(hashed, suffix)
         features = model.features(owner, hashed, cls)
         seen = True
-        for low in range(0, len(cls), 1 << 15):
-            part = slice(low, low + (1 << 15))
+        for low in range(0, len(cls), STEP_TOKENS):
+            part = slice(low, low + STEP_TOKENS)
             model.descend([f[part] for f in features], cls[part], squares, rate)
     if seen:
         for table, (new, old) in enumerate(((model.upper, start.upper), (model.lower, start.lower))):
