@@ -94,11 +94,15 @@ def summary(parsed_all: DataFrame, key: str = "msg_id") -> dict[str, DataFrame]:
     return {"totals": totals(parsed_all), "message_types": message_type_counts(good), "segments": segment_counts(good), "field_presence": field_presence(good, key), "parse_errors": parse_failures(parsed_all, key)}
 
 
+def _count_of(shape: str) -> Column:
+    return F.size(F.filter("shapes", lambda x: x == shape))
+
+
 def fingerprint(messages: DataFrame, key: str = "msg_id") -> DataFrame:
     """One row per field path: presence, cardinality and shapes from a single pass over the fields."""
     marks = F.when(is_encoding(), F.array(F.lit("text"))).otherwise(F.transform(F.split("raw", "~", -1), lambda r: shape_of(r, F.col("delims"))))
     rows = present_fields(messages, key).select("path", key, marks.alias("shapes"))
-    counted = [F.sum(F.size(F.filter("shapes", lambda x, s=s: x == s))).alias(f"{s}_count") for s in SHAPES]
+    counted = [F.sum(_count_of(s)).alias(f"{s}_count") for s in SHAPES]
     each = rows.groupBy("path", key).agg(F.count("*").alias("n"), *counted)
     total = messages.agg(F.count("*").alias("all"))
     paths = each.groupBy("path").agg(

@@ -52,8 +52,12 @@ def parse(messages: DataFrame, raw: str = "raw") -> DataFrame:
     error = F.when(F.col("_header_error").isNotNull(), F.struct(F.col("_header_error").alias("code"), F.substring(F.coalesce(msh, F.lit("")), 1, 3).alias("segment_id"))).otherwise(bad)
     step = step.withColumn("parse_error", error)
     ok = F.col("parse_error").isNull()
-    step = step.withColumn("delims", F.when(ok, delims)).withColumn("lines", F.when(ok, F.transform("_lines", lambda x: canonical(x, delims))))
-    return step.drop("_text", "_lines", "_msh", "_delims", "_header_error")
+    step = step.withColumn("lines", F.when(ok, F.transform("_lines", lambda x: canonical(x, delims))))
+    # A generator between this and what follows: a filter on the outcome must not be pushed below it, where the
+    # whole parse would be worked out again inside the filter, once for each time a step names the one before.
+    out = F.struct(F.when(ok, delims).alias("delims"), "lines", "parse_error")
+    kept = [c for c in messages.columns if c not in ("delims", "lines", "parse_error")]
+    return step.select(*kept, F.explode(F.array(out)).alias("_p")).select(*kept, "_p.delims", "_p.lines", "_p.parse_error")
 
 
 def parsed(messages: DataFrame, raw: str = "raw") -> DataFrame:

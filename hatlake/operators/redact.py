@@ -140,17 +140,12 @@ def redact(messages: DataFrame, rules: list[Rule], basic: str | None = None) ->
     matched = []
     for k, rule in enumerate(rules):
         at = rule.path.field - 1 if rule.path.segment == "MSH" else rule.path.field
-        hits = F.size(F.filter(F.transform("_red", lambda line, i, p=rule.path: here(line, i, p)), lambda x: x))
+        hits = F.size(F.filter(F.transform("_red", _at(here, rule.path)), lambda x: x))
         out = out.withColumn(f"_m{k}", hits.cast("long"))
         matched.append(F.col(f"_m{k}"))
         if rule.action != "retain" or basic is not None:
 
-            def edit(line: Column, i: Column, rule: Rule = rule, at: int = at) -> Column:
-                parts = F.split(line, "\\|", -1)
-                done = F.transform(parts, lambda f, j: F.when(j == at, _edit(f, _target(rule.path), lambda x: _replaced(x, rule.action, delims, basic))).otherwise(f))
-                return F.when(here(line, i, rule.path), F.array_join(done, "|")).otherwise(line)
-
-            out = out.withColumn("_red", F.transform("_red", edit))
+            out = out.withColumn("_red", F.transform("_red", _edited(here, rule, at, delims, basic)))
     errors = [F.when(F.col(f"_m{k}") == 0, F.lit(f"rule {r.path} matched no fields")) for k, r in enumerate(rules) if not r.optional and r.action != "retain"]
     uncovered = [] if basic is not None else [F.when(_present(p) & ~_covered(p, rules), F.lit(f"sensitive field {p} isn't covered")) for p in SENSITIVE]
     failures = F.filter(F.array(*uncovered, *errors) if uncovered or errors else F.array().cast("array<string>"), lambda x: x.isNotNull())
@@ -159,6 +154,18 @@ def redact(messages: DataFrame, rules: list[Rule], basic: str | None = None) ->
     return out.withColumn("lines", F.when(F.size("policy_errors") == 0, F.col("_red"))).drop("_red", "_ids", "_reps", *[f"_m{k}" for k in range(len(rules))])
 
 
+def _at(here, path: Path):
+    return lambda line, i: here(line, i, path)
+
+
+def _edited(here, rule: Rule, at: int, delims: Column, basic: str | None):
+    def edit(line: Column, i: Column) -> Column:
+        done = F.transform(F.split(line, "\\|", -1), lambda f, j: F.when(j == at, _edit(f, _target(rule.path), lambda x: _replaced(x, rule.action, delims, basic))).otherwise(f))
+        return F.when(here(line, i, rule.path), F.array_join(done, "|")).otherwise(line)
+
+    return edit
+
+
 def _occurrences(path: str) -> Column:
     """(repetition, raw) of a sensitive field in each of its segments, where its text isn't empty."""
     p = parse_path(path)

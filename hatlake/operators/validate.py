@@ -71,7 +71,7 @@ class Rules:
 
     def first_bad(self, values: Column, bad, code: str, path: str, rule: str | None = None, gate: Column | None = None) -> Column:
         """An issue for the first value that is bad."""
-        found = F.filter(values, bad)
+        found = F.filter(values, lambda v: bad(v))
         when = F.size(found) > 0
         return self.issue(when if gate is None else gate & when, code, path, F.get(found, F.lit(0)), rule)
 
@@ -158,7 +158,7 @@ class Rules:
         path, kind = d["path"], d.get("type", "")
         values = self.all_values(path)
         bad_type = lambda x: ~D.valid(x, kind)
-        fine = ~F.exists(values, bad_type)
+        fine = ~F.exists(values, lambda v: bad_type(v))
         out = [self.first_bad(values, bad_type, "INVALID_DATA_TYPE", path)]
         tests = []
         if d.get("min_length") is not None:
