@@ -142,3 +142,25 @@ def matches_format(text: Column, pattern: str, datatype: str) -> Column:
     if (datatype, pattern) == ("TM", "HH:MM:SS"):
         return text.rlike(r"^(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\z")
     return F.lit(True)
+
+
+def detail(text: Column, datatype: str, min_bytes: int | None = None, max_bytes: int | None = None, pattern: str | None = None, allowed: list[str] | None = None, algorithm: str | None = None) -> Column:
+    """The first thing that is wrong with a value under the second family, null if nothing is. A pattern that doesn't compile is ignored."""
+    import re
+
+    out = F.when(~F.coalesce(valid_strict(text, datatype), F.lit(False)), "invalid_type")
+    if min_bytes is not None:
+        out = out.when(F.octet_length(text) < min_bytes, "too_short")
+    if max_bytes is not None:
+        out = out.when(F.octet_length(text) > max_bytes, "too_long")
+    if pattern is not None:
+        try:
+            re.compile(pattern)
+            out = out.when(~text.rlike(pattern), "pattern_mismatch")
+        except re.error:
+            pass
+    if allowed is not None:
+        out = out.when(~text.isin(*allowed) if allowed else F.lit(True), "not_allowed")
+    if algorithm is not None:
+        out = out.when(~checksum(text, algorithm), "checksum_mismatch")
+    return out

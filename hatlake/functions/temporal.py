@@ -62,3 +62,29 @@ def tolerance_seconds(text: str | None) -> int | None:
 
 def to_hl7(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMddHHmmss")
+
+
+def parse_date(text: Column) -> Column:
+    """A date of eight digits, else null."""
+    return F.when(trim(text).rlike("^[0-9]{8}\\z"), F.call_function("try_to_timestamp", trim(text), F.lit("yyyyMMdd")).cast("date"))
+
+
+def parse_time(text: Column) -> Column:
+    """Seconds since midnight of HHMM[SS[.S to .SSSS]], else null."""
+    value = trim(text)
+    part = lambda at: F.substring(value, at, 2).try_cast("int")
+    seconds = F.when(F.length(value) >= 6, F.substring(value, 5, 10).try_cast("double")).otherwise(F.lit(0.0))
+    return F.when(value.rlike(r"^(?:[01][0-9]|2[0-3])[0-5][0-9](?:[0-5][0-9](?:\.[0-9]{1,4})?)?\z"), part(1) * 3600 + part(3) * 60 + seconds)
+
+
+def parse_ts_fraction(text: Column) -> Column:
+    """struct(ts, precision, micros): as ``parse_ts``, and a fraction of one to four digits after the seconds."""
+    value = trim(text)
+    fraction = F.regexp_extract(value, r"^[0-9]{14}\.([0-9]{1,4})\z", 1)
+    base = parse_ts(F.when(fraction != "", F.substring(value, 1, 14)).otherwise(value))
+    micros = F.when((fraction != "") & base["ts"].isNotNull(), F.rpad(fraction, 6, "0").cast("int"))
+    return F.struct(base["ts"].alias("ts"), F.when(micros.isNotNull(), F.lit(6)).otherwise(base["precision"]).alias("precision"), micros.alias("micros"))
+
+
+def is_same_day(left: Column, right: Column) -> Column:
+    return F.coalesce(F.to_date(parse_ts(left)["ts"]) == F.to_date(parse_ts(right)["ts"]), F.lit(False))
