@@ -130,6 +130,13 @@ class Message:
             return self.segment_count("MSH") > 0
         return F.exists(self.path_values(path), lambda x: x != "")
 
+    def joined_components(self, path: Path) -> Column:
+        """The texts of the first repetition's components joined by ``^``, empty ones left out, up to the first HL7 null."""
+        raw = F.transform(F.split(F.get(F.split(self.field(path), "~", -1), F.lit(0)), "\\^", -1), lambda c: F.get(F.split(c, "&", -1), F.lit(0)))
+        upto = F.array_position(raw, F.lit(NULL))
+        taken = F.when(upto > 0, F.slice(raw, F.lit(1), (upto - 1).cast("int"))).otherwise(raw)
+        return F.array_join(F.transform(F.filter(taken, lambda x: x != ""), self.text), "^")
+
     def component_counts(self, path: Path) -> Column:
         if self._is_literal(path):
             return _or_empty(F.transform(F.filter(F.array(self.field(path)), lambda x: x.isNotNull()), lambda x: F.lit(1)), "array<int>")

@@ -15,7 +15,7 @@ from ..functions import datatypes as D
 from ..functions import temporal as T
 from ..functions.delims import CANONICAL
 from ..functions.text import escape, needs_escaping, sha256, unescape
-from ..operators import batch, corpus, generate, lifecycle, redact, validate, write
+from ..operators import batch, corpus, evidence, generate, lifecycle, redact, validate, write
 from ..operators.parse import atoms, charsets, corpus_type, fields, parse, parsed, segments
 from ..sources import derived, mllp
 from ..streaming import events as stream
@@ -596,3 +596,57 @@ def event_time_windows(spark, d):
 def segment_fields(spark, d):
     rows = segments(_feed(spark, d), only=("EVN",))
     return rows.groupBy(F.get(F.split("line", "\\|", -1), F.lit(1)).alias("event")).agg(F.count("*").alias("n"))
+
+
+# --- more of B, D, F, H and J ---------------------------------------------------------------------------------------
+
+@query(f"WITH {ADT} SELECT msg_id, 'ADT^A01^ADT_A01' AS type, CASE WHEN no_name THEN '' ELSE replace(c_name, '#', '^') END AS name FROM a")
+def joined_components(spark, d):
+    m = Message()
+    return _adt(spark, d).select("msg_id", m.joined_components(parse_path("MSH.9")).alias("type"), m.joined_components(parse_path("PID.5")).alias("name"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN length(c_custkey::VARCHAR) < 2 THEN 'too_short' WHEN length(c_custkey::VARCHAR) > 3 THEN 'too_long' WHEN c_custkey % 10 > 5 THEN 'pattern_mismatch' WHEN c_custkey NOT IN (10, 20, 30, 111) THEN 'not_allowed' END AS fault FROM customer")
+def datatype_detail(spark, d):
+    text = F.col("c_custkey").cast("string")
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), D.detail(text, "NM", 2, 3, "[0-5]$", ["10", "20", "30", "111"]).alias("fault"))
+
+
+@query("SELECT event_id, epoch(date_trunc('second', ts)) % 86400 + (event_id % 10) / 10.0 AS seconds, (event_id % 10) * 100000 AS micros, 6 AS precision, ts::DATE = DATE '2024-01-16' AS same_day FROM events")
+def timestamp_fractions(spark, d):
+    digit = F.concat(F.lit("."), (F.col("event_id") % 10).cast("string"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.date_format("ts", "yyyyMMddHHmmss"), digit).alias("t"), F.concat(F.date_format("ts", "HHmmss"), digit).alias("tm"), F.date_format("ts", "yyyyMMddHHmm").alias("short"))
+    f = T.parse_ts_fraction(F.col("t"))
+    return rows.select("event_id", T.parse_time(F.col("tm")).alias("seconds"), f["micros"].alias("micros"), f["precision"].alias("precision"), T.is_same_day(F.col("short"), F.lit("20240116")).alias("same_day"))
+
+
+@query("SELECT * FROM (VALUES ('bom', 'byte_order_mark'), ('lf', 'line_feed_only'), ('frame', 'unfinished_frame'), ('good', ''), ('latin', 'not_utf8')) t(name, found)")
+def doctor(spark, d):
+    rows = [("bom", b"\xef\xbb\xbfMSH\r"), ("lf", b"MSH|\nPID|"), ("frame", b"\x0bMSH|\r"), ("good", b"\x0bMSH|\r\x1c\r"), ("latin", b"MSH|\xe9\r")]
+    return spark.createDataFrame(rows, "name string, data binary").select("name", F.array_join(evidence.diagnostics(F.col("data")), ",").alias("found"))
+
+
+@query("SELECT * FROM (VALUES ('constraints', 1), ('datatypes', 1), ('segments', 1), ('valuesets', 1)) t(family, n)")
+def profile_explain(spark, d):
+    counts = profile.explain(PROFILE)["counts"]
+    return spark.createDataFrame([(k, v) for k, v in counts.items() if v], "family string, n int")
+
+
+@query(f"WITH {ADT} SELECT msg_id, 'sha256:' || substr(sha256('C' || k), 1, 16) AS control FROM a")
+def hashed_identifiers(spark, d):
+    return _adt(spark, d).select("msg_id", redact.hash_identifier(_get("MSH.10")).alias("control"))
+
+
+@query(f"""WITH {FEED}, g AS (SELECT user_id, date_trunc('second', ts) AS ts, CASE WHEN date_trunc('second', ts) - lag(date_trunc('second', ts)) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id::VARCHAR AS pid, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, n""")
+def event_time_sessions(spark, d):
+    timed = stream.with_event_time(_feed(spark, d)).withColumn("pid", _get("PID.3.1"))
+    return stream.session_counts(timed, "pid", "12 hours")
+
+
+@query("SELECT * FROM (VALUES ('good', true), ('plain', true), ('nested', true)) t(file_id, same)")
+def lenient_batches(spark, d):
+    m = "MSH|^~\\&|A\rPID|1"
+    rows = [("good", f"BHS|^~\\&\r{m}\rBTS|9\r"), ("plain", m), ("nested", f"FHS|^~\\&\rBHS|^~\\&\r{m}\rBTS|1\rFTS|1\r")]
+    found = batch.messages(spark.createDataFrame(rows, "file_id string, raw string"))
+    return found.select("file_id", (F.col("raw") == m).alias("same"))
