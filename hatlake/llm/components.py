@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
+#: Edges in a partition.
+ROWS_IN_PART = 100_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for each node with an edge.
 
@@ -17,7 +21,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now = materialise(pairs)
-    state = None
+    # Small graphs are kept in few partitions: each round's files would else outweigh its rows.
+    parts = max(1, -(-now.count() // ROWS_IN_PART))
+    keep = lambda frame: materialise(frame.coalesce(parts))
+    now, state = now.coalesce(parts), None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state or not seen[0]:
@@ -26,7 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.min(F.least("v", "u")).alias("m"))
         large = both.join(least, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.filter("u <> v").distinct())
+        large = keep(large.filter("u <> v").distinct())
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialise(small.filter("u <> v").distinct())
+        now = keep(small.filter("u <> v").distinct())

@@ -6,13 +6,15 @@ share a sample with the probability of their weighted Jaccard similarity. Sample
 share a band are compared, and those whose weighted Jaccard similarity is at least 0.8 are linked.
 
 Document frequencies are counted over all documents in a vector of fixed length, so what is broadcast
-doesn't grow with the corpus: a bucket's count exceeds a shingle's by the mean number of shingles of a
-document / buckets in each document, whatever the number of documents.
+doesn't grow with the corpus. Shingles that share a bucket add up: relative to the number of documents
+that adds the mean number of shingles of a document / 2 ** DF_BITS, a constant.
 
 Texts that are equal are one node. In a band's bucket every node is compared with one leader, not with
-all others; links make components, and only nodes that stay outside the bucket's main component are then
-compared with the bucket's other nodes. So a large group of copies costs a few comparisons for each node,
-and no pair that shares a band is left undecided.
+all others, and links make components. Where a bucket still holds several components, nodes outside the
+main one are compared with its hubs, and what is open then is joined by an exact prefix filter (a pair
+that is similar enough must share one of its rarest shingles, with enough left after it), so
+every similar pair that shares a band ends in one component, and a large group of copies costs a few
+comparisons for each node.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, materialise, text_of
 from .components import connected_components
+from .hashing import U, mix, words_of
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Samples of a band and bands: similar pairs of 0.8 share a band with probability 1 - (1 - 0.8 ** 3) ** 9 = 0.998.
@@ -35,80 +40,44 @@ ROWS, BANDS = 3, 9
 DF_BITS = 20
 #: Pairs that agree in fewer of the 27 samples aren't compared in full; at a similarity of 0.8 that has a probability under 1e-5.
 LEAST_AGREEING = 11
-ROWS_AT_ONCE = 256
-
-U = np.uint64
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.empty(n, U)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        step = U(0x9E3779B97F4A7C15)
-        for i in range(1, min(n, 64)):
-            out[i] = out[i - 1] * step
-        done = 64
-        while done < n:
-            more = min(done, n - done)
-            out[done : done + more] = out[:more] * (out[done - 1] * step)
-            done += more
-    return out
+#: Hubs of a component that nodes outside it are compared with.
+HUBS = 8
+#: Texts hashed at once: their number takes the upper eight bits of a sort key.
+ROWS_AT_ONCE = 64
+#: Pieces that the vector of document frequencies is summed in.
+PIECES = 64
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, 64-bit hash and count of each distinct shingle, sorted by text number.
+    """Text number, 56-bit hash and count of each distinct shingle, sorted by number and hash; 256 texts at most.
 
     A text of one to four words has one shingle of all its words; a text without words has none.
     """
-    data = np.frombuffer(b" ".join([t.encode("utf-8", "surrogatepass") for t in texts]) + b" ", np.uint8)
-    sizes = np.fromiter((len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts), np.int64, len(texts))
-    space = _IS_SPACE[data]
-    inside = ~space
-    begins = np.flatnonzero(inside & np.concatenate(([True], space[:-1])))
-    none = np.empty(0, U)
-    if not len(begins):
-        return np.empty(0, np.int64), none, np.empty(0, np.int64)
-    ends = np.flatnonzero(space & np.concatenate(([False], inside[:-1])))
-    lengths = ends - begins
-    place = np.arange(len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))[: len(data)] if begins[0] == 0 else None
-    if place is None:
-        shifted = np.concatenate(([0], begins))
-        place = np.arange(len(data)) - np.repeat(shifted, np.diff(np.append(shifted, len(data))))
-    powers = _powers(int(place.max()) + 2)
-    terms = (data.astype(U) + U(1)) * powers[place]
-    terms[space] = 0
-    words = mix(np.add.reduceat(terms, begins) + lengths.astype(U))
-    owner = np.searchsorted(np.cumsum(sizes), begins, side="right")
+    if len(texts) > 256:
+        raise ValueError("256 texts at most")
+    owner, words, _ = words_of(texts)
     n = len(words)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.int64)
     count = np.bincount(owner, minlength=len(texts))
-    start = np.concatenate(([0], np.cumsum(count)[:-1]))
-    ordinal = np.arange(n) - start[owner]
-    left = count[owner] - ordinal
+    first = np.cumsum(count) - count
+    left = (first + count)[owner] - np.arange(n)  # words from here to the end of the text
     hashed = np.zeros(n, U)
-    for j in range(SHINGLE_WORDS):
-        shifted = np.zeros(n, U)
-        shifted[: n - j] = words[j:]
-        hashed += np.where(left > j, mix(shifted + U(j + 1)) * U(2 * j + 1), U(0))
-    full = (left >= SHINGLE_WORDS) | (ordinal == 0)
-    hashed, owner = mix(hashed[full]), owner[full]
-    order = np.lexsort((hashed, owner))
-    hashed, owner = hashed[order], owner[order]
-    fresh = np.concatenate(([True], (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])))
-    at = np.flatnonzero(fresh)
-    return owner[at], hashed[at], np.diff(np.append(at, len(hashed)))
+    for j in range(min(SHINGLE_WORDS, n)):
+        term = words[j:] * U(2 * j + 3)
+        term ^= term >> U(29)
+        hashed[: n - j] += np.where(left[: n - j] > j, term * U(0xBF58476D1CE4E5B9), U(0))
+    whole = left >= SHINGLE_WORDS
+    whole[first[count > 0]] = True
+    key = (owner[whole].astype(U) << U(56)) | (mix(hashed[whole]) >> U(8))
+    key.sort()
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    distinct = key[at]
+    return (distinct >> U(56)).astype(np.int64), distinct & U((1 << 56) - 1), np.diff(np.append(at, len(key)))
 
 
 def df_bucket(hashed: np.ndarray) -> np.ndarray:
-    return (hashed >> U(64 - DF_BITS)).astype(np.int64)
+    return (hashed >> U(56 - DF_BITS)).astype(np.int64)
 
 
 def icws(owner: np.ndarray, hashed: np.ndarray, weight: np.ndarray, n: int, samples: int) -> np.ndarray:
@@ -123,18 +92,16 @@ def icws(owner: np.ndarray, hashed: np.ndarray, weight: np.ndarray, n: int, samp
     starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     who, each = owner[starts], np.diff(np.append(starts, len(owner)))
     log_weight = np.log(weight).astype(np.float32)
-    unit = np.float32(2.0**-24)
-    low = U(0xFFFFFF)
+    word, half = np.float32(2.0**-16), np.float32(0.5)
 
     def uniform(bits, shift):
-        return (((bits >> U(shift)) & low).astype(np.float32) + np.float32(0.5)) * unit
+        return ((bits >> U(shift)).astype(np.uint16).astype(np.float32) + half) * word
 
     for k in range(samples):
-        first = mix(hashed + U((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        second = mix(first ^ U(0xD1B54A32D192ED03))
-        r = -np.log(uniform(first, 0) * uniform(first, 24))
-        c = -np.log(uniform(second, 0) * uniform(second, 24))
-        b = ((first >> U(48)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-16)
+        bits = mix(hashed + U((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        r = -np.log(uniform(bits, 0) * uniform(bits, 16))
+        c = -np.log(uniform(bits, 32) * uniform(bits, 48))
+        b = ((bits * U(0xD1B54A32D192ED03)) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
         t = np.floor(log_weight / r + b)
         log_a = np.log(c) - r * (t - b + 1)
         least = np.minimum.reduceat(log_a, starts)
@@ -165,14 +132,20 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, docs = np.zeros(1 << DF_BITS, np.int64), 0
+    counts, docs = np.zeros(1 << DF_BITS, "<i8"), 0
     for batch in _batches(batches):
         _, hashed, _ = shingles(batch.column(0).to_pylist())
         counts += np.bincount(df_bucket(hashed), minlength=1 << DF_BITS)
         docs += batch.num_rows
-    used = np.flatnonzero(counts)
-    # bucket -1 counts the documents
-    yield pa.record_batch([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(counts[used], docs), pa.int64())], ["bucket", "n"])
+    if docs:
+        part = TaskContext.get().partitionId()
+        blobs = [x.tobytes() for x in np.split(counts, PIECES)] + [np.array([docs], "<i8").tobytes()]
+        yield pa.record_batch([pa.array(range(PIECES + 1), pa.int32()), pa.array([part] * (PIECES + 1), pa.int32()), pa.array(blobs, pa.binary())], ["piece", "part", "counts"])
+
+
+def _sum_counts(group: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(x, "<i8") for x in group["counts"]], axis=0)
+    return pd.DataFrame({"piece": [group["piece"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
 
 
 def inverse_frequencies(normed: DataFrame) -> np.ndarray:
@@ -180,12 +153,15 @@ def inverse_frequencies(normed: DataFrame) -> np.ndarray:
 
     The smoothing keeps copies alike: where a third of all documents are near copies of one text, their
     common shingles still weigh four fifths of a rare one, and plain ln(N / frequency) would leave a tenth.
+    Each task sums its own documents; tasks are summed in two levels, so that no group is large.
     """
-    rows = normed.select("norm").mapInArrow(_count_df, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
-    frequency = np.ones(1 << DF_BITS)
-    frequency[bucket[bucket >= 0]] = n[bucket >= 0]
-    total = max(1, n[bucket < 0].sum())
+    pieces = normed.select("norm").mapInArrow(_count_df, "piece int, part int, counts binary")
+    once = pieces.groupBy("piece", (F.col("part") % 64).alias("some")).applyInPandas(_sum_counts, "piece int, counts binary")
+    rows = once.groupBy("piece").applyInPandas(_sum_counts, "piece int, counts binary").toArrow().to_pylist()
+    counts = {row["piece"]: np.frombuffer(row["counts"], "<i8") for row in rows}
+    if not counts:
+        return np.ones(1 << DF_BITS, np.float32)
+    total, frequency = counts[PIECES][0], np.concatenate([counts[i] for i in range(PIECES)])
     return np.log1p(total / (total + frequency)).astype(np.float32)
 
 
@@ -297,43 +273,92 @@ def _linked_roots(normed: DataFrame, nodes: DataFrame, shared, threshold: float)
     turn = F.struct(F.xxhash64("node", "bucket").alias("turn"), "node")
     groups = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(turn).alias("leader")).filter("size > 1")
     groups = materialise(groups.select(F.col("bucket").alias("in_bucket"), "size", F.col("leader.node").alias("leader")))
-    shared_buckets = materialise(members.join(groups, F.col("bucket") == F.col("in_bucket")).select("bucket", "node", "size", "leader"))
+    members = materialise(members.join(groups, F.col("bucket") == F.col("in_bucket")).select("bucket", "node", "size", "leader"))
+    texts = _texts(normed, members.select("node").distinct())
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    texts = tested = edges = roots = None
-    wanted = shared_buckets.filter("node <> leader").select(*pair("node", "leader")).distinct()
-    # Nodes outside a bucket's main component that are compared with the others of the bucket: some, then all.
-    for limit in (4, 64, None, 0):
-        wanted = materialise(wanted)
-        if not wanted.isEmpty():
-            if texts is None:
-                texts = _texts(normed, shared_buckets.select("node").distinct())
-            found = _verify(wanted, sigs, texts, shared).filter(F.col("similarity") >= threshold).select("a", "b")
-            edges = materialise(found if edges is None else edges.unionByName(found))
-            tested = wanted if tested is None else materialise(tested.unionByName(wanted))
-            roots = connected_components(edges)
-        if limit == 0 or tested is None:
-            break
-        wanted = _undecided(shared_buckets, roots, tested, limit, pair)
-    if roots is None:
-        return nodes.select(F.col("node").alias("root_of"), F.col("node").alias("root")).limit(0)
-    return roots.select(F.col("node").alias("root_of"), "root")
-
-
-def _undecided(members: DataFrame, roots: DataFrame, tested: DataFrame, limit: int | None, pair) -> DataFrame:
-    """Pairs of a bucket that no comparison or component has decided yet, for at most about ``limit`` nodes of a bucket."""
-    placed = members.filter("size > 2").join(roots.select(F.col("node").alias("at"), "root"), F.col("node") == F.col("at"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    led = materialise(members.filter("node <> leader").select(*pair("node", "leader")).distinct())
+    compared = materialise(_verify(_likely(led, sigs), texts, shared))
+    edges = compared.filter(F.col("similarity") >= threshold).select("a", "b")
+    roots = materialise(connected_components(edges).withColumnRenamed("node", "root_of"))
+
+    several = _several(members, roots)
+    if several.isEmpty():
+        return roots
+    # Nodes outside a bucket's main component are first compared with that component's hubs, the nodes most
+    # like those that they were compared with: a text from which many copies were made links to copies that
+    # don't link to each other.
+    ends = compared.select("a", "similarity").unionByName(compared.select(F.col("b").alias("a"), "similarity"))
+    ends = ends.groupBy("a").agg(F.least(F.count("*"), F.lit(4)).alias("times"), F.avg("similarity").alias("mean"))
+    best = F.max(F.struct("times", "mean", "a")).alias("best")
+    hubs = ends.join(roots, F.col("a") == F.col("root_of")).groupBy("root", F.pmod(F.xxhash64("a"), F.lit(HUBS)).alias("part")).agg(best)
+    hubs = materialise(hubs.select(F.col("root").alias("of_main"), F.col("best.a").alias("hub")))
+    # A node takes the hubs of one main component, the largest that its buckets name.
+    sizes = roots.groupBy(F.col("root").alias("sized")).agg(F.count("*").alias("nodes"))
+    named = several.filter("outside").select("node", F.explode("mains").alias("main")).join(sizes, F.col("main") == F.col("sized"))
+    outside = named.groupBy("node").agg(F.max(F.struct("nodes", "main")).alias("m")).select("node", F.col("m.main").alias("of_main"))
+    tried = materialise(outside.join(hubs, "of_main").select(*pair("node", "hub")).distinct().join(led, ["a", "b"], "left_anti"))
+    more = materialise(_verify(tried, texts, shared).filter(F.col("similarity") >= threshold).select("a", "b"))
+    if not more.isEmpty():
+        edges = materialise(edges.unionByName(more))
+        roots = materialise(connected_components(edges).withColumnRenamed("node", "root_of"))
+        several = _several(members, roots)
+        if several.isEmpty():
+            return roots
+
+    # What is still open is joined by the exact prefix filter.
+    prefixes = texts.join(several.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi").select("node", "norm")
+    prefixes = prefixes.mapInArrow(partial(_prefixes, shared=shared, threshold=threshold), "of binary, size double, rest double, shingle long, indexed boolean")
+    prefixes = materialise(prefixes.join(several, F.col("of") == F.col("node")).select("node", "root", "outside", "size", "rest", "shingle", "indexed"))
+    x, y = prefixes.select(*[F.col(c).alias(f"x_{c}") for c in prefixes.columns]), prefixes.filter("indexed").select(*[F.col(c).alias(f"y_{c}") for c in prefixes.columns])
+    near = (F.col("y_size") <= F.col("x_size")) & (F.col("y_size") >= threshold * F.col("x_size") - 1e-9)
+    # At the first shingle that two texts share, what is left of either must still be enough.
+    enough = F.least("x_rest", "y_rest") >= threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) * (1 - 1e-9)
+    fresh = (F.col("x_root") != F.col("y_root")) & (F.col("x_outside") | F.col("y_outside"))
+    again = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & near & enough & fresh).select(*pair("x_node", "y_node")).distinct()
+    again = materialise(again.join(led.unionByName(tried), ["a", "b"], "left_anti"))
+    more = materialise(_verify(again, texts, shared).filter(F.col("similarity") >= threshold).select("a", "b"))
+    if more.isEmpty():
+        return roots
+    return connected_components(edges.unionByName(more)).withColumnRenamed("node", "root_of")
+
+
+def _several(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root, outside and mains (of its buckets) of the nodes in buckets that hold several components."""
+    placed = members.filter("size > 2").join(roots, F.col("node") == F.col("root_of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("outside")).filter("parts > 1")
-    main = materialise(main.select(F.col("bucket").alias("of_bucket"), "main", "outside"))
-    open_rows = materialise(placed.join(main, F.col("bucket") == F.col("of_bucket")).select("bucket", "node", "root", "main", "outside"))
-    outside = open_rows.filter("root <> main")
-    if limit is not None:
-        share = (F.xxhash64("bucket", "node", F.lit(limit)).bitwiseAND(0xFFFFF)).cast("double") / (1 << 20)
-        outside = outside.filter(share * F.col("outside") <= limit)
-    leaders = outside.select(F.col("bucket").alias("b1"), F.col("node").alias("n1"), F.col("root").alias("r1"))
-    pairs = open_rows.join(leaders, F.col("bucket") == F.col("b1")).filter("root <> r1").select(*pair("node", "n1")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    main = materialise(main.select(F.col("bucket").alias("of_bucket"), "main"))
+    joined = placed.join(main, F.col("bucket") == F.col("of_bucket"))
+    return materialise(joined.groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("outside"), F.collect_set(F.when(F.col("root") != F.col("main"), F.col("main"))).alias("mains")))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each text, for an exact similarity join.
+
+    Shingles go by falling weight, then hash. Two sets with a weighted Jaccard similarity of t or more share at
+    least t of the larger one's weight, and 2 t / (1 + t) of the smaller one's. So they share a shingle
+    among those of the larger that come before the last t of its weight, and it is among those of the smaller
+    (``indexed``) that come before the last 2 t / (1 + t).
+    """
+    idf = shared.value
+    for batch in _batches(batches):
+        n = batch.num_rows
+        owner, hashed, counts = shingles(batch.column(1).to_pylist())
+        each = idf[df_bucket(hashed)].astype(np.float64)
+        order = np.lexsort((hashed, -each, owner))
+        owner, hashed, weight = owner[order], hashed[order], (counts * each)[order]
+        total = np.bincount(owner, weights=weight, minlength=n)
+        begins = np.searchsorted(owner, np.arange(n))
+        upto = np.cumsum(weight)
+        before = upto - weight - (upto - weight)[np.minimum(begins, len(owner) - 1)][owner]
+        rest = total[owner] - before  # the weight of this shingle and all after it
+        slack = 1e-9 * total[owner]
+        probing = rest >= threshold * total[owner] - slack
+        indexed = rest >= 2 * threshold / (1 + threshold) * total[owner] - slack
+        mine = owner[probing]
+        columns = [batch.column(0).take(pa.array(mine)), pa.array(total[mine]), pa.array(rest[probing]), pa.array(hashed[probing].astype(np.int64)), pa.array(indexed[probing])]
+        yield pa.record_batch(columns, ["of", "size", "rest", "shingle", "indexed"])
 
 
 def _texts(normed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -343,12 +368,16 @@ def _texts(normed: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(there.groupBy("node").agg(F.first("norm").alias("norm")))
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """a, b and similarity of the pairs that agree in LEAST_AGREEING samples or more."""
+def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs that agree in LEAST_AGREEING samples or more."""
     samples = lambda side: F.transform(F.sequence(F.lit(0), F.lit(ROWS * BANDS - 1)), lambda k: F.substring(F.col(side), 1 + 4 * k, F.lit(4)))
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     agreeing = F.aggregate(F.zip_with(samples("sig_a"), samples("sig_b"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    likely = materialise(both.filter(agreeing >= LEAST_AGREEING).select("a", "b"))
-    with_a = likely.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("text_a")), "a")
+    return materialise(both.filter(agreeing >= LEAST_AGREEING).select("a", "b"))
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """a, b and similarity of every pair."""
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("text_a")), "a")
     with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("norm").alias("text_b")), "b")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_compare, shared=shared), "a binary, b binary, similarity double")
