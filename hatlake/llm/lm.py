@@ -1,7 +1,7 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 P(word | history) = P(upper class | history) * P(class | upper class, history) * P(word | class). The
-first two are softmaxes of 16 outputs each over hashed features of the history: the word before, the
+first two are softmaxes of 32 outputs or more over hashed features of the history: the word before, the
 word before that (a skip feature) and the pair of their classes. The most frequent words are classes of
 their own; other words share a class by their last two bytes, and within a class a word has its
 smoothed relative frequency, with a share for unknown words.
@@ -9,7 +9,8 @@ smoothed relative frequency, with a share for unknown words.
 Counting, training and scoring read every document. Words are counted by 64-bit hash: documents are
 dealt into blocks, each block's distinct words go as packed arrays to the bucket of their hash, are
 summed there over all blocks, and the sums go back to the blocks that need them. So no task or driver
-ever holds the vocabulary. Weights have a fixed size; tasks descend on their own documents from the
+ever holds the vocabulary. Classes, words with a class of their own and weight rows grow with the
+training tokens (``Shape``); tasks descend on their own documents from the
 same weights, and their weights are averaged (distributed gradient updates in rounds).
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,50 +30,80 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions_for, text_of
 from .hashing import U, mix, words_of
 
-UPPER, LOWER = 16, 16
+#: The least outputs of the two softmaxes, and the least rows of each of the two weight tables as a power of 2.
+UPPER, LOWER = 32, 32
 CLASSES = UPPER * LOWER
-#: Words that are classes of their own, and the class of the end of a text.
-TOP_WORDS, END_CLASS = 128, CLASSES - 1
-SUFFIX_CLASSES = CLASSES - TOP_WORDS - 1
-#: Rows of each of the two weight tables; row 0 is the bias of the upper softmax.
-FEATURE_BITS = 13
+FEATURE_BITS = 14
+#: Rows of weights that travel together.
+PIECE_ROWS = 128
 #: Bytes of text in a block, and in a training task.
 BLOCK_BYTES, TRAIN_BYTES = 24 << 20, 96 << 20
 ROUNDS, RATE = 2, 0.15
-ROWS_AT_ONCE = 128
+ROWS_AT_ONCE = 64
 #: Tokens of a gradient step at most.
-STEP_TOKENS = 1 << 16
-#: A hash that stands for the end of a text, and classes that stand for the time before it.
-END_HASH, START_CLASS = U(0xE4D0FA7E87F3C219), CLASSES
+STEP_TOKENS = 1 << 15
+#: A hash that stands for the end of a text, and the suffix that it has instead of two bytes.
+END_HASH, END_SUFFIX = U(0xE4D0FA7E87F3C219), 1 << 16
+
+
+class Shape(NamedTuple):
+    """The size of a model: outputs of the softmaxes and bits of a weight row's number."""
+
+    upper: int = UPPER
+    lower: int = LOWER
+    bits: int = FEATURE_BITS
+
+    @classmethod
+    def of(cls, tokens: int) -> Shape:
+        """Own words grow with the fourth root of the training tokens, weight rows with the square root, without an upper limit."""
+        upper, lower = UPPER, LOWER
+        while upper * lower // 2 < 4 * tokens**0.25:
+            upper, lower = (upper * 2, lower) if upper == lower else (upper, lower * 2)
+        return cls(upper, lower, max(FEATURE_BITS, math.ceil(math.log2(max(tokens, 1)) / 2)))
+
+    @property
+    def classes(self) -> int:
+        return self.upper * self.lower
+
+    @property
+    def top_words(self) -> int:
+        """Words that are classes of their own: half of all classes."""
+        return self.classes // 2
+
+    def suffix_class(self, suffix: np.ndarray) -> np.ndarray:
+        """The class of a word that has none of its own; the last class is the end of a text."""
+        others = self.classes - self.top_words - 1
+        return np.where(suffix == END_SUFFIX, self.classes - 1, self.top_words + (mix(suffix.astype(U)) % U(others)).astype(np.int32)).astype(np.int32)
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, word hash and suffix class of every token, an end after each text's words."""
+    """Text number, word hash and suffix (the last two bytes) of every token, an end after each text's words."""
     owner, words, last = words_of(texts, _LOWER)
     n = len(texts)
     counts = np.bincount(owner, minlength=n) if len(owner) else np.zeros(n, np.int64)
     at = np.arange(len(words)) + owner  # each text before this one has an end
     ends = np.cumsum(counts + 1) - 1
     total = len(words) + n
-    out_owner, out_hash, out_class = np.empty(total, np.int64), np.empty(total, U), np.empty(total, np.int32)
+    out_owner, out_hash, out_suffix = np.empty(total, np.int64), np.empty(total, U), np.empty(total, np.int32)
     out_owner[at], out_hash[at] = owner, words
-    out_class[at] = TOP_WORDS + (mix(last.astype(U)) % U(SUFFIX_CLASSES)).astype(np.int32)
-    out_owner[ends], out_hash[ends], out_class[ends] = np.arange(n), END_HASH, END_CLASS
-    return out_owner, out_hash, out_class
+    out_suffix[at] = last
+    out_owner[ends], out_hash[ends], out_suffix[ends] = np.arange(n), END_HASH, END_SUFFIX
+    return out_owner, out_hash, out_suffix
 
 
-ENTRY = np.dtype([("hash", "<u8"), ("n", "<u4"), ("cls", "<u2"), ("held", "u1")])
+ENTRY = np.dtype([("hash", "<u8"), ("n", "<u4"), ("suffix", "<u4"), ("held", "u1")])
 COUNT = np.dtype([("hash", "<u8"), ("n", "<i8")])
 
 
-def _sum_by_hash(hashed, n, cls, held):
+def _sum_by_hash(hashed, n, suffix, held):
     order = np.argsort(hashed, kind="stable")
     hashed = hashed[order]
     at = np.flatnonzero(np.concatenate(([True], hashed[1:] != hashed[:-1])))
-    return hashed[at], np.add.reduceat(n[order], at), cls[order][at], np.maximum.reduceat(held[order], at)
+    return hashed[at], np.add.reduceat(n[order], at), suffix[order][at], np.maximum.reduceat(held[order], at)
 
 
 def _block_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -80,16 +112,16 @@ def _block_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
-            owner, hashed, cls = tokens_of(part.column(1).to_pylist())
+            owner, hashed, suffix = tokens_of(part.column(1).to_pylist())
             blocks, train = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
             for block in np.unique(blocks):
                 mine = (blocks == block)[owner]
                 t = train[owner[mine]]
-                found.setdefault(int(block), []).append(_sum_by_hash(hashed[mine], t.astype(np.int64), cls[mine], (~t).astype(np.uint8)))
+                found.setdefault(int(block), []).append(_sum_by_hash(hashed[mine], t.astype(np.int64), suffix[mine], (~t).astype(np.uint8)))
     for block, parts in found.items():
-        hashed, n, cls, held = _sum_by_hash(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+        hashed, n, suffix, held = _sum_by_hash(*[np.concatenate(x) for x in zip(*parts, strict=True)])
         rows = np.empty(len(hashed), ENTRY)
-        rows["hash"], rows["n"], rows["cls"], rows["held"] = hashed, n, cls, held
+        rows["hash"], rows["n"], rows["suffix"], rows["held"] = hashed, n, suffix, held
         bucket = (hashed % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rows, bucket = rows[order], bucket[order]
@@ -101,8 +133,8 @@ def _block_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
 SUMS = "kind int, block int, key long, n long, v long, counts binary"
 
 
-def _sum_bucket(group: pd.DataFrame) -> pd.DataFrame:
-    """The counts of a bucket's words over all blocks: for the blocks (0), by class (1), and the largest (2).
+def _sum_bucket(group: pd.DataFrame, top_words: int) -> pd.DataFrame:
+    """The counts of a bucket's words over all blocks: for the blocks (0), by suffix (1), and the largest (2).
 
     A block isn't told of a word that no training text has, or that one training text of that block
     has once and no held-out text of it: these cases it can tell by itself.
@@ -113,8 +145,8 @@ def _sum_bucket(group: pd.DataFrame) -> pd.DataFrame:
     rows = np.concatenate(parts)
     hashed, inverse = np.unique(rows["hash"], return_inverse=True)
     total = np.bincount(inverse, weights=rows["n"], minlength=len(hashed)).astype(np.int64)
-    cls = np.empty(len(hashed), np.int64)
-    cls[inverse] = rows["cls"]
+    suffix = np.empty(len(hashed), np.int64)
+    suffix[inverse] = rows["suffix"]
     mine = total[inverse]
     told = (mine > 0) & ~((mine == 1) & (rows["n"] == 1) & (rows["held"] == 0))
     out = []
@@ -124,28 +156,30 @@ def _sum_bucket(group: pd.DataFrame) -> pd.DataFrame:
         back["hash"], back["n"] = rows["hash"][low : low + size][keep], mine[low : low + size][keep]
         out.append((0, int(block), 0, 0, 0, back.tobytes()))
     known = total > 0
-    n_of, v_of = np.bincount(cls[known], weights=total[known], minlength=CLASSES), np.bincount(cls[known], minlength=CLASSES)
+    n_of, v_of = np.bincount(suffix[known], weights=total[known]), np.bincount(suffix[known])
     out += [(1, 0, int(c), int(n_of[c]), int(v_of[c]), None) for c in np.flatnonzero(v_of)]
     signed = hashed.view(np.int64)
-    largest = np.lexsort((signed, -total))[:TOP_WORDS]
-    out += [(2, 0, int(signed[i]), int(total[i]), int(cls[i]), None) for i in largest if total[i] and cls[i] != END_CLASS]
+    largest = np.lexsort((signed, -total))[: top_words + 1]  # the end of a text isn't one of them
+    out += [(2, 0, int(signed[i]), int(total[i]), int(suffix[i]), None) for i in largest if total[i] and suffix[i] != END_SUFFIX]
     return pd.DataFrame(out, columns=["kind", "block", "key", "n", "v", "counts"])
 
 
 class Model:
-    """Word classes with their totals, and the weights of the two softmaxes. Its size is fixed."""
+    """Word classes with their totals, and the weights of the two softmaxes."""
 
-    def __init__(self, top: np.ndarray, class_n: np.ndarray, class_v: np.ndarray):
+    def __init__(self, top: np.ndarray, class_n: np.ndarray, class_v: np.ndarray, shape: Shape = Shape()):
+        self.shape = shape
         order = np.argsort(top)
         self.top, self.top_class = top[order], order.astype(np.int32)  # sorted hashes and their ranks
         self.class_n, self.class_v = class_n, class_v
-        rows = 1 << FEATURE_BITS
-        self.upper, self.lower = np.zeros((rows, UPPER), np.float32), np.zeros((rows, LOWER), np.float32)
-        share = (class_n + 1.0).reshape(UPPER, LOWER)
+        rows = 1 << shape.bits
+        self.upper, self.lower = np.zeros((rows, shape.upper), np.float32), np.zeros((rows, shape.lower), np.float32)
+        share = (class_n + 1.0).reshape(shape.upper, shape.lower)
         self.upper_bias = np.log(share.sum(1) / share.sum()).astype(np.float32)
         self.lower_bias = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
 
     def classes(self, hashed: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        suffix = self.shape.suffix_class(suffix)
         if not len(self.top):
             return suffix
         at = np.minimum(np.searchsorted(self.top, hashed), len(self.top) - 1)
@@ -162,22 +196,23 @@ class Model:
             return out
 
         one, two = back(hashed, 1, U(1)), back(hashed, 2, U(2))
-        c1, c2 = back(cls, 1, START_CLASS), back(cls, 2, START_CLASS)
-        pair = c1.astype(U) * U(CLASSES + 1) + c2.astype(U)
+        start = self.shape.classes  # stands for the time before a text
+        c1, c2 = back(cls, 1, start), back(cls, 2, start)
+        pair = c1.astype(U) * U(start + 1) + c2.astype(U)
         return [mix(one ^ U(0x11)), mix(two ^ U(0x2222)), mix(pair + U(0x333333))]
 
     def rows(self, feature: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The weight rows of a feature: for the upper softmax, and with the upper class for the lower."""
-        shift = U(64 - FEATURE_BITS)
+        shift = U(64 - self.shape.bits)
         upper = (feature >> shift).astype(np.int32)
-        lower = (mix(feature + (cls // LOWER).astype(U)) >> shift).astype(np.int32)
+        lower = (mix(feature + (cls // self.shape.lower).astype(U)) >> shift).astype(np.int32)
         return upper, lower
 
     def log_probabilities(self, features, cls):
         """ln P of each token's class, with what a gradient step needs: rows, and the probabilities of both softmaxes."""
-        up, low = cls // LOWER, cls % LOWER
+        up, low = cls // self.shape.lower, cls % self.shape.lower
         rows = [self.rows(f, cls) for f in features]
-        a, b = np.broadcast_to(self.upper_bias, (len(cls), UPPER)).copy(), self.lower_bias[up]
+        a, b = np.broadcast_to(self.upper_bias, (len(cls), self.shape.upper)).copy(), self.lower_bias[up]
         for i, j in rows:
             a += self.upper[i]
             b += self.lower[j]
@@ -196,11 +231,11 @@ class Model:
         """One AdaGrad step on a batch of tokens."""
         _, rows, a, b = self.log_probabilities(features, cls)
         each = np.arange(len(cls))
-        a[each, cls // LOWER] -= 1
-        b[each, cls % LOWER] -= 1
+        a[each, cls // self.shape.lower] -= 1
+        b[each, cls % self.shape.lower] -= 1
         for pair in rows:
             for table, square, gradient, row in zip((self.upper, self.lower), squares, (a, b), pair, strict=True):
-                order = np.argsort(row.astype(np.uint16), kind="stable")
+                order = np.argsort(row.astype(np.uint16) if self.shape.bits <= 16 else row, kind="stable")
                 sorted_rows = row[order]
                 at = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
                 g = np.add.reduceat(gradient[order], at, axis=0)
@@ -233,8 +268,11 @@ def _train(batches: Iterator[pa.RecordBatch], shared, rate: float) -> Iterator[p
             model.descend([f[part] for f in features], cls[part], squares, rate)
     if seen:
         for table, (new, old) in enumerate(((model.upper, start.upper), (model.lower, start.lower))):
-            for piece, change in enumerate(np.split(new - old, 64)):
-                yield pa.record_batch([pa.array([table * 64 + piece], pa.int32()), pa.array([change.astype("<f4").tobytes()], pa.binary())], ["piece", "change"])
+            pieces = len(new) // PIECE_ROWS
+            for piece in range(pieces):
+                low = piece * PIECE_ROWS
+                change = new[low : low + PIECE_ROWS] - old[low : low + PIECE_ROWS]
+                yield pa.record_batch([pa.array([table * pieces + piece], pa.int32()), pa.array([change.astype("<f4").tobytes()], pa.binary())], ["piece", "change"])
 
 
 def _average(group: pd.DataFrame) -> pd.DataFrame:
@@ -306,19 +344,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_blocks = partitions_for(spark, size, BLOCK_BYTES)
     placed = rows.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(n_blocks)).cast("int"))
 
+    top_words = Shape.of(size).top_words  # there are fewer tokens than bytes, so no fewer words than are needed
     entries = placed.select("block", "text", "train").repartition(n_blocks, "block").mapInArrow(partial(_block_words, buckets=n_blocks), "bucket int, block int, entries binary")
-    sums = materialise(entries.groupBy("bucket").applyInPandas(_sum_bucket, SUMS))
-
-    # Bounded: at most one row for each class, and TOP_WORDS words.
-    by_class = sums.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
-    top = sums.filter("kind = 2").orderBy(F.desc("n"), "key").select("key", "n", "v").limit(TOP_WORDS).toPandas()
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    class_n[by_class["key"]], class_v[by_class["key"]] = by_class["n"], by_class["v"]
+    sums = materialise(entries.groupBy("bucket").applyInPandas(lambda group: _sum_bucket(group, top_words), SUMS))
+
+    # Bounded: at most one row for each pair of bytes, and one for each word with a class of its own.
+    by_suffix = sums.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
+    shape = Shape.of(int(by_suffix["n"].sum()))
+    top = sums.filter("kind = 2").orderBy(F.desc("n"), "key").select("key", "n", "v").limit(shape.top_words).toPandas()
+    class_n, class_v = np.zeros(shape.classes), np.zeros(shape.classes)
+    of_suffix = shape.suffix_class(by_suffix["key"].to_numpy(np.int64))
+    np.add.at(class_n, of_suffix, by_suffix["n"].to_numpy(np.float64))
+    np.add.at(class_v, of_suffix, by_suffix["v"].to_numpy(np.float64))
     n_train, v_train = int(class_n.sum()), int(class_v.sum())
-    np.subtract.at(class_n, top["v"].to_numpy(np.int64), top["n"].to_numpy(np.float64))
-    np.subtract.at(class_v, top["v"].to_numpy(np.int64), 1.0)
+    of_top = shape.suffix_class(top["v"].to_numpy(np.int64))
+    np.subtract.at(class_n, of_top, top["n"].to_numpy(np.float64))
+    np.subtract.at(class_v, of_top, 1.0)
     class_n[: len(top)], class_v[: len(top)] = top["n"], 1.0
-    model = Model(top["key"].to_numpy(np.int64).view(np.uint64), class_n, class_v)
+    model = Model(top["key"].to_numpy(np.int64).view(np.uint64), class_n, class_v, shape)
 
     tasks = partitions_for(spark, size, TRAIN_BYTES)
     for step in range(ROUNDS):
@@ -326,10 +369,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mine = F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == step
         changes = rows.filter(F.col("train") & mine).select("text").coalesce(tasks).mapInArrow(partial(_train, shared=spark.sparkContext.broadcast(model), rate=RATE), "piece int, change binary")
         for row in changes.groupBy("piece").applyInPandas(_average, "piece int, change binary").toArrow().to_pylist():
-            table = model.upper if row["piece"] < 64 else model.lower
-            height = table.shape[0] // 64
-            low = row["piece"] % 64 * height
-            table[low : low + height] += np.frombuffer(row["change"], "<f4").reshape(height, -1)
+            pieces = len(model.upper) // PIECE_ROWS
+            table = model.upper if row["piece"] < pieces else model.lower
+            low = row["piece"] % pieces * PIECE_ROWS
+            table[low : low + PIECE_ROWS] += np.frombuffer(row["change"], "<f4").reshape(PIECE_ROWS, -1)
 
     back = sums.filter("kind = 0").select("block", F.lit(0).alias("kind"), "counts", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit("").alias("text"), F.lit(False).alias("train"))
     documents = placed.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("counts"), "id", "text", "train")

@@ -210,6 +210,25 @@ def test_class_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def test_model_grows_with_the_corpus():
+    small, large, larger = lm.Shape.of(1000), lm.Shape.of(5 * 10**9), lm.Shape.of(10**13)
+    assert small == (32, 32, 14) and small.top_words == 512
+    assert large.bits >= 17 and large.top_words >= 2048 and larger.bits > large.bits and larger.top_words > large.top_words
+    rng = np.random.default_rng(23)
+    shape = lm.Shape(64, 32, 17)
+    model = lm.Model(np.arange(9, dtype=np.uint64), np.ones(shape.classes), np.ones(shape.classes), shape)
+    hashed = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    cls = model.classes(hashed, rng.integers(0, 1 << 16, 3000))
+    features = model.features(np.zeros(3000, np.int64), hashed, cls)
+    before = model.log_probabilities(features, cls)[0].sum()
+    model.descend(features, cls, (np.ones_like(model.upper), np.ones_like(model.lower)), 0.15)
+    assert len(np.flatnonzero(model.upper.any(1))) > 8192  # histories have rows of their own
+    assert model.log_probabilities(features, cls)[0].sum() > before
+    every = np.arange(shape.classes)
+    total = np.exp(model.log_probabilities([np.full(shape.classes, f[7]) for f in features], every)[0]).sum()
+    assert abs(total - 1) < 1e-4
+
+
 def test_pipeline(spark):
     rng = random.Random(19)
     line = "This line is on all of the sites"
