@@ -5,7 +5,9 @@ text length and the punctuation of all its blocks are summed; the ratio of text
 links and lifted by punctuation, scores the path. Scores are laid along the page, smoothed with a
 Gaussian, fused with the unsmoothed score, and thresholded against their spread. Selected blocks vote
 for a container (``article`` or ``main`` if there is one), and the text of the container is returned
-without its menus, notices, adverts, forms and comments. Everything is local to a page.
+without its menus, notices, adverts, forms and comments. Elements are told to be such by their tag, role
+or names; one that holds an article or most of the selected text stays all the same. Everything is local
+to a page.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 # What HTML itself says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas form button select textarea input nav footer aside menu dialog title".split())
+DROPPED = frozenset("head script style noscript template iframe object svg math canvas button select textarea input title".split())
+#: Tags that mark boilerplate as a name does.
+MARKED_TAGS = frozenset("form nav footer aside menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: An opening tag closes an open element of the same kind up to a boundary.
@@ -41,6 +45,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HOLDS_BLOCKS = re.compile(r"<(?:article|main|section|div|p|table|ul|ol|dl|h[1-6])(?=[\s/>])", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
@@ -48,7 +53,7 @@ SIGMA, THRESHOLD = 1.0, 0.5
 
 
 def _is_marked(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
+    if tag in MARKED_TAGS:
         return True
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
@@ -63,14 +68,15 @@ def _is_marked(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """Blocks in page order: path of (tag#number) from the root, text, characters in links, heading or not.
+def blocks_of(page: str, skip_inline: bool = True) -> list[tuple[tuple[str, ...], str, int, bool, tuple[int, ...]]]:
+    """Blocks in page order: path of (tag#number) from the root, text, characters in links, heading or not, depths of marked elements.
 
-    Blocks inside boilerplate elements are left out, as is white space at their ends. Broken markup is
+    Dropped elements are left out, as are marked inline elements if ``skip_inline``, but for those that
+    hold blocks, and white space at the ends of blocks. Broken markup is
     read as a browser would in the main: a paragraph ends where another block begins, ends without a
     beginning are skipped, and a tag that breaks off at the end of the page is no text.
     """
-    stack: list[tuple[str, bool]] = [("#root", False)]  # name with its number, dropped or not
+    stack: list[tuple[str, bool, bool]] = [("#root", False, False)]  # name with its number, dropped or not, marked or not
     out, parts = [], []
     links = linked = count = 0
     at, n = 0, len(page)
@@ -80,8 +86,9 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                path = tuple(name for name, _ in stack)
-                out.append((path, text, min(linked, len(text)), any(name.split("#")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for name in path)))
+                path = tuple(name for name, _, _ in stack)
+                marks = tuple(depth for depth, (_, _, marked) in enumerate(stack, 1) if marked)
+                out.append((path, text, min(linked, len(text)), any(name.split("#")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for name in path), marks))
             parts.clear()
         linked = 0
 
@@ -129,10 +136,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                 parts.append(" ")
             elif tag == "a":
                 links += 1
-            elif _is_marked(tag, attributes) and tag not in ("b", "i", "em", "strong"):
+            elif skip_inline and tag not in ("b", "i", "em", "strong") and _is_marked(tag, attributes):
                 # a marked inline element: skip to its end
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
+                if end and not _HOLDS_BLOCKS.search(page, at, end.start()):
+                    at = end.end()
             continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
@@ -158,7 +166,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if tag in ("article", "main", "section", "nav", "aside", "footer"):
             links = 0  # a link doesn't reach over sections
         count += 1
-        stack.append((f"{tag}#{count}", stack[-1][1] or _is_marked(tag, attributes)))
+        stack.append((f"{tag}#{count}", stack[-1][1] or tag in DROPPED, _is_marked(tag, attributes)))
         if attributes.rstrip().endswith("/") and tag not in ("p", "div", "article", "section", "main", "body", "html"):
             stack.pop()
     flush()
@@ -168,8 +176,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
 def path_scores(blocks) -> list[float]:
     """The fused score of each block: its path's ratio, and that ratio smoothed along the page."""
     texts: dict[tuple, list[float]] = {}
-    keys = [tuple(name.split("#")[0] for name in path) for path, _, _, _ in blocks]
-    for key, (_, text, linked, _) in zip(keys, blocks, strict=True):
+    keys = [tuple(name.split("#")[0] for name in path) for path, *_ in blocks]
+    for key, (_, text, linked, *_) in zip(keys, blocks, strict=True):
         sums = texts.setdefault(key, [0.0, 0.0, 0.0, 0.0])
         sums[0] += len(text)
         sums[1] += len(_PUNCTUATION.findall(text))
@@ -193,22 +201,51 @@ def path_scores(blocks) -> list[float]:
     return fused
 
 
+def _selected(blocks) -> tuple[list[float], list[bool]]:
+    """The score of each block, and whether it reaches the threshold."""
+    scores = path_scores(blocks)
+    mean = sum(scores) / len(scores)
+    spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+    return scores, [s >= mean - THRESHOLD * spread for s in scores]
+
+
+def unmarked(blocks) -> list:
+    """``blocks`` without those of marked elements that hold neither an article nor half of the selected text."""
+    if not any(block[4] for block in blocks):
+        return blocks
+    scores, content = _selected(blocks)
+    total, mass, spared = 0.0, {}, set()
+    for (path, text, linked, _, marks), score, chosen in zip(blocks, scores, content, strict=True):
+        weight = (len(text) - linked) * score if chosen else 0.0
+        total += weight
+        for depth in marks:
+            mass[path[depth - 1]] = mass.get(path[depth - 1], 0.0) + weight
+            if any(name.split("#")[0] in ("article", "main") for name in path[depth:]):
+                spared.add(path[depth - 1])
+    # Outside of an article that no mark takes away, much text is no sign of main text: a footer can be longer.
+    named = [{name for name in path if name.split("#")[0] in ("article", "main")} for path, *_ in blocks]
+    plain = any(names and all(path[d - 1] in spared for d in marks) for names, (path, *_, marks) in zip(named, blocks, strict=True))
+    inside = {path[d - 1] for names, (path, *_, marks) in zip(named, blocks, strict=True) for d in marks if names.intersection(path[: d - 1])}
+    spared.update(name for name, m in mass.items() if total and 2 * m >= total and (name in inside or not plain))
+    return [block for block in blocks if all(block[0][depth - 1] in spared for depth in block[4])]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks joined by an empty line; empty if there is none."""
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks = unmarked(blocks_of(page))
+    whole = blocks_of(page, skip_inline=False)
+    if 2 * sum(len(b[1]) for b in blocks) < sum(len(b[1]) for b in unmarked(whole)):
+        blocks = unmarked(whole)  # most of the text is in marked inline elements
     if not blocks:
         return ""
-    scores = path_scores(blocks)
-    mean = sum(scores) / len(scores)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    content = [s >= mean - THRESHOLD * spread for s in scores]
+    scores, content = _selected(blocks)
     root = _container(blocks, scores, content)
     depth = len(root)
     inside = [(block, chosen) for block, chosen in zip(blocks, content, strict=True) if block[0][:depth] == root]
     explicit = root[-1].split("#")[0] in ("article", "main")
-    kept = [text for (path, text, linked, heading), chosen in inside if explicit or chosen or heading or linked * 2 <= len(text)]
+    kept = [text for (path, text, linked, heading, _), chosen in inside if explicit or chosen or heading or linked * 2 <= len(text)]
     return "\n\n".join(kept)
 
 
@@ -216,8 +253,9 @@ def _container(blocks, scores, content) -> tuple[str, ...]:
     """The element that holds the main text: the article with the most selected text, else ``main``, else
     the deepest element that holds nine tenths of the selected text."""
     mass: dict[tuple, float] = {}
+    marked = {path[:depth] for path, *_, marks in blocks for depth in marks}
     total = 0.0
-    for (path, text, linked, _), score, chosen in zip(blocks, scores, content, strict=True):
+    for (path, text, linked, *_), score, chosen in zip(blocks, scores, content, strict=True):
         if not chosen:
             continue
         weight = (len(text) - linked) * score
@@ -226,6 +264,8 @@ def _container(blocks, scores, content) -> tuple[str, ...]:
             mass[path[:depth]] = mass.get(path[:depth], 0.0) + weight
     for tag in ("article", "main"):
         named = [(m, path) for path, m in mass.items() if path[-1].split("#")[0] == tag]
+        # an article below a mark may be a teaser: it counts if it holds half of the text
+        named = [(m, path) for m, path in named if 2 * m >= total or not any(path[:d] in marked for d in range(1, len(path)))]
         if named:
             best, path = max(named, key=lambda x: x[0])
             if best * 2 >= sum(m for m, p in named if not any(p[:d] in {q for _, q in named} for d in range(1, len(p)))):

@@ -33,6 +33,21 @@ def test_main_text():
     assert [cut(x) for x in (None, "", "<p>", "<script>x", "plain", "<p>a<", "<!-- c --")] == ["", "", "", "", "plain", "a<", ""]
 
 
+@pytest.mark.parametrize("opening", ["<div class='wrapper no-sidebar'>", "<div class='content has-sidebar'>", "<div class='post comments-open'>", "<div class=menu-open>", "<div id=legal>", "<form action=/>", "<aside>", "<div role=dialog>", "<span class=comments>"])
+def test_marks_are_votes(opening):
+    tag = re.match(r"<(\w+)", opening).group(1)
+    body = "<p>The first paragraph has words, and more words.</p><p>The second one, too, is long enough.</p>"
+    want = "The first paragraph has words, and more words.\n\nThe second one, too, is long enough."
+    around = "<nav><a href=/>Home</a></nav>{}<div class=ad>Buy, now.</div>"
+    for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+        assert html_extract.main_text(f"<body>{around.format(opening + inner + f'</{tag}>')}</body>") == want
+    assert html_extract.main_text(f"<body><div class=text>{body}</div>{opening}<article>Teaser</article></{tag}></body>").startswith(want)
+
+
+def test_marked_inline_text_stays_if_it_is_the_most():
+    assert html_extract.main_text("<p>Short.</p><p><span class=notice>A long notice that is all there is on this page.</span></p>") == "Short.\n\nA long notice that is all there is on this page."
+
+
 def test_main_text_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_extract.extract_main_text(rows).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
