@@ -244,9 +244,21 @@ def main_text(page: str | None) -> str:
     root = _container(blocks, scores, content)
     depth = len(root)
     inside = [(block, chosen) for block, chosen in zip(blocks, content, strict=True) if block[0][:depth] == root]
-    explicit = root[-1].split("#")[0] in ("article", "main")
-    kept = [text for (path, text, linked, heading, _), chosen in inside if explicit or chosen or heading or linked * 2 <= len(text)]
-    return "\n\n".join(kept)
+    keys = [tuple(name.split("#")[0] for name in block[0]) for block, _ in inside]
+    of_path: dict[tuple, list[int]] = {}
+    for key, (block, chosen) in zip(keys, inside, strict=True):
+        sums = of_path.setdefault(key, [0, 0, 0])
+        sums[0] += len(block[1])
+        sums[1] += len(block[1]) if chosen else 0
+        sums[2] += block[2]
+    # A short paragraph stays if its path is one of content: mostly selected, or a tenth of all plain text of
+    # the container. A heading stays if what stands beside it does.
+    plain = {key: sums[0] - sums[2] for key, sums in of_path.items()}
+    whole = sum(plain.values())
+    explicit = root[-1].split("#")[0] in ("article", "main")  # the page itself says what is content
+    stays = [explicit or chosen or 2 * of_path[key][1] >= of_path[key][0] or 0 < whole <= 10 * plain[key] for key, (_, chosen) in zip(keys, inside, strict=True)]
+    kept = [i for i, ((_, _, _, heading, _), _) in enumerate(inside) if stays[i] or heading and any(stays[max(i - 1, 0) : i + 2])]
+    return "\n\n".join(inside[i][0][1] for i in kept)
 
 
 def _container(blocks, scores, content) -> tuple[str, ...]:

@@ -48,6 +48,14 @@ def test_marked_inline_text_stays_if_it_is_the_most():
     assert html_extract.main_text("<p>Short.</p><p><span class=notice>A long notice that is all there is on this page.</span></p>") == "Short.\n\nA long notice that is all there is on this page."
 
 
+def test_scores_select_blocks():
+    long = [f"Paragraph {i} has a number of words, some commas, and two sentences. It goes on like this for a while, as texts do." for i in range(8)]
+    body = "<h1>Heading</h1>" + "".join(f"<p>{x}</p>" for x in long) + "<p>Short one.</p>"
+    want = "\n\n".join(["Heading", *long, "Short one."])
+    # Neither has a mark or a link.
+    assert html_extract.main_text(f"<body><div>{body}<div class=x1>Open daily</div><div class=x1>Buy here</div></div></body>") == want
+
+
 def test_main_text_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_extract.extract_main_text(rows).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
