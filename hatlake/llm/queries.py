@@ -72,7 +72,7 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rollups import token_rollup
 
     path = shared_path(spark, "rollups")
-    totals = materialise(token_rollup(table(spark, sf_dir, "documents"), path, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, "byte_bpe_50k"))
+    totals = materialise(token_rollup(table(spark, sf_dir, "documents"), path, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, "byte_bpe_50k", put_back=True))
     delete_path(spark, path)
     return totals
 

@@ -86,26 +86,40 @@ class RollupStore:
         return totals.filter("n_docs <> 0 OR n_tokens <> 0").withColumnRenamed("version", "tokenizer_version")
 
 
-def token_rollup(docs: DataFrame, path: str, vocabulary: str, pattern: str, version: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def token_rollup(docs: DataFrame, path: str, vocabulary: str, pattern: str, version: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", put_back: bool = False) -> DataFrame:
     """The totals of a store that went through a life: loaded, revised, thinned out, and replayed.
 
     ``load`` inserts every document with a provisional count (a quarter of its bytes), ``exact`` revises
-    all of them to their counts under the vocabulary, ``copies`` deletes the documents whose text another
-    document with a smaller id has too, and replaying ``exact`` changes nothing. Null texts are empty.
+    all of them to their counts under the vocabulary, ``copies`` deletes all but one of the documents of
+    each text, and replaying ``exact`` changes nothing. With ``put_back`` a last batch inserts the deleted
+    documents again, so the totals are those of all rows. Null texts are empty. Each row has a key of its
+    own in the store, also rows that repeat an id or have none.
     """
     from .bpe import encode
 
     spark = docs.sparkSession
     store = RollupStore(spark, path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.lit(version).alias("version"), text.alias("text"))
-    store.commit("0001-load", narrow.select(F.lit("insert").alias("op"), "id", "source", "lang", "version", F.expr("octet_length(text) div 4").alias("n_tokens")))
-    counted = encode(narrow, vocabulary, pattern, id_col="id", ids=False)
-    exact = materialise(counted.select(F.lit("revise").alias("op"), "id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(version).alias("version"), "n_tokens"))
+    shown = [F.col(id_col).cast("long").alias("doc"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), text.alias("text")]
+    # Rows that are equal have the same key at first; each of them is then numbered and gets one of its own.
+    keyed = docs.select(*shown).select(F.xxhash64(F.to_json(F.struct("doc", "source", "lang")), "text").alias("id"), "source", "lang", "text")
+    own = F.when(F.col("copy") == 1, F.col("id")).otherwise(F.xxhash64("id", "copy"))
+
+    def each_row(rows: DataFrame, *columns: str) -> DataFrame:
+        counted = rows.groupBy("id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in columns])
+        return counted.select("id", *columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select(own.alias("id"), *columns)
+
+    nothing = F.lit(None).cast("string")
+    loaded = materialise(each_row(keyed.select("id", "source", "lang", F.expr("octet_length(text) div 4").alias("n_tokens"), F.sha2("text", 256).alias("sha")), "source", "lang", "n_tokens", "sha"))
+    store.commit("0001-load", loaded.select(F.lit("insert").alias("op"), "id", "source", "lang", F.lit(version).alias("version"), "n_tokens"))
+    counted = each_row(encode(keyed.select("id", "text"), vocabulary, pattern, id_col="id", ids=False).select("id", "n_tokens"), "n_tokens")
+    exact = materialise(counted.select(F.lit("revise").alias("op"), "id", nothing.alias("source"), nothing.alias("lang"), F.lit(version).alias("version"), "n_tokens"))
     store.commit("0002-exact", exact)
-    hashed = materialise(narrow.select("id", F.sha2("text", 256).alias("sha")))
-    first = hashed.groupBy(F.col("sha").alias("of_sha")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    copies = hashed.join(materialise(first), F.col("sha") == F.col("of_sha")).filter("id <> first_id")
-    store.commit("0003-copies", copies.select(F.lit("delete").alias("op"), "id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("version"), F.lit(0).alias("n_tokens")))
+    first = loaded.groupBy(F.col("sha").alias("of_sha")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    copies = materialise(loaded.join(materialise(first), F.col("sha") == F.col("of_sha")).filter("id <> first_id").select("id", "source", "lang"))
+    store.commit("0003-copies", copies.select(F.lit("delete").alias("op"), "id", nothing.alias("source"), nothing.alias("lang"), nothing.alias("version"), F.lit(0).alias("n_tokens")))
     store.commit("0002-exact", exact)
+    if put_back:
+        again = copies.join(exact.select("id", "version", "n_tokens"), "id")
+        store.commit("0004-back", again.select(F.lit("insert").alias("op"), "id", "source", "lang", "version", "n_tokens"))
     return store.totals()

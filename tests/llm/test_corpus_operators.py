@@ -180,6 +180,16 @@ def test_rollup_life(spark, tmp_path):
     assert sum(r["n_docs"] for r in found) == 3 and sum(r["n_tokens"] for r in found) == 2 + 3
 
 
+def test_rollup_totals_hold_every_row(spark, tmp_path):
+    rows = [(1, "one text"), (2, "one text"), (2, "one text"), (2, "other text here"), (None, "one text"), (None, "one text"), (None, "here"), (4, None)]
+    found = rollups.token_rollup(docs(spark, rows), str(tmp_path / "s"), JSON, P.PATTERN, "v", put_back=True).collect()
+    want = defaultdict(lambda: [0, 0])
+    for i, text in rows:
+        sums = want[f"s{(i or 0) % 4}"]
+        sums[0], sums[1] = sums[0] + 1, sums[1] + len((text or "").split())
+    assert {r["source"]: [r["n_docs"], r["n_tokens"]] for r in found} == want
+
+
 def test_language_model(spark):
     rng = random.Random(13)
     tongues = [words(rng, 60) for _ in range(3)]
