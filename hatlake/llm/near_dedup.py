@@ -38,8 +38,6 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 9
 #: log2 of the buckets that count document frequencies.
 DF_BITS = 20
-#: Pairs that agree in fewer of the 27 samples aren't compared in full; at a similarity of 0.8 that has a probability under 1e-5.
-LEAST_AGREEING = 11
 #: Hubs of a component that nodes outside it are compared with.
 HUBS = 8
 #: Texts hashed at once: their number takes the upper eight bits of a sort key.
@@ -221,15 +219,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each class, with its columns as they were.
 
-    Rows that repeat a kept id and text are dropped but for one.
+    Rows that repeat a kept id and text are dropped but for one. Null and empty texts are one class; null ids
+    sort after others, so they are kept only where a class has no other. A very long text is hashed whole by
+    one task. An empty table gives no rows. Clashing column names can't matter: a row travels as one struct.
     """
     node = _node(_norm(text_of(f"`{text_col}`")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("node"), F.col(f"`{id_col}`").cast("long").alias("id"))
     kept = _classes(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text")), threshold)
-    kept = materialise(kept.filter("kept").select(F.col("id").alias("kept_id"), F.col("node").alias("kept_node")))
-    joined = row.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node")), "left_semi")
+    key = F.xxhash64("id", "node").alias("key")  # one key for the join and the grouping after it, so texts are moved once
+    kept = materialise(kept.filter("kept").select(key, F.col("id").alias("kept_id"), F.col("node").alias("kept_node")))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node"))
+    joined = row.select(key, "id", "node", "row").alias("r").join(kept.alias("k"), (F.col("r.key") == F.col("k.key")) & same, "left_semi")
     # A node and id that stand once in the class table can stand on repeated rows: the first of equal rows stays.
-    return joined.groupBy("id", "node").agg(F.first("row").alias("row")).select("row.*")
+    return joined.groupBy("key", "id", "node").agg(F.first("row").alias("row")).select("row.*")
 
 
 def _norm(text):
@@ -278,7 +280,7 @@ def _linked_roots(normed: DataFrame, nodes: DataFrame, shared, threshold: float)
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     led = materialise(members.filter("node <> leader").select(*pair("node", "leader")).distinct())
-    compared = materialise(_verify(_likely(led, sigs), texts, shared))
+    compared = materialise(_verify(led, texts, shared))
     edges = compared.filter(F.col("similarity") >= threshold).select("a", "b")
     roots = materialise(connected_components(edges).withColumnRenamed("node", "root_of"))
 
@@ -368,14 +370,6 @@ def _texts(normed: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(there.groupBy("node").agg(F.first("norm").alias("norm")))
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs that agree in LEAST_AGREEING samples or more."""
-    samples = lambda side: F.transform(F.sequence(F.lit(0), F.lit(ROWS * BANDS - 1)), lambda k: F.substring(F.col(side), 1 + 4 * k, F.lit(4)))
-    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    agreeing = F.aggregate(F.zip_with(samples("sig_a"), samples("sig_b"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return materialise(both.filter(agreeing >= LEAST_AGREEING).select("a", "b"))
-
-
 def _verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     """a, b and similarity of every pair."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("text_a")), "a")
