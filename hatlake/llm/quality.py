@@ -1,8 +1,8 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Base rules look at a document alone. The adaptive rules compare four ratios of a document with its
-cohort (language and source): a ratio must lie inside fences set from the cohort's own quartiles.
-The quartiles come from mergeable quantile sketches: log-linear histograms whose bins hold whole
+cohort (language and source): a ratio must lie inside fences set from the cohort's own quantiles.
+The quantiles come from mergeable quantile sketches: log-linear histograms whose bins hold whole
 numbers, so they merge by adding counts, give the same answer in any order of merging, and have at
 most ``64 * 57`` bins of a relative width under 1/64. Cohorts with few rows use the merged sketch of
 their language, or else that of all rows.
@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_of
 
-#: ratio: (quartiles away from the nearer quartile that are still allowed, least quartile range, has a lower fence).
+#: Quantiles of a sketch, as fractions.
+QUANTILES = {"q1": (1, 4), "q2": (1, 2), "q3": (3, 4), "q99": (99, 100)}
+#: ratio: (inner and outer quantile, reach, least distance, has a lower fence). The fence lies ``reach`` times the distance
+#: of the two quantiles beyond the outer one. Most texts have no repeated lines or windows, so there the
+#: quartiles are equal and the 99th percentile tells what is usual. The least distance counts only in cohorts
+#: whose quantiles are equal or nearly so.
 FENCES = {
-    "symbol_ratio": (3, 20, False),
-    "word_length": (9, 50, True),
-    "dup_line_ratio": (4, 100, False),
-    "repeat_ratio": (4, 50, False),
+    "symbol_ratio": ("q1", "q3", 3, 5, False),
+    "word_length": ("q1", "q3", 10, 5, True),
+    "dup_line_ratio": ("q2", "q99", 1, 100, False),
+    "repeat_ratio": ("q2", "q99", 1, 40, False),
 }
 #: Rows that a cohort's own sketch needs.
 MIN_ROWS = 200
@@ -96,16 +101,17 @@ def fit_fences(features: DataFrame, lang: Column, source: Column) -> DataFrame:
     merged = levels.groupBy("level", "lang", "source", "ratio", "bin").agg(F.sum("n").alias("n"))
     key = Window.partitionBy("level", "lang", "source", "ratio")
     ranked = merged.select("*", F.sum("n").over(key.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(key).alias("total"))
-    at = lambda quarters: F.min(F.when(4 * F.col("upto") >= quarters * F.col("total"), F.col("bin")))
-    quartiles = ranked.filter("total > 0").groupBy("level", "lang", "source", "ratio").agg(at(1).alias("q1"), at(3).alias("q3"), F.first("total").alias("total"))
-    k = F.create_map(*[x for r, (k, _, _) in FENCES.items() for x in (F.lit(r), F.lit(k))])[F.col("ratio")]
-    least = F.create_map(*[x for r, (_, m, _) in FENCES.items() for x in (F.lit(r), F.lit(m))])[F.col("ratio")]
-    reach = k * F.greatest(F.col("q3") - F.col("q1"), least)
-    wide = quartiles.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("rows"),
-        *[F.max(F.when(F.col("ratio") == r, F.col("q3") + reach)).alias(f"{r}_high") for r in FENCES],
-        *[F.max(F.when(F.col("ratio") == r, F.col("q1") - reach)).alias(f"{r}_low") for r, (_, _, low) in FENCES.items() if low],
-    )
+    at = lambda part, of: F.min(F.when(of * F.col("upto") >= part * F.col("total"), F.col("bin")))
+    quantiles = ranked.filter("total > 0").groupBy("level", "lang", "source", "ratio").agg(*[at(*q).alias(name) for name, q in QUANTILES.items()], F.first("total").alias("total"))
+
+    def fence(ratio: str, low: bool) -> Column:
+        inner, outer, reach, least, _ = FENCES[ratio]
+        beyond = reach * F.greatest(F.col(outer) - F.col(inner), F.lit(least))
+        value = F.col(inner) - beyond if low else F.col(outer) + beyond
+        return F.max(F.when(F.col("ratio") == ratio, value)).alias(f"{ratio}_{'low' if low else 'high'}")
+
+    lower = [r for r, (*_, low) in FENCES.items() if low]
+    wide = quantiles.groupBy("level", "lang", "source").agg(F.max("total").alias("rows"), *[fence(r, False) for r in FENCES], *[fence(r, True) for r in lower])
     fences = F.struct(*[c for c in wide.columns if c not in ("level", "lang", "source", "rows")]).alias("f")
     enough = F.col("rows") >= MIN_ROWS
     all_rows = wide.filter("level = 2").select(fences.alias("f2"))
@@ -124,7 +130,7 @@ def judged(features: DataFrame, fences: DataFrame, lang: Column, source: Column)
     """``features`` with ``kept``: base rules passed and every ratio inside its cohort's fences."""
     limits = fences.select(F.col("lang").alias("cohort_lang"), F.col("source").alias("cohort_source"), F.struct(*[c for c in fences.columns if c not in ("lang", "source")]).alias("f"))
     inside = F.lit(True)
-    for ratio, (_, _, low) in FENCES.items():
+    for ratio, (*_, low) in FENCES.items():
         inside &= F.coalesce(F.col(ratio) <= F.col(f"f.{ratio}_high"), F.lit(True))
         if low:
             inside &= F.coalesce(F.col(ratio) >= F.col(f"f.{ratio}_low"), F.lit(True))

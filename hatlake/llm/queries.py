@@ -143,10 +143,14 @@ m AS (UNPIVOT (SELECT k, lang, source, symbol_ratio, word_length, dup_line_ratio
   ON symbol_ratio, word_length, dup_line_ratio, repeat_ratio INTO NAME ratio VALUE v),
 x AS (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS v FROM m),
 lv AS (SELECT 0 AS level, lang, source, ratio, v FROM x UNION ALL SELECT 1, lang, NULL, ratio, v FROM x UNION ALL SELECT 2, NULL, NULL, ratio, v FROM x),
-q AS (SELECT level, lang, source, ratio, count(*) AS total, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM lv GROUP BY ALL),
-fe AS (SELECT level, lang, source, ratio, q3 + reach AS high, CASE WHEN ratio = 'word_length' THEN q1 - reach END AS low FROM (
-  SELECT *, CASE ratio WHEN 'symbol_ratio' THEN 3 WHEN 'word_length' THEN 9 ELSE 4 END * greatest(q3 - q1, CASE ratio WHEN 'symbol_ratio' THEN 20 WHEN 'dup_line_ratio' THEN 100 ELSE 50 END) AS reach
-  FROM q WHERE level = 2 OR total >= 200)),
+h AS (SELECT level, lang, source, ratio, v, count(*) AS n FROM lv GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY v) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM h),
+q AS (SELECT level, lang, source, ratio, max(total) AS total, min(v) FILTER (4 * upto >= total) AS q1, min(v) FILTER (2 * upto >= total) AS q2,
+  min(v) FILTER (4 * upto >= 3 * total) AS q3, min(v) FILTER (100 * upto >= 99 * total) AS q99 FROM u GROUP BY ALL),
+fe AS (SELECT level, lang, source, ratio,
+  CASE ratio WHEN 'symbol_ratio' THEN q3 + 3 * greatest(q3 - q1, 5) WHEN 'word_length' THEN q3 + 10 * greatest(q3 - q1, 5)
+    WHEN 'dup_line_ratio' THEN q99 + greatest(q99 - q2, 100) ELSE q99 + greatest(q99 - q2, 40) END AS high,
+  CASE WHEN ratio = 'word_length' THEN q1 - 10 * greatest(q3 - q1, 5) END AS low FROM q WHERE level = 2 OR total >= 200),
 bad AS (SELECT DISTINCT f.k FROM f JOIN (SELECT k, ratio AS r, v AS val FROM m) u ON f.k = u.k
   LEFT JOIN fe a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM f.lang AND a.source IS NOT DISTINCT FROM f.source AND a.ratio = u.r
   LEFT JOIN fe l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM f.lang AND l.ratio = u.r
