@@ -2,7 +2,7 @@
 
 ``Encoder`` encodes whole texts. A text is cut at each single space that follows a character other
 than white space: the pre-token pattern always starts a pre-token there, so pieces can be encoded
-apart. The library's merge model encodes each distinct piece of a batch once; a bounded memo of two
+apart. The library's merge model encodes each distinct pre-token once; a bounded memo of two
 generations keeps the ids.
 Vocabulary files are named by path and are never copied.
 """
@@ -80,70 +80,95 @@ def tokenizer_from_ranks(path: str, pattern: str):
 def tokenizer_from_json(path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+    return Tokenizer.from_file(path)
+
+
+class _Memo(dict):
+    """Ids of pieces, filled on demand; a second generation takes over when the first is full."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > MEMO_PIECES:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
-    """Encodes by a tokenizer's merge model, within each match of ``pattern``."""
+    """Encodes by a tokenizer's merge model, within each match of ``pattern``.
+
+    Strings of the tokenizer's added tokens are tokens of their own, as in the library: a text that has
+    one is encoded by the library as a whole.
+    """
 
     def __init__(self, tokenizer, pattern: str):
         import regex
 
         self.tokenizer, self.model, self.pre_tokens = tokenizer, tokenizer.model, regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         shown = byte_to_char()
         self.shown = {b: ord(c) for b, c in shown.items()}
+        self.space = shown[ord(" ")]
         chars = {c: b for b, c in shown.items()}
-        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        added = tokenizer.get_added_tokens_decoder()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values())).search if added else None
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        names = {i: t.content for i, t in added.items()}
         self.token_bytes: list[bytes] = [b""] * (max(vocab.values(), default=-1) + 1)
-        self.marks: dict[str, bytes] = {}
-        self.marks = {mark: self._encode_piece(mark) for mark in ".,;:!?"}
         for token, i in vocab.items():
-            self.token_bytes[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
+            spelt = i not in names and all(c in chars for c in token)
+            self.token_bytes[i] = bytes(chars[c] for c in token) if spelt else names.get(i, token).encode()
+        self.id_bytes = [struct.pack("<I", i) for i in range(len(self.token_bytes))]
+        #: Pre-tokens, and words with the space before them left out.
+        self.pre, self.words = _Memo(self._encode_pre_token), _Memo(self._encode_word)
+        self.marks = {mark: self.pre[mark] for mark in ".,;:!?"}
+
+    def _encode_pre_token(self, pre: str) -> bytes:
+        if pre.isascii() and pre.isprintable():  # all but the space are spelt as they are
+            spelt = pre.replace(" ", self.space)
+        else:
+            spelt = pre.encode().decode("latin-1").translate(self.shown)
+        of = self.id_bytes
+        return b"".join([of[t.id] for t in self.model.tokenize(spelt)])
 
     def _encode_word(self, word: str) -> bytes:
         """The ids of a space and ``word``, which has no white space that could join the space before it."""
         if word.isalpha():  # one pre-token
-            ids = [t.id for t in self.model.tokenize((b" " + word.encode()).decode("latin-1").translate(self.shown))]
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return self._encode_pre_token(" " + word)
         stem, mark = word[:-1], word[-1:]
         if mark in self.marks and stem.isalpha():  # two pre-tokens, of which the first is shared with the bare word
-            ids = self.young.get(stem)
-            if ids is None:
-                ids = self.old.get(stem) or self._encode_word(stem)
-                if len(stem) <= MEMO_CHARS:
-                    self.young[stem] = ids
-            return ids + self.marks[mark]
+            return self.words[stem] + self.marks[mark]
         return self._encode_piece(" " + word)
 
     def _encode_piece(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for pre in self.pre_tokens(piece):
-            spelt = pre.encode().decode("latin-1").translate(self.shown)
-            ids += [t.id for t in self.model.tokenize(spelt)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        words, pre = self.words, self.pre
+        return b"".join([words[x[1:]] if x[0] == " " and x[1:].isalpha() else pre[x] for x in self.pre_tokens(piece)])
+
+    def _encode_text(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.added is not None and self.added(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = _SAFE_CUT.split(text) if _SPACES_RUN.search(text) else text.split(" ")
+        # all parts but the first begin with their space, which is put back when a part is encoded
+        return self._encode_piece(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = []
+        out = []
         for text in texts:
-            if not text:
-                cut.append([])
-                continue
-            parts = _SAFE_CUT.split(text) if _SPACES_RUN.search(text) else text.split(" ")
-            # all but the first begin with their space, which is put back when a piece is encoded
-            cut.append(parts)
-        if len(self.young) > MEMO_PIECES:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        extra: dict[str, bytes] = {}
-        for piece in set().union(*[parts[1:] for parts in cut]).difference(young):
-            (young if len(piece) <= MEMO_CHARS else extra)[piece] = old.get(piece) or self._encode_word(piece)
-        ids = young.__getitem__ if not extra else lambda piece: young.get(piece) or extra[piece]
-        return [self._encode_piece(parts[0]) + b"".join(map(ids, parts[1:])) if parts else b"" for parts in cut]
+            out.append(self._encode_text(text))
+            self.words.turn()
+            self.pre.turn()
+        return out
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,25 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, *_ in clean}
 
 
+def test_every_fence_rejects_planted_junk(spark):
+    rng = random.Random(6)
+    word = lambda low=3, high=8: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(low, high)))
+    clean = [(i, "\n".join(" ".join(word() for _ in range(12)) for _ in range(8)), "en", "s1") for i in range(400)]
+    # A source of its own kind, where one character of ten is a symbol: its own quantiles let it stay.
+    tables = [(1000 + i, " ".join(f"{word()} |" if rng.random() < 0.7 else word() for _ in range(60)), "en", "tables") for i in range(300)]
+    lines = [" ".join(word() for _ in range(2)) for _ in range(12)]
+    repeat = [word() for _ in range(8)]
+    junk = {
+        "symbol_ratio": " ".join(word() + "%" for _ in range(60)), "word_length": " ".join(word(25, 30) for _ in range(60)),
+        "dup_line_ratio": "\n".join(x for x in lines for _ in range(3)), "repeat_ratio": " ".join(repeat + [word() for _ in range(40)] + repeat + [word() for _ in range(40)]),
+        "short words": " ".join(rng.choice("abcdefghij") for _ in range(60)),
+    }
+    rows = docs(spark, clean + tables + [(5000 + i, text, "en", "s1") for i, text in enumerate(junk.values())])
+    found = quality.quality_report(rows).collect()
+    assert {r["doc_id"] for r in found if r["kept"]} == {i for i, *_ in clean + tables}
+    assert not any(r["base_failed"] for r in found if r["doc_id"] >= 5000)
+
+
 def test_sketch_bins(spark):
     values = [0, 1, 127, 128, 129, 255, 1000, 123456, 10**12]
     found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.bin_of(F.col("v"))).collect()]
@@ -150,14 +171,23 @@ def test_encoder_equals_other_library():
     rng, other = random.Random(6), tiktoken_encoding()
     parts = [" ", "  ", "\n", "\t", "a", "word", "'s", "é", "日", "😀", "12", "!", "…", "<|endoftext|>", " ", " ", "\x0b", "\r\n", "It's", "\x00", "."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    for path in (RANKS, JSON):
+    library = tokens.tokenizer_from_json(JSON)
+    for path, plain in ((RANKS, other.encode_ordinary), (JSON, lambda text: library.encode(text, add_special_tokens=False).ids)):
         encoder = tokens.encoder_for(path, P.PATTERN)
         for low in range(0, len(texts), 500):
             for text, ids in zip(texts[low : low + 500], encoder.encode_batch(texts[low : low + 500]), strict=True):
-                assert list(memoryview(ids).cast("I")) == other.encode_ordinary(text)
+                assert list(memoryview(ids).cast("I")) == plain(text)
                 assert encoder.decode_bytes(ids).decode() == text
 
 
+def test_added_tokens_are_the_librarys():
+    encoder = tokens.encoder_for(JSON, P.PATTERN)
+    for text in ["<|endoftext|> x", "a <|endoftext|><|endoftext|>\n\n  é", "<|endoftext", "plain  text\n", " "]:
+        ids = np.frombuffer(encoder.encode_batch([text])[0], "<u4").tolist()
+        assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.decode_bytes(np.array(ids, "<u4").tobytes()).decode() == text
+
+
 def test_offsets_and_split_characters():
     encoder = tokens.encoder_for(RANKS, P.PATTERN)
     text = "né 😀日"
@@ -176,6 +206,8 @@ def test_encode_and_decode_rows(spark):
         assert len(r["ids"]) == r["n_tokens"] == len(r["char_start"])
     want = Counter((i, len(other.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in ODD)
     assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in found.collect()) == want
+    digest = lambda t: hashlib.sha256(np.array(other.encode_ordinary(t), "<u4").tobytes()).hexdigest()
+    assert Counter((r["doc_id"], r["ids_sha256"]) for r in found.collect()) == Counter((i, digest(t or "")) for i, t in ODD)
     back = bpe.decode(found.select("doc_id", "ids"), RANKS, P.PATTERN)
     assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((i, t or "") for i, t in ODD)
 
@@ -200,11 +232,20 @@ def test_first_fit_decreasing_is_first_fit():
 
 def test_pack(spark):
     rng = random.Random(8)
-    rows = ODD + [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 3000)))) for i in range(100, 160)]
+    rows = ODD + [(90, "one very long text of many sequences " * 4000), (91, "<|endoftext|> in a text"), (91, "<|endoftext|> in a text")]
+    rows += [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 3000)))) for i in range(100, 160)]
     pieces = packing.pack(docs(spark, rows), JSON, P.PATTERN, group_pieces=40, with_ids=True).collect()
     encoder = tokens.encoder_for(JSON, P.PATTERN)
     total = sum(len(x) // 4 + 1 for x in encoder.encode_batch([t or "" for _, t in rows]))
     assert sum(p["length"] for p in pieces) == total
+    # against the library itself: where each piece begins, its ids and their checksum
+    library, want = tokens.tokenizer_from_json(JSON), Counter()
+    for i, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), 2048):
+            piece = ids[start : start + 2048]
+            want[(i, start, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids), tuple(piece))] += 1
+    assert Counter((p["doc_id"], p["start"], p["length"], p["ids_crc32"], p["doc_tokens"], tuple(p["ids"])) for p in pieces) == want
     by = defaultdict(list)
     for p in pieces:
         by[p["sequence_id"]].append(p)
