@@ -29,6 +29,8 @@ FENCES = {
 }
 #: Rows that a cohort's own sketch needs.
 MIN_ROWS = 200
+#: Cohorts whose fences are broadcast; each is a row of a few numbers.
+BROADCAST_COHORTS = 20_000
 #: Bins below this are single numbers; above, a number keeps as many leading bits.
 EXACT_BITS = 7
 
@@ -127,8 +129,14 @@ def fit_fences(features: DataFrame, lang: Column, source: Column) -> DataFrame:
 
 
 def judged(features: DataFrame, fences: DataFrame, lang: Column, source: Column) -> DataFrame:
-    """``features`` with ``kept``: base rules passed and every ratio inside its cohort's fences."""
+    """``features`` with ``kept``: base rules passed and every ratio inside its cohort's fences.
+
+    ``fences`` is counted first: up to ``BROADCAST_COHORTS`` cohorts are broadcast, so the rows stay where
+    they are; more are joined by a shuffle.
+    """
     limits = fences.select(F.col("lang").alias("cohort_lang"), F.col("source").alias("cohort_source"), F.struct(*[c for c in fences.columns if c not in ("lang", "source")]).alias("f"))
+    if fences.count() <= BROADCAST_COHORTS:
+        limits = F.broadcast(limits)
     inside = F.lit(True)
     for ratio, (*_, low) in FENCES.items():
         inside &= F.coalesce(F.col(ratio) <= F.col(f"f.{ratio}_high"), F.lit(True))
@@ -149,7 +157,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     features = with_features(narrow)
     features = materialise(features.select(F.col("row.id").alias("id"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), *[c for c in features.columns if c != "row"]))
     lang, source = F.col("lang"), F.col("source")
-    fences = fit_fences(features, lang, source)
+    fences = materialise(fit_fences(features, lang, source))
     out = judged(features, fences, lang, source)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *FENCES, "kept")
 
@@ -157,10 +165,14 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns as they were.
 
-    Features are computed twice, once for the fences and once for the verdict, so texts are neither
-    shuffled nor written. Clashing column names can't matter: a row travels as one struct.
+    Features are worked out once and written with their rows to the checkpoint folder, from which both the
+    fences and the verdict are read, so texts aren't shuffled. Null texts count as empty and fail. Null
+    languages and sources are cohorts of their own; repeated rows are judged alike; a very long text is one
+    row like others. An empty table gives no rows. Clashing column names can't matter: a row travels as
+    one struct.
     """
     features = with_features(docs, text_col)
-    lang, source = F.col(f"row.`{lang_col}`"), F.col(f"row.`{source_col}`")
+    features = materialise(features.select("row", F.col(f"row.`{lang_col}`").alias("lang"), F.col(f"row.`{source_col}`").alias("source"), "base_failed", *FENCES))
+    lang, source = F.col("lang"), F.col("source")
     fences = materialise(fit_fences(features, lang, source))
     return judged(features, fences, lang, source).filter("kept").select("row.*")
