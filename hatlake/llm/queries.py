@@ -117,9 +117,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, * FROM documents),
 l AS (SELECT k, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM d),
-n AS (SELECT k, doc_id, source, raw, i, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
-b AS (SELECT line, min(doc_id) AS first_id FROM n WHERE len(string_split(line, ' ')) >= 4 GROUP BY line HAVING count(DISTINCT coalesce('s' || source, 'none')) >= 6),
-t AS (SELECT k, string_agg(raw, chr(10) ORDER BY i) AS text, count(*) AS n FROM n LEFT JOIN b USING (line) WHERE b.line IS NULL OR b.first_id IS NOT DISTINCT FROM doc_id GROUP BY k)
+n AS (SELECT k, doc_id, coalesce('s' || source, 'none') AS site, raw, i, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
+e AS (SELECT k, doc_id, site, i, line, len(string_split(line, ' ')) AS words, lag(line) OVER o AS above, lead(line) OVER o AS below
+  FROM n WHERE line <> '' WINDOW o AS (PARTITION BY k ORDER BY i)),
+b AS (SELECT line, min(doc_id) AS first_id FROM e WHERE words > 1 GROUP BY line HAVING count(DISTINCT site) >= CASE WHEN max(words) >= 4 THEN 6 ELSE 12 END),
+s AS (SELECT k, doc_id, site, i, line FROM e WHERE words < 4 AND (above IN (SELECT line FROM b) OR below IN (SELECT line FROM b))),
+c AS (SELECT line, min(doc_id) AS first_id FROM s GROUP BY line HAVING count(DISTINCT site) >= 6),
+x AS (SELECT k, i FROM e JOIN b USING (line) WHERE doc_id IS DISTINCT FROM first_id UNION SELECT k, i FROM s JOIN c USING (line) WHERE doc_id IS DISTINCT FROM first_id),
+t AS (SELECT k, string_agg(raw, chr(10) ORDER BY i) AS text, count(*) AS n FROM n ANTI JOIN x USING (k, i) GROUP BY k)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, d.lang, d.source,
   CASE WHEN coalesce(t.n, 0) = len(string_split(coalesce(d.text, ''), chr(10))) THEN d.n_chars ELSE length(coalesce(t.text, '')) END AS n_chars FROM d LEFT JOIN t ON d.k = t.k
 """

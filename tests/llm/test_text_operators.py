@@ -140,7 +140,7 @@ def test_sketch_bins(spark):
 
 def test_boilerplate_lines(spark):
     line = "Click here to read the rest"
-    rows = [(i, f"own line number {i} here\n{line}\nok", "en", f"site{i % 8}") for i in range(40)]
+    rows = [(i, f"own line number {i} here\n{line}\nok{i}", "en", f"site{i % 8}") for i in range(40)]
     rows += [(i, f"shared by few sites only\nbody {i} text here", "en", f"site{i % 5}") for i in range(100, 140)]
     rows += [(500, None, "en", None), (501, "", "en", "site1"), (502, line, "en", None), (None, f"{line}\nx", "en", "q"), (0, rows[0][1], "en", "site0")]
     frame = docs(spark, rows)
@@ -150,7 +150,7 @@ def test_boilerplate_lines(spark):
     for r in out.collect():
         found[r["doc_id"]].append((r["text"], r["n_chars"]))
     assert found[0] == [(rows[0][1], len(rows[0][1]))] * 2  # the first document keeps it, and so does its repeated row
-    assert found[7] == [("own line number 7 here\nok", 25)]
+    assert found[7] == [("own line number 7 here\nok7", 26)]
     assert found[100][0][0] == rows[40][1] and found[500] == [(None, 0)] and found[502] == [("", 0)] and found[None] == [("x", 1)]
     assert line_dedup.drop_boilerplate(frame.limit(0)).count() == 0
 
@@ -161,6 +161,31 @@ def test_near_limit_lines_are_counted_exactly(spark):
     assert lost == {6, 7, 8, 9}
 
 
+def test_short_lines_need_more(spark):
+    long = "All of our content is free"
+    rows = [(i, f"{long}\n\nShare.\nbody of number {i} is here", "en", f"s{i % 8}") for i in range(24)]  # beside it
+    rows += [(100 + i, f"own first line number {i}\nOf course.\nown last line {i}", "en", f"s{i % 20}") for i in range(40)]  # 20 sites
+    rows += [(200 + i, f"some first line number {i}\nSee also.\nsome last line {i}", "en", f"s{i % 8}") for i in range(40)]  # 8 sites only
+    rows += [(300 + i, f"a first line number {i}\nShare.\na last line {i}", "en", f"s{i % 20}") for i in range(40)]  # alone
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(docs(spark, rows)).collect()}
+    assert found[0] == rows[0][1] and found[23] == "\nbody of number 23 is here"
+    assert found[139] == "own first line number 39\nown last line 39" and found[239] == rows[103][1] and found[339] == rows[143][1]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    line = "Click here to read the rest"
+    rows = [(i, line, "en", f"s{i}") for i in range(8)] + [(50, "\n".join(f"{line}\nown line {i} of many" for i in range(50_000)), "en", "s1")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(docs(spark, rows)).collect()}
+    assert found[50] == "\n".join(f"own line {i} of many" for i in range(50_000))
+
+
+def test_lines_joined_without_a_broadcast(spark, monkeypatch):
+    rows = [(i, f"a line of many sites\nown {i}\nOf it.", "en", f"s{i % 13}") for i in range(60)]
+    plain = sorted(line_dedup.drop_boilerplate(docs(spark, rows)).collect())
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    assert sorted(line_dedup.drop_boilerplate(docs(spark, rows)).collect()) == plain
+
+
 def tiktoken_encoding():
     import tiktoken
 
