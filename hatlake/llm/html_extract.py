@@ -1,22 +1,28 @@
 """Main-text extraction by tag-path ratios.
 
-A page becomes a list of blocks in page order, each with its root-to-leaf tag path. For each path the
-text length and the punctuation of all its blocks are summed; the ratio of text to blocks, damped for
-links and lifted by punctuation, scores the path. Scores are laid along the page, smoothed with a
-Gaussian, fused with the unsmoothed score, and thresholded against their spread. Selected blocks vote
-for a container (``article`` or ``main`` if there is one), and the text of the container is returned
-without its menus, notices, adverts, forms and comments. Elements are told to be such by their tag, role
-or names; one that holds an article or most of the selected text stays all the same. Everything is local
-to a page.
+A page becomes a list of blocks in page order, each with its root-to-leaf tag path (tags with their
+classes). For each path the text length and the punctuation of all its blocks are summed; the ratio of
+both to the number of blocks scores the path. Scores are laid along the page, smoothed with a Gaussian,
+and fused with the unsmoothed score of the path; what is in links lowers the result, as do names of classes
+that tell of boilerplate. Paths whose score reaches a share of the page's mean score are content, and
+their blocks are selected. Then the element that holds the selected text is looked for (an ``article`` or
+``main`` if it has a fair share of it), and the selected blocks inside it are the text.
+
+Structure is dropped before: elements that aren't text, navigation, footers, asides, forms and the like.
+Such an element, or one whose name tells of boilerplate, is kept like others if it holds an article or
+most of the text. All of it is local to a page, and takes time proportional to the page.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,80 +31,147 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template iframe object svg math canvas button select textarea input title".split())
-#: Tags that mark boilerplate as a name does.
-MARKED_TAGS = frozenset("form nav footer aside menu dialog".split())
+#: Elements and roles that aren't main text by their own meaning.
+APART_TAGS = frozenset("form nav footer aside menu dialog".split())
+APART_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-#: An opening tag closes an open element of the same kind up to a boundary.
-AUTO_CLOSE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of class and id names that mark boilerplate, as whole words between separators.
-MARKED = frozenset(
+#: What an open element of these kinds is closed by, and what bounds the search for it.
+SCOPES = {
+    "p": ({"p"}, CLOSES_P, {"td", "th", "table", "button", "object"}),
+    "li": ({"li"}, {"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    "cell": ({"td", "th"}, {"td", "th", "tr"}, {"tr", "table"}),
+    "row": ({"tr"}, {"tr"}, {"table"}),
+    "option": ({"option"}, {"option"}, {"select"}),
+}
+NO_SCOPES = (0,) * len(SCOPES)
+
+#: Words of class and id names that tell of reader comments, of other boilerplate, and of what may be either.
+TALK = frozenset("comment comments commentlist disqus respond reply replies discussion thread threads".split())
+STRONG = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner banners sponsor sponsored promo promotion promoted promos "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar toolbar pagination pager skip "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus respond reply replies discussion "
-    "share sharing social related recommended recommendations widget widgets copyright legal disclaimer".split()
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sharing".split()
 )
-MARKED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form".split())
+WEAK = frozenset("header share social related recommended recommendations widget widgets copyright legal disclaimer".split())
+#: What a name multiplies the score of its paths by, and the share of the selected text that annuls it.
+TALK_FACTOR, STRONG_FACTOR, WEAK_FACTOR = 0.09, 0.1, 0.7
+TALK_SHARE, MARK_SHARE = 0.9, 0.5
+
+SIGMA = 1.0
+#: The share of the mean score that a path must reach, and in an article or main element, which says itself what is content.
+THRESHOLD, ARTICLE_THRESHOLD = 0.5, 0.25
+#: What a path is worth if all of it is links.
+LINK_SHARE = 0.1
+#: An article or main element is the container if it has this share of the selected text; another element, if it has the second.
+ARTICLE_SHARE, CONTAINER_SHARE = 0.125, 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_HOLDS_BLOCKS = re.compile(r"<(?:article|main|section|div|p|table|ul|ol|dl|h[1-6])(?=[\s/>])", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+
+
+class Element(NamedTuple):
+    parent: int
+    tag: str
+    path: int
+    depth: int
+    #: 1, or what the element's own name or meaning multiplies scores by.
+    factor: float
+    dropped: bool
+    heading: bool
+    #: For each of SCOPES the depth of the open element that it would close, or 0.
+    scopes: tuple[int, ...]
 
-SIGMA, THRESHOLD = 1.0, 0.5
 
+class Block(NamedTuple):
+    element: int
+    text: str
+    linked: int
+    #: The text goes on after a marked inline element.
+    glued: bool
 
-def _is_marked(tag: str, attributes: str) -> bool:
-    if tag in MARKED_TAGS:
-        return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next(filter(None, values), "")
-        if name in ("class", "id") and not MARKED.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", value).lower())):
-            return True
-        if name == "role" and value.strip().lower() in MARKED_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
 
+@functools.lru_cache(4096)
+def _named(tag: str, attributes: str) -> tuple[float, str]:
+    """The factor of an element's name or meaning, and its classes as part of the path."""
+    factor = 0.0 if tag in APART_TAGS else WEAK_FACTOR if tag == "header" else 1.0
+    classes = ""
+    if attributes.strip():
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), next(filter(None, values), "")
+            if name in ("class", "id"):
+                words = _WORDS.findall(_CAMEL.sub(" ", value).lower())
+                if name == "class":
+                    classes = ".".join(words)
+                if tag not in ("html", "body", "article", "main"):
+                    for known, value_of in ((TALK, TALK_FACTOR), (STRONG, STRONG_FACTOR), (WEAK, WEAK_FACTOR)):
+                        if not known.isdisjoint(words):
+                            factor = min(factor, value_of)
+            elif name == "role" and value.strip().lower() in APART_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
+                factor = 0.0
+    return factor, classes
 
-def blocks_of(page: str, skip_inline: bool = True) -> list[tuple[tuple[str, ...], str, int, bool, tuple[int, ...]]]:
-    """Blocks in page order: path of (tag#number) from the root, text, characters in links, heading or not, depths of marked elements.
 
-    Dropped elements are left out, as are marked inline elements if ``skip_inline``, but for those that
-    hold blocks, and white space at the ends of blocks. Broken markup is
-    read as a browser would in the main: a paragraph ends where another block begins, ends without a
-    beginning are skipped, and a tag that breaks off at the end of the page is no text.
+def _scopes_within(scopes: tuple[int, ...], tag: str, depth: int) -> tuple[int, ...]:
+    """The scopes inside an element of this tag and depth."""
+    if any(tag in kinds or tag in bounds for kinds, _, bounds in SCOPES.values()):
+        return tuple(depth if tag in kinds else 0 if tag in bounds else was for was, (kinds, _, bounds) in zip(scopes, SCOPES.values(), strict=True))
+    return scopes
+
+
+def parse(page: str) -> tuple[list[Element], list[Block]]:
+    """The elements of a page and its blocks in page order; white space at the ends of blocks is left out.
+
+    Broken markup is read as a browser would in the main: a paragraph ends where another block begins, ends
+    without a beginning are skipped, and a tag that breaks off at the end of the page is no text. Inline
+    elements are part of the block they stand in, but for marked ones, which are blocks of their own.
     """
-    stack: list[tuple[str, bool, bool]] = [("#root", False, False)]  # name with its number, dropped or not, marked or not
-    out, parts = [], []
-    links = linked = count = 0
+    elements = [Element(-1, "#root", 0, 0, 1.0, False, False, NO_SCOPES)]
+    stack, open_tags = [0], {}
+    paths: dict[tuple[int, str], int] = {}
+    blocks: list[Block] = []
+    parts: list[str] = []
+    links = linked = 0
+    glued = False
     at, n = 0, len(page)
 
-    def flush() -> None:
-        nonlocal linked
+    def flush(glue: bool = False) -> None:
+        nonlocal linked, glued
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                path = tuple(name for name, _, _ in stack)
-                marks = tuple(depth for depth, (_, _, marked) in enumerate(stack, 1) if marked)
-                out.append((path, text, min(linked, len(text)), any(name.split("#")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for name in path), marks))
+                blocks.append(Block(stack[-1], text, min(linked, len(text)), glued))
             parts.clear()
-        linked = 0
+        linked, glued = 0, glue
 
-    def pop_to(index: int) -> None:
+    def pop_to(depth: int) -> None:
+        """Close the open element of this depth and all within it."""
+        glue = depth == len(stack) - 1 and elements[stack[depth]].tag in INLINE
+        flush(glue)
+        for index in stack[depth:]:
+            open_tags[elements[index].tag] -= 1
+        del stack[depth:]
+
+    def push(tag: str, attributes: str, factor: float, classes: str, glue: bool = False) -> None:
         flush()
-        del stack[index:]
+        up = elements[stack[-1]]
+        key = (up.path, f"{tag}.{classes}" if classes else tag)
+        path = paths.setdefault(key, len(paths) + 1)
+        scopes = _scopes_within(up.scopes, tag, len(stack))
+        elements.append(Element(stack[-1], tag, path, len(stack), factor, up.dropped or tag in DROPPED, up.heading or tag in HEADINGS, scopes))
+        stack.append(len(elements) - 1)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not stack[-1][1]:
+        if raw and not elements[stack[-1]].dropped:
             text = html.unescape(raw)
             parts.append(text)
             if links:
@@ -120,12 +193,13 @@ def blocks_of(page: str, skip_inline: bool = True) -> list[tuple[tuple[str, ...]
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in INLINE:
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0].split("#")[0] == tag:
-                    pop_to(i)
-                    break
+            if open_tags.get(tag):
+                depth = len(stack) - 1
+                while elements[stack[depth]].tag != tag:
+                    depth -= 1
+                # an inline element doesn't close the blocks that were opened inside it
+                if tag not in INLINE or depth == len(stack) - 1:
+                    pop_to(depth)
             continue
         if tag in RAW_TEXT:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -136,157 +210,176 @@ def blocks_of(page: str, skip_inline: bool = True) -> list[tuple[tuple[str, ...]
                 parts.append(" ")
             elif tag == "a":
                 links += 1
-            elif skip_inline and tag not in ("b", "i", "em", "strong") and _is_marked(tag, attributes):
-                # a marked inline element: skip to its end
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if end and not _HOLDS_BLOCKS.search(page, at, end.start()):
-                    at = end.end()
+            elif tag not in ("b", "i", "em", "strong") and attributes:
+                factor, classes = _named(tag, attributes)
+                if factor < WEAK_FACTOR:
+                    push(tag, attributes, factor, classes)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0].split("#")[0]
-                if name == "p":
-                    pop_to(i)
-                    break
-                if name in ("td", "th", "table", "button", "object"):
-                    break
-        if tag in AUTO_CLOSE:
-            same, bounds = AUTO_CLOSE[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0].split("#")[0]
-                if name in bounds:
-                    break
-                if name in same:
-                    pop_to(i)
-                    if name == tag:
-                        break
+        for number, (_, closers, _) in enumerate(SCOPES.values()):
+            if tag in closers and (depth := elements[stack[-1]].scopes[number]):
+                pop_to(depth)
         flush()
         if tag in VOID:
             continue
         if tag in ("article", "main", "section", "nav", "aside", "footer"):
             links = 0  # a link doesn't reach over sections
-        count += 1
-        stack.append((f"{tag}#{count}", stack[-1][1] or tag in DROPPED, _is_marked(tag, attributes)))
+        factor, classes = _named(tag, attributes)
         if attributes.rstrip().endswith("/") and tag not in ("p", "div", "article", "section", "main", "body", "html"):
-            stack.pop()
+            continue
+        push(tag, attributes, factor, classes)
     flush()
-    return out
-
-
-def path_scores(blocks) -> list[float]:
-    """The fused score of each block: its path's ratio, and that ratio smoothed along the page."""
-    texts: dict[tuple, list[float]] = {}
-    keys = [tuple(name.split("#")[0] for name in path) for path, *_ in blocks]
-    for key, (_, text, linked, *_) in zip(keys, blocks, strict=True):
-        sums = texts.setdefault(key, [0.0, 0.0, 0.0, 0.0])
-        sums[0] += len(text)
-        sums[1] += len(_PUNCTUATION.findall(text))
-        sums[2] += linked
-        sums[3] += 1
-    ratio = {}
-    for key, (length, marks, linked, count) in texts.items():
-        plain = 1 - linked / length
-        ratio[key] = math.log1p(length / count * plain * (1 + marks / count))
-    raw = [ratio[key] for key in keys]
+    return elements, blocks
+
+
+def path_scores(keys: list, blocks: list[Block], factors: list[float]) -> list[float]:
+    """The score of each block's path.
+
+    ``keys`` names the path of each block. A path's ratio is ln(1 + its mean text length times one more than
+    its mean punctuation); the mean of the smoothed ratios along the path's blocks is fused with it, and the
+    result is lowered by the share of links and the factor of the path's names.
+    """
+    sums: dict = {}
+    for key, block in zip(keys, blocks, strict=True):
+        s = sums.setdefault(key, [0, 0, 0, 0])
+        s[0] += len(block.text)
+        s[1] += len(_PUNCTUATION.findall(block.text))
+        s[2] += block.linked
+        s[3] += 1
+    ratio = {key: math.log1p(length / n * (1 + marks / n)) for key, (length, marks, _, n) in sums.items()}
+    raw = np.array([ratio[key] for key in keys])
     reach = max(1, math.ceil(3 * SIGMA))
-    kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-reach, reach + 1)]
-    fused = []
-    for i, own in enumerate(raw):
-        total = weight = 0.0
-        for d, k in zip(range(-reach, reach + 1), kernel, strict=True):
-            if 0 <= i + d < len(raw):
-                total += k * raw[i + d]
-                weight += k
-        fused.append((own + total / weight) / 2)
-    return fused
-
-
-def _selected(blocks) -> tuple[list[float], list[bool]]:
-    """The score of each block, and whether it reaches the threshold."""
-    scores = path_scores(blocks)
-    mean = sum(scores) / len(scores)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    return scores, [s >= mean - THRESHOLD * spread for s in scores]
-
-
-def unmarked(blocks) -> list:
-    """``blocks`` without those of marked elements that hold neither an article nor half of the selected text."""
-    if not any(block[4] for block in blocks):
-        return blocks
-    scores, content = _selected(blocks)
-    total, mass, spared = 0.0, {}, set()
-    for (path, text, linked, _, marks), score, chosen in zip(blocks, scores, content, strict=True):
-        weight = (len(text) - linked) * score if chosen else 0.0
-        total += weight
-        for depth in marks:
-            mass[path[depth - 1]] = mass.get(path[depth - 1], 0.0) + weight
-            if any(name.split("#")[0] in ("article", "main") for name in path[depth:]):
-                spared.add(path[depth - 1])
-    # Outside of an article that no mark takes away, much text is no sign of main text: a footer can be longer.
-    named = [{name for name in path if name.split("#")[0] in ("article", "main")} for path, *_ in blocks]
-    plain = any(names and all(path[d - 1] in spared for d in marks) for names, (path, *_, marks) in zip(named, blocks, strict=True))
-    inside = {path[d - 1] for names, (path, *_, marks) in zip(named, blocks, strict=True) for d in marks if names.intersection(path[: d - 1])}
-    spared.update(name for name, m in mass.items() if total and 2 * m >= total and (name in inside or not plain))
-    return [block for block in blocks if all(block[0][depth - 1] in spared for depth in block[4])]
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * SIGMA * SIGMA))
+    along = np.convolve(raw, kernel)[reach:-reach] / np.convolve(np.ones(len(raw)), kernel)[reach:-reach]
+    smooth: dict = {}
+    for key, value in zip(keys, along.tolist(), strict=True):
+        smooth[key] = smooth.get(key, 0.0) + value
+    fused = {}
+    for key, (length, _, linked, n) in sums.items():
+        plain = LINK_SHARE + (1 - LINK_SHARE) * (1 - linked / length)
+        fused[key] = (ratio[key] + smooth[key] / n) / 2 * plain
+    return [fused[key] * factor for key, factor in zip(keys, factors, strict=True)]
+
+
+def _mean_score(scores: list[float], blocks: list[Block]) -> float:
+    """The mean score of the page's characters."""
+    return sum(s * len(b.text) for s, b in zip(scores, blocks, strict=True)) / max(1, sum(len(b.text) for b in blocks))
+
+
+def _masses(elements: list[Element], blocks: list[Block], weights: list[float]) -> list[float]:
+    """The weight of all blocks below each element, by one pass from the leaves up."""
+    mass = [0.0] * len(elements)
+    for block, weight in zip(blocks, weights, strict=True):
+        mass[block.element] += weight
+    for index in range(len(elements) - 1, 0, -1):
+        mass[elements[index].parent] += mass[index]
+    return mass
+
+
+def _plain(block: Block) -> int:
+    return len(block.text) - block.linked
+
+
+def _factors(elements: list[Element], blocks: list[Block]) -> list[float]:
+    """What the names and meanings of an element and those around it multiply its scores by."""
+    keys = [elements[b.element].path for b in blocks]
+    scores = path_scores(keys, blocks, [1.0] * len(blocks))
+    limit = THRESHOLD * _mean_score(scores, blocks)
+    mass = _masses(elements, blocks, [_plain(b) * s if s >= limit else 0.0 for b, s in zip(blocks, scores, strict=True)])
+    holds = [False] * len(elements)  # an article or main element with text
+    for index in range(len(elements) - 1, 0, -1):
+        e = elements[index]
+        if mass[index] > 0 and (holds[index] or e.tag in ("article", "main")):
+            holds[e.parent] = True
+    factors = [1.0] * len(elements)
+    inside = [False] * len(elements)  # an article or main element that no mark takes away
+    plain = False  # there is one
+    for index in range(1, len(elements)):
+        e = elements[index]
+        spared = e.factor == 1 or holds[index]
+        factors[index] = factors[e.parent] * (1.0 if spared else e.factor)
+        inside[index] = inside[e.parent] or e.tag in ("article", "main") and factors[index] == 1
+        plain = plain or inside[index] and mass[index] > 0
+    # Where an article says what is content, much text outside of it is no sign of main text: a footer can be longer.
+    factors = [1.0] * len(elements)
+    for index in range(1, len(elements)):
+        e = elements[index]
+        share = TALK_SHARE if e.factor == TALK_FACTOR else MARK_SHARE
+        most = mass[0] > 0 and mass[index] >= share * mass[0] and (inside[index] or not plain)
+        factors[index] = factors[e.parent] * (1.0 if e.factor == 1 or holds[index] or most else e.factor)
+    return factors
+
+
+def _container(elements: list[Element], blocks: list[Block], selected: list[bool], scores: list[float]) -> int:
+    """The element that holds the main text: the article with the most selected text, else ``main``, each if it has
+    a fair share of it; else the deepest element that holds nine tenths of the selected text."""
+    mass = _masses(elements, blocks, [_plain(b) * s if chosen else 0.0 for b, s, chosen in zip(blocks, scores, selected, strict=True)])
+    length = _masses(elements, blocks, [_plain(b) if chosen else 0.0 for b, chosen in zip(blocks, selected, strict=True)])
+    for tag in ("article", "main"):
+        above = [False] * len(elements)
+        tops = []
+        for index in range(1, len(elements)):
+            up = elements[index].parent
+            above[index] = above[up] or elements[up].tag == tag
+            if elements[index].tag == tag and not above[index]:
+                tops.append(index)
+        if tops:
+            best = max(tops, key=mass.__getitem__)
+            if mass[best] > 0 and 2 * mass[best] >= sum(mass[t] for t in tops) and length[best] >= ARTICLE_SHARE * length[0]:
+                return best
+    deepest = max((i for i in range(len(elements)) if mass[i] >= CONTAINER_SHARE * mass[0]), key=lambda i: (elements[i].depth, -i), default=0)
+    # a single block can't be the container: its neighbours of the same parent belong to the text
+    while deepest and elements[deepest].tag not in ("div", "section", "body", "td", "article", "main"):
+        deepest = elements[deepest].parent
+    return deepest
+
+
+def select(elements: list[Element], blocks: list[Block]) -> list[Block]:
+    """The blocks of the main text."""
+    factors = _factors(elements, blocks)
+    blocks = [b for b in blocks if factors[b.element] > 0]
+    if not blocks:
+        return []
+    of = [factors[b.element] for b in blocks]
+    keys = [(elements[b.element].path, f) for b, f in zip(blocks, of, strict=True)]
+    scores = path_scores(keys, blocks, of)
+    mean = _mean_score(scores, blocks)
+    root = _container(elements, blocks, [s >= THRESHOLD * mean for s in scores], scores)
+    limit = (ARTICLE_THRESHOLD if elements[root].tag in ("article", "main") else THRESHOLD) * mean
+    within = [False] * len(elements)
+    for index in range(len(elements)):
+        within[index] = index == root or index > 0 and within[elements[index].parent]
+    inside = [(b, s >= limit, f) for b, s, f in zip(blocks, scores, of, strict=True) if within[b.element]]
+    # A path that holds a tenth of the container's plain text is content, if nothing speaks against it.
+    lengths: dict[int, int] = {}
+    for block, _, _ in inside:
+        path = elements[block.element].path
+        lengths[path] = lengths.get(path, 0) + _plain(block)
+    whole = sum(lengths.values())
+    stays = [s or f >= WEAK_FACTOR and 0 < whole <= 10 * lengths[elements[b.element].path] for b, s, f in inside]
+    # A heading stays with what follows it.
+    for i in range(len(inside) - 1, -1, -1):
+        if elements[inside[i][0].element].heading and inside[i][2] >= WEAK_FACTOR:
+            after = stays[i + 1 : i + 3]
+            stays[i] = any(after) if after else stays[i]
+    return [block for (block, _, _), stay in zip(inside, stays, strict=True) if stay]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks joined by an empty line; empty if there is none."""
     if not page:
         return ""
-    blocks = unmarked(blocks_of(page))
-    whole = blocks_of(page, skip_inline=False)
-    if 2 * sum(len(b[1]) for b in blocks) < sum(len(b[1]) for b in unmarked(whole)):
-        blocks = unmarked(whole)  # most of the text is in marked inline elements
+    elements, blocks = parse(page)
     if not blocks:
         return ""
-    scores, content = _selected(blocks)
-    root = _container(blocks, scores, content)
-    depth = len(root)
-    inside = [(block, chosen) for block, chosen in zip(blocks, content, strict=True) if block[0][:depth] == root]
-    keys = [tuple(name.split("#")[0] for name in block[0]) for block, _ in inside]
-    of_path: dict[tuple, list[int]] = {}
-    for key, (block, chosen) in zip(keys, inside, strict=True):
-        sums = of_path.setdefault(key, [0, 0, 0])
-        sums[0] += len(block[1])
-        sums[1] += len(block[1]) if chosen else 0
-        sums[2] += block[2]
-    # A short paragraph stays if its path is one of content: mostly selected, or a tenth of all plain text of
-    # the container. A heading stays if what stands beside it does.
-    plain = {key: sums[0] - sums[2] for key, sums in of_path.items()}
-    whole = sum(plain.values())
-    explicit = root[-1].split("#")[0] in ("article", "main")  # the page itself says what is content
-    stays = [explicit or chosen or 2 * of_path[key][1] >= of_path[key][0] or 0 < whole <= 10 * plain[key] for key, (_, chosen) in zip(keys, inside, strict=True)]
-    kept = [i for i, ((_, _, _, heading, _), _) in enumerate(inside) if stays[i] or heading and any(stays[max(i - 1, 0) : i + 2])]
-    return "\n\n".join(inside[i][0][1] for i in kept)
-
-
-def _container(blocks, scores, content) -> tuple[str, ...]:
-    """The element that holds the main text: the article with the most selected text, else ``main``, else
-    the deepest element that holds nine tenths of the selected text."""
-    mass: dict[tuple, float] = {}
-    marked = {path[:depth] for path, *_, marks in blocks for depth in marks}
-    total = 0.0
-    for (path, text, linked, *_), score, chosen in zip(blocks, scores, content, strict=True):
-        if not chosen:
-            continue
-        weight = (len(text) - linked) * score
-        total += weight
-        for depth in range(1, len(path) + 1):
-            mass[path[:depth]] = mass.get(path[:depth], 0.0) + weight
-    for tag in ("article", "main"):
-        named = [(m, path) for path, m in mass.items() if path[-1].split("#")[0] == tag]
-        # an article below a mark may be a teaser: it counts if it holds half of the text
-        named = [(m, path) for m, path in named if 2 * m >= total or not any(path[:d] in marked for d in range(1, len(path)))]
-        if named:
-            best, path = max(named, key=lambda x: x[0])
-            if best * 2 >= sum(m for m, p in named if not any(p[:d] in {q for _, q in named} for d in range(1, len(p)))):
-                # an article inside the best one stays part of it
-                return next((path[:d] for d in range(1, len(path)) if any(path[:d] == p for _, p in named)), path)
-    root = blocks[0][0][:1]
-    deepest = max((path for path, m in mass.items() if m >= 0.9 * total), key=len, default=root)
-    # a single block can't be the container: its neighbours of the same parent belong to the text
-    return deepest if len(deepest) < 2 or deepest[-1].split("#")[0] in ("div", "section", "body", "td", "article", "main") else deepest[:-1]
+    out: list[str] = []
+    before = -1
+    for block in select(elements, blocks):
+        if block.glued and block.element == before:
+            out[-1] += f" {block.text}"
+        else:
+            out.append(block.text)
+        before = block.element
+    return "\n\n".join(out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +391,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars (code points).
 
-    Null, empty and markup-only pages have an empty text. Repeated rows and null ids are kept. Other
-    columns aren't read. No shuffle: a page is read, parsed and given back by one task.
+    Null, empty and markup-only pages have an empty text. Repeated rows and null ids are kept; an empty
+    table gives no rows. Other columns aren't read, whatever their names. No shuffle: a page is read,
+    parsed and given back by one task, a very long or deeply nested one in time proportional to its length.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(body_col).cast("string").alias("html"))

@@ -58,6 +58,116 @@ def test_scores_select_blocks():
     assert html_extract.main_text(f"<body><div>{body}<div class=x1>Open daily</div><div class=x1>Buy here</div></div></body>") == want
 
 
+STORY = [f"Paragraph {i} of the story has a number of words, some commas, and two sentences. It goes on for a while, as texts do." for i in range(6)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{x}</p>" for x in texts)
+
+
+def test_names_only_lower_scores():
+    for name in ("legal", "social-history"):
+        page = f"<body><nav><a href=/>Home</a></nav><div class=content><h1>Title</h1>{paragraphs(STORY)}<p class='{name}'>{STORY[0]} Really.</p><div class='{name}'>{STORY[1]} Indeed.</div></div></body>"
+        assert html_extract.main_text(page) == "\n\n".join(["Title", *STORY, f"{STORY[0]} Really.", f"{STORY[1]} Indeed."])
+
+
+def test_reader_comments_go():
+    thread = "".join(f"<li><b>Reader {i}</b><p>I have read this, and I think that it is a fine story. More of it, please!</p></li>" for i in range(12))
+    for around in ("div class=story", "article", "main", "div id=x"):
+        page = f"<body><{around}><h1>Title</h1>{paragraphs(STORY)}</{around.split()[0]}><h3>Comments</h3><ol class=thread>{thread}</ol></body>"
+        assert html_extract.main_text(page) == "\n\n".join(["Title", *STORY])
+    page = f"<body><article><h1>Title</h1>{paragraphs(STORY)}<h3>Comments</h3><ol class=thread>{thread}</ol></article></body>"
+    assert html_extract.main_text(page) == "\n\n".join(["Title", *STORY])
+
+
+def test_scores_select_inside_and_outside_articles():
+    links = "".join(f"<li><a href=/{i}>Another of our stories, number {i}</a></li>" for i in range(9))
+    assert html_extract.main_text(f"<body><article><ul>{links}</ul></article><div class=text>{paragraphs(STORY)}</div></body>") == "\n\n".join(STORY)
+    page = f"<body><article>{paragraphs(STORY[:3])}<ul>{links}</ul>{paragraphs(STORY[3:])}<p>Short.</p><div class=ad>Buy, now.</div></article></body>"
+    assert html_extract.main_text(page) == "\n\n".join([*STORY, "Short."])
+
+
+def test_marked_inline_text_goes_and_its_paragraph_stays_whole():
+    page = f"<body><div>{paragraphs(STORY)}<p>Words before it, <span class=ad>Buy!</span> and <i>words</i> after.</p></div></body>"
+    assert html_extract.main_text(page) == "\n\n".join([*STORY, "Words before it, and words after."])
+
+
+def test_path_scores_equal_a_plain_version():
+    """Paths from another parser, and the ratios, smoothing and fusion written out."""
+    import html.parser
+    import math
+
+    class Plain(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.found, self.link = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.link += 1
+            else:
+                self.open.append(".".join([tag, *re.findall("[a-z]+", dict(attrs).get("class", ""))]))
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                self.link -= 1
+            else:
+                self.open.pop()
+
+        def handle_data(self, data):
+            self.found.append((tuple(self.open), data, len(data) if self.link else 0))
+
+    rng = random.Random(12)
+    for _ in range(50):
+        def node(depth):
+            if depth == 0 or rng.random() < 0.3:
+                text = " ".join(rng.choice(["word", "two,", "end.", "x!"]) for _ in range(rng.randint(1, 30)))
+                return f"<p>{text}</p>" if rng.random() < 0.8 else f"<p><a href=/>{text}</a></p>"
+            kind = rng.choice(["div", "section", "div class='a b'", "ul", "blockquote"])
+            return f"<{kind}>{''.join(node(depth - 1) for _ in range(rng.randint(1, 4)))}</{kind.split()[0]}>"
+
+        page = f"<html><body>{node(4)}</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        groups = defaultdict(list)
+        for path, text, linked in plain.found:
+            groups[path].append((len(text), sum(c in ".,!" for c in text), linked))
+        mean = lambda path, k: sum(x[k] for x in groups[path]) / len(groups[path])
+        ratio = [math.log(1 + mean(path, 0) * (1 + mean(path, 1))) for path, _, _ in plain.found]
+        smooth = []
+        for i in range(len(ratio)):
+            near = [(math.exp(-(j - i) ** 2 / 2), ratio[j]) for j in range(max(0, i - 3), min(len(ratio), i + 4))]
+            smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        want = []
+        for i, (path, _, _) in enumerate(plain.found):
+            along = [s for s, other in zip(smooth, plain.found, strict=True) if other[0] == path]
+            links = mean(path, 2) / mean(path, 0)
+            want.append((ratio[i] + sum(along) / len(along)) / 2 * (0.1 + 0.9 * (1 - links)))
+        elements, blocks = html_extract.parse(page)
+        assert [b.text for b in blocks] == [t for _, t, _ in plain.found]
+        scores = html_extract.path_scores([elements[b.element].path for b in blocks], blocks, [1.0] * len(blocks))
+        assert scores == pytest.approx(want)
+
+
+@pytest.mark.parametrize("piece", ["<div>text, a ", "<div>", "<span class=ad>x", "<ul><li>x", "<table><tr><td>x", "<a title='x", "<p><div></section>", "<dl><dt>a<dd>b", "</p></div>"])
+def test_time_is_proportional_to_the_page(piece):
+    import time
+
+    def took(n):
+        begun = time.process_time()
+        html_extract.main_text(piece * n)
+        return time.process_time() - begun
+
+    took(1000)
+    assert took(10_000) < 0.5 and took(20_000) < 1
+
+
+def test_a_very_long_page(spark):
+    long = [f"{x} Part {i}." for i in range(2000) for x in STORY]
+    rows = spark.createDataFrame([(1, "u", f"<body><nav><a href=/>Home</a></nav><div>{paragraphs(long)}</div></body>", "clash", "clash")], "page_id long, url string, html string, text string, id string")
+    assert [r["text"] for r in html_extract.extract_main_text(rows).collect()] == ["\n\n".join(long)]
+
+
 def test_main_text_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_extract.extract_main_text(rows).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
