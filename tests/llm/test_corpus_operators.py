@@ -174,6 +174,60 @@ def test_rollups(spark, tmp_path):
         store.commit("../e", change(("insert", 1, "s", "en", "v1", 1)))
 
 
+def test_rollups_equal_a_plain_ledger_under_random_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rollups, "COMPACT_EVERY", 3)
+    rng, store = random.Random(29), rollups.RollupStore(spark, str(tmp_path / "store"), buckets=4)
+    ledger, nameless = {}, Counter()
+    for batch in range(7):
+        changes = []
+        for _ in range(rng.randint(0, 25)):
+            op = rng.choice(["insert", "insert", "revise", "delete"])
+            i = rng.choice([None, *range(12)]) if op == "insert" else rng.randrange(12)
+            version = None if op == "delete" and rng.random() < 0.4 else rng.choice(["v1", "v2"])
+            changes.append((op, i, rng.choice(["s", "t", None]), rng.choice(["en", None]), version, rng.choice([None, 1, 2, 3, 50])))
+        last = {}
+        for op, i, source, lang, version, n in changes:
+            if i is None:
+                nameless[(source, lang, version)] += 1
+                nameless[(source, lang, version, "n")] += n or 0
+                continue
+            for v in [v for d, v in ledger if d == i] if op == "delete" and version is None else [version]:
+                old = ledger.get((i, v), (None, None, 0)) if op == "delete" and version is None else (source, lang)
+                rank = (op == "delete", n or 0, old[0] or "", old[1] or "")  # null is the least of strings
+                if (i, v) not in last or rank > last[i, v][0]:
+                    last[i, v] = rank, (op, old[0], old[1], n or 0)
+        for key, (_, (op, source, lang, n)) in last.items():
+            old = ledger.pop(key, (None, None, 0))
+            if op != "delete":
+                ledger[key] = (source or old[0], lang or old[1], n)
+        assert store.commit(f"b{batch}", spark.createDataFrame(changes, rollups.CHANGES))
+        assert not store.commit(f"b{batch}", spark.createDataFrame(changes, rollups.CHANGES))
+        want = defaultdict(lambda: [0, 0])
+        for (_, v), (source, lang, n) in ledger.items():
+            want[source, lang, v][0] += 1
+            want[source, lang, v][1] += n
+        for key in [k for k in nameless if len(k) == 3]:
+            want[key][0] += nameless[key]
+            want[key][1] += nameless[(*key, "n")]
+        assert {(r["source"], r["lang"], r["tokenizer_version"]): [r["n_docs"], r["n_tokens"]] for r in store.totals().collect()} == want
+        found = {(r["id"], r["version"]): (r["source"], r["lang"], r["n_tokens"]) for r in store.ledger().collect() if r["id"] is not None}
+        assert found == ledger
+    assert len(store._list("snapshots")) == 1 and len(store._parts()) == 2 and rollups.RollupStore(spark, store.path).buckets == 4
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    store = rollups.RollupStore(spark, str(tmp_path / "store"))
+    change = spark.createDataFrame([("insert", 1, "s", "en", "v", 2)], rollups.CHANGES)
+    (tmp_path / "store" / "lock").touch()
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.commit("a", change)
+    store.unlock()
+    assert store.commit("a", change) and not (tmp_path / "store" / "lock").exists()
+    with pytest.raises(Exception, match="null id"):
+        store.commit("b", spark.createDataFrame([("delete", None, "s", "en", "v", 2)], rollups.CHANGES))
+    assert store.batches() == ["a"] and store.commit("b", change.limit(0))
+
+
 def test_rollup_life(spark, tmp_path):
     rows = [(1, "one text"), (2, "one text"), (3, "other text here"), (4, None), (5, "")]
     found = rollups.token_rollup(docs(spark, rows), str(tmp_path / "s"), JSON, P.PATTERN, "v").collect()
