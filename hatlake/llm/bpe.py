@@ -4,29 +4,22 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 from .tokens import encoder_for
 
 #: Rows encoded at once inside a worker; bounds memory, not results.
 ROWS_AT_ONCE = 512
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
-
-
 def _encode(batches, path, pattern, with_ids, with_offsets, with_digests):
     encoder = encoder_for(path, pattern)
-    for batch in _slices(batches):
+    for batch in slices(batches, 1, ROWS_AT_ONCE):
         encoded = encoder.encode_batch(batch.column(1).to_pylist())
         columns = {"id": batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in encoded], pa.int64())}
         if with_ids:
@@ -57,7 +50,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def _decode(batches, path, pattern):
     encoder = encoder_for(path, pattern)
-    for batch in _slices(batches):
+    for batch in batches:
         raw = [encoder.decode_bytes(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column(1).to_pylist()]
         yield pa.record_batch({"id": batch.column(0), "bytes": pa.array(raw, pa.binary()), "text": pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())})
 

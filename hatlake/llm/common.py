@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a worker takes at once; bounds memory, not results.
+SLICE_BYTES = 8 << 20
 #: The white space of every contract here, as a Java and a Python character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -40,7 +47,8 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the session's own setting if it has one.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) a temporary folder is set.
+    Only where ``spark.checkpoint.dir`` is unset and the master is local (tests) a temporary folder is set;
+    on a cluster a machine's own folder would lose data, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -50,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="hatlake-checkpoint-"))
         current = context.getCheckpointDir()
     return current
@@ -72,6 +82,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int, n_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, whose texts have at most ``n_bytes`` bytes (or are a single one)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            upto = np.cumsum(sizes[at : at + rows], dtype=np.int64)
+            n = max(1, int(np.searchsorted(upto, n_bytes, side="right")))
+            yield batch.slice(at, n)
+            at += n
+
+
 def partitions_for(spark: SparkSession, n_bytes: int, target_bytes: int) -> int:
     """How many partitions of about ``target_bytes`` hold ``n_bytes``, and at least one for each core."""
     return max(spark.sparkContext.defaultParallelism, -(-int(n_bytes) // target_bytes), 1)

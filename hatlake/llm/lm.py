@@ -24,10 +24,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions_for, text_of
+from .common import SLICE_BYTES, materialise, partitions_for, slices, text_of
 from .hashing import U, mix, words_of
 
 #: The least outputs of the two softmaxes, and the least rows of each of the two weight tables as a power of 2.
@@ -109,15 +111,13 @@ def _sum_by_hash(hashed, n, suffix, held):
 def _block_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """For each block and bucket of hashes: the block's distinct words with their training counts."""
     found: dict[int, list] = {}
-    for batch in batches:
-        for low in range(0, batch.num_rows, 1024):
-            part = batch.slice(low, 1024)
-            owner, hashed, suffix = tokens_of(part.column(1).to_pylist())
-            blocks, train = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
-            for block in np.unique(blocks):
-                mine = (blocks == block)[owner]
-                t = train[owner[mine]]
-                found.setdefault(int(block), []).append(_sum_by_hash(hashed[mine], t.astype(np.int64), suffix[mine], (~t).astype(np.uint8)))
+    for part in slices(batches, 1, 1024):
+        owner, hashed, suffix = tokens_of(part.column(1).to_pylist())
+        blocks, train = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+        for block in np.unique(blocks):
+            mine = (blocks == block)[owner]
+            t = train[owner[mine]]
+            found.setdefault(int(block), []).append(_sum_by_hash(hashed[mine], t.astype(np.int64), suffix[mine], (~t).astype(np.uint8)))
     for block, parts in found.items():
         hashed, n, suffix, held = _sum_by_hash(*[np.concatenate(x) for x in zip(*parts, strict=True)])
         rows = np.empty(len(hashed), ENTRY)
@@ -245,12 +245,6 @@ class Model:
                 table[touched] -= rate * g / np.sqrt(s)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(low, ROWS_AT_ONCE)
-
-
 def _train(batches: Iterator[pa.RecordBatch], shared, rate: float) -> Iterator[pa.RecordBatch]:
     """The change of the weights by the task's own documents, in pieces of rows."""
     import copy
@@ -258,7 +252,7 @@ def _train(batches: Iterator[pa.RecordBatch], shared, rate: float) -> Iterator[p
     start, model = shared.value, copy.deepcopy(shared.value)
     squares = (np.full_like(model.upper, 1.0), np.full_like(model.lower, 1.0))
     seen = False
-    for batch in _slices(batches):
+    for batch in slices(batches, 0, ROWS_AT_ONCE):
         owner, hashed, suffix = tokens_of(batch.column(0).to_pylist())
         cls = model.classes(hashed, suffix)
         features = model.features(owner, hashed, cls)
@@ -267,19 +261,28 @@ def _train(batches: Iterator[pa.RecordBatch], shared, rate: float) -> Iterator[p
             part = slice(low, low + STEP_TOKENS)
             model.descend([f[part] for f in features], cls[part], squares, rate)
     if seen:
+        part = TaskContext.get().partitionId()
         for table, (new, old) in enumerate(((model.upper, start.upper), (model.lower, start.lower))):
             pieces = len(new) // PIECE_ROWS
             for piece in range(pieces):
                 low = piece * PIECE_ROWS
                 change = new[low : low + PIECE_ROWS] - old[low : low + PIECE_ROWS]
-                yield pa.record_batch([pa.array([table * pieces + piece], pa.int32()), pa.array([change.astype("<f4").tobytes()], pa.binary())], ["piece", "change"])
+                yield pa.record_batch([pa.array([table * pieces + piece], pa.int32()), pa.array([part], pa.int32()), pa.array([change.astype("<f4").tobytes()], pa.binary())], ["piece", "part", "change"])
 
 
-def _average(group: pd.DataFrame) -> pd.DataFrame:
+def _sum_changes(group: pd.DataFrame) -> pd.DataFrame:
+    """The sum of some tasks' changes of a piece, and their number."""
     total = np.zeros(len(group["change"].iloc[0]) // 4, np.float64)
-    for change in group.sort_values("change")["change"]:  # a fixed order: sums of floats don't depend on arrival
+    for change in group.sort_values("part")["change"]:  # a fixed order: sums of floats don't depend on arrival
         total += np.frombuffer(change, "<f4")
-    return pd.DataFrame({"piece": [group["piece"].iloc[0]], "change": [(total / len(group)).astype("<f4").tobytes()]})
+    return pd.DataFrame({"piece": [group["piece"].iloc[0]], "part": [group["part"].min()], "n": [len(group)], "total": [total.astype("<f8").tobytes()]})
+
+
+def _average(group: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(len(group["total"].iloc[0]) // 8, np.float64)
+    for part in group.sort_values("part")["total"]:
+        total += np.frombuffer(part, "<f8")
+    return pd.DataFrame({"piece": [group["piece"].iloc[0]], "change": [(total / group["n"].sum()).astype("<f4").tobytes()]})
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, n_train: int, v_train: int) -> Iterator[pa.RecordBatch]:
@@ -289,7 +292,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, n_train: int, v_train: int
     within[: len(model.top)] = np.log(np.maximum(model.class_n[: len(model.top)], 1.0) + 1.0)  # a class of one word has no unknown words
     block, parts, table = None, [], None
     for batch in batches:
-        blocks, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        blocks, kinds, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.binary_length(batch.column(4)).to_pylist()
         at = 0
         while at < batch.num_rows:
             if blocks[at] != block:
@@ -303,8 +306,9 @@ def _score(batches: Iterator[pa.RecordBatch], shared, n_train: int, v_train: int
                 table = table[np.argsort(table["hash"])]
                 hashes, counts = np.ascontiguousarray(table["hash"]), np.ascontiguousarray(table["n"])
                 parts = []
-            end = at
-            while end < batch.num_rows and end - at < ROWS_AT_ONCE and blocks[end] == block and kinds[end] == 1:
+            end, size = at, 0
+            while end < batch.num_rows and end - at < ROWS_AT_ONCE and blocks[end] == block and kinds[end] == 1 and (end == at or size + sizes[end] <= SLICE_BYTES):
+                size += sizes[end]
                 end += 1
             part = batch.slice(at, end - at)
             at = end
@@ -333,8 +337,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document is held out if crc32 of its id as text leaves ``held_out_fold`` by ``folds``; null ids are
     held out. Null texts are empty: their only token is the end. Repeated rows are counted and scored
-    each. Without training documents both scores are 0. Other columns aren't read; an empty table gives
-    no rows.
+    each; those that repeat an id and text share a block, which is read as a stream. A very long text is
+    read whole by one task. Without training documents both scores are 0. Other columns aren't read, whatever
+    their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = text_of(text_col)
@@ -345,7 +350,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = rows.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(n_blocks)).cast("int"))
 
     top_words = Shape.of(size).top_words  # there are fewer tokens than bytes, so no fewer words than are needed
-    entries = placed.select("block", "text", "train").repartition(n_blocks, "block").mapInArrow(partial(_block_words, buckets=n_blocks), "bucket int, block int, entries binary")
+    entries = placed.select("block", "text", "train").repartitionById(n_blocks, F.col("block")).mapInArrow(partial(_block_words, buckets=n_blocks), "bucket int, block int, entries binary")
     sums = materialise(entries.groupBy("bucket").applyInPandas(lambda group: _sum_bucket(group, top_words), SUMS))
 
     # Bounded: at most one row for each pair of bytes, and one for each word with a class of its own.
@@ -367,8 +372,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for step in range(ROUNDS):
         # Each round learns from a part of its own; together they cover every training document once.
         mine = F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == step
-        changes = rows.filter(F.col("train") & mine).select("text").coalesce(tasks).mapInArrow(partial(_train, shared=spark.sparkContext.broadcast(model), rate=RATE), "piece int, change binary")
-        for row in changes.groupBy("piece").applyInPandas(_average, "piece int, change binary").toArrow().to_pylist():
+        changes = rows.filter(F.col("train") & mine).select("text").coalesce(tasks).mapInArrow(partial(_train, shared=spark.sparkContext.broadcast(model), rate=RATE), "piece int, part int, change binary")
+        # Tasks are summed in two levels, so that a group grows with the square root of their number.
+        some = F.col("part") % max(1, math.isqrt(tasks))
+        summed = changes.groupBy("piece", some.alias("some")).applyInPandas(_sum_changes, "piece int, part int, n long, total binary")
+        for row in summed.groupBy("piece").applyInPandas(_average, "piece int, change binary").toArrow().to_pylist():
             pieces = len(model.upper) // PIECE_ROWS
             table = model.upper if row["piece"] < pieces else model.lower
             low = row["piece"] % pieces * PIECE_ROWS
@@ -376,7 +384,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     back = sums.filter("kind = 0").select("block", F.lit(0).alias("kind"), "counts", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit("").alias("text"), F.lit(False).alias("train"))
     documents = placed.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("counts"), "id", "text", "train")
-    dealt = back.unionByName(documents).repartition(n_blocks, "block").sortWithinPartitions("block", "kind")
+    dealt = back.unionByName(documents).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "kind")
     kind = rows.schema["id"].dataType.simpleString()
     job = partial(_score, shared=spark.sparkContext.broadcast(model), n_train=n_train, v_train=v_train)
     return dealt.mapInArrow(job, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise, text_of
+from .common import SPACE_CLASS, materialise, slices, text_of
 from .components import connected_components
 from .hashing import U, mix, words_of
 
@@ -38,6 +38,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 9
 #: log2 of the buckets that count document frequencies.
 DF_BITS = 20
+#: Parts of the hash space whose weights bound what two texts share, and the units that a weight is rounded up to.
+MASS_PARTS, MASS_UNITS = 256, 64
 #: Hubs of a component that nodes outside it are compared with.
 HUBS = 8
 #: Texts hashed at once: their number takes the upper eight bits of a sort key.
@@ -123,15 +125,9 @@ def similarity(a, b) -> float:
     return common / union if union > 0 else 1.0
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
-
-
 def _count_df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, docs = np.zeros(1 << DF_BITS, "<i8"), 0
-    for batch in _batches(batches):
+    for batch in slices(batches, 0, ROWS_AT_ONCE):
         _, hashed, _ = shingles(batch.column(0).to_pylist())
         counts += np.bincount(df_bucket(hashed), minlength=1 << DF_BITS)
         docs += batch.num_rows
@@ -165,7 +161,7 @@ def inverse_frequencies(normed: DataFrame) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     idf, seen = shared.value, set()
-    for batch in _batches(batches):
+    for batch in slices(batches, 2, ROWS_AT_ONCE):
         ids, nodes, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
         fresh = []
         for i, node in enumerate(nodes):
@@ -194,7 +190,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _compare(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     idf = shared.value
-    for batch in _batches(batches):
+    for batch in slices(batches, 2, ROWS_AT_ONCE):
         texts = batch.column(2).to_pylist() + batch.column(3).to_pylist()
         distinct = list(dict.fromkeys(texts))  # a leader's text stands beside many others
         owner, hashed, weight = weighted(*shingles(distinct), idf)
@@ -310,14 +306,17 @@ def _linked_roots(normed: DataFrame, nodes: DataFrame, shared, threshold: float)
 
     # What is still open is joined by the exact prefix filter.
     prefixes = texts.join(several.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi").select("node", "norm")
-    prefixes = prefixes.mapInArrow(partial(_prefixes, shared=shared, threshold=threshold), "of binary, size double, rest double, shingle long, indexed boolean")
-    prefixes = materialise(prefixes.join(several, F.col("of") == F.col("node")).select("node", "root", "outside", "size", "rest", "shingle", "indexed"))
+    prefixes = prefixes.mapInArrow(partial(_prefixes, shared=shared, threshold=threshold), "of binary, size double, rest double, shingle long, indexed boolean, mass array<smallint>")
+    prefixes = materialise(prefixes.join(several, F.col("of") == F.col("node")).select("node", "root", "outside", "size", "rest", "shingle", "indexed", "mass"))
     x, y = prefixes.select(*[F.col(c).alias(f"x_{c}") for c in prefixes.columns]), prefixes.filter("indexed").select(*[F.col(c).alias(f"y_{c}") for c in prefixes.columns])
     near = (F.col("y_size") <= F.col("x_size")) & (F.col("y_size") >= threshold * F.col("x_size") - 1e-9)
     # At the first shingle that two texts share, what is left of either must still be enough.
     enough = F.least("x_rest", "y_rest") >= threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) * (1 - 1e-9)
     fresh = (F.col("x_root") != F.col("y_root")) & (F.col("x_outside") | F.col("y_outside"))
-    again = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & near & enough & fresh).select(*pair("x_node", "y_node")).distinct()
+    # What two texts share is at most what they share by parts of the hash space.
+    shared_mass = F.aggregate(F.zip_with("x_mass", "y_mass", lambda a, b: F.least(a, b)), F.lit(0), lambda total, m: total + m)
+    could = F.coalesce(shared_mass >= MASS_UNITS * threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) * (1 - 1e-9), F.lit(True))
+    again = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & near & enough & fresh & could).select(*pair("x_node", "y_node")).distinct()
     again = materialise(again.join(led.unionByName(tried), ["a", "b"], "left_anti"))
     more = materialise(_verify(again, texts, shared).filter(F.col("similarity") >= threshold).select("a", "b"))
     if more.isEmpty():
@@ -341,10 +340,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> It
     Shingles go by falling weight, then hash. Two sets with a weighted Jaccard similarity of t or more share at
     least t of the larger one's weight, and 2 t / (1 + t) of the smaller one's. So they share a shingle
     among those of the larger that come before the last t of its weight, and it is among those of the smaller
-    (``indexed``) that come before the last 2 t / (1 + t).
+    (``indexed``) that come before the last 2 t / (1 + t). ``mass``: the text's weight in each part of the
+    hash space, rounded up; the lesser masses of two texts sum to an upper bound of what they share.
     """
     idf = shared.value
-    for batch in _batches(batches):
+    for batch in slices(batches, 1, ROWS_AT_ONCE):
         n = batch.num_rows
         owner, hashed, counts = shingles(batch.column(1).to_pylist())
         each = idf[df_bucket(hashed)].astype(np.float64)
@@ -359,8 +359,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> It
         probing = rest >= threshold * total[owner] - slack
         indexed = rest >= 2 * threshold / (1 + threshold) * total[owner] - slack
         mine = owner[probing]
-        columns = [batch.column(0).take(pa.array(mine)), pa.array(total[mine]), pa.array(rest[probing]), pa.array(hashed[probing].astype(np.int64)), pa.array(indexed[probing])]
-        yield pa.record_batch(columns, ["of", "size", "rest", "shingle", "indexed"])
+        part = (hashed & U(MASS_PARTS - 1)).astype(np.int64)
+        mass = np.ceil(np.bincount(owner * MASS_PARTS + part, weights=weight, minlength=n * MASS_PARTS) * MASS_UNITS).reshape(n, MASS_PARTS)
+        fits = (mass < 1 << 15).all(1)  # a text too long for it goes without
+        masses = pa.array([m if ok else None for m, ok in zip(mass.clip(0, (1 << 15) - 1).astype(np.int16), fits, strict=True)], pa.list_(pa.int16()))
+        columns = [batch.column(0).take(pa.array(mine)), pa.array(total[mine]), pa.array(rest[probing]), pa.array(hashed[probing].astype(np.int64)), pa.array(indexed[probing]), masses.take(pa.array(mine))]
+        yield pa.record_batch(columns, ["of", "size", "rest", "shingle", "indexed", "mass"])
 
 
 def _texts(normed: DataFrame, nodes: DataFrame) -> DataFrame:

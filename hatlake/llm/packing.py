@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _slices
-from .common import materialise, text_of
+from .bpe import ROWS_AT_ONCE
+from .common import materialise, slices, text_of
 from .tokens import encoder_for
 
 #: Pieces in a group on average. It bounds the memory of a task; more pieces leave less padding.
@@ -59,7 +59,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, pattern: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder, end = encoder_for(path, pattern), int(end_id).to_bytes(4, "little")
-    for batch in _slices(batches):
+    for batch in slices(batches, 1, ROWS_AT_ONCE):
         rows: list[tuple] = []
         for key, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist()), strict=True):
             ids += end

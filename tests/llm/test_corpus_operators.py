@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hatlake.llm import components, lm, near_dedup, rollups, warc
+from hatlake.llm import common, components, lm, near_dedup, rollups, warc
 
 JSON = P.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node string"
@@ -264,6 +264,59 @@ def test_language_model(spark):
     assert lm.score_documents(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_scores_equal_a_plain_version(spark, monkeypatch):
+    """The scores of a trained model, token by token, with the features and both softmaxes written out."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(["one", "two", "Three", "four,", "five"]) for _ in range(rng.randint(0, 40)))) for i in range(80)] + [(900, None), (901, "é unknown words " * 3), (902, "long " * 30_000)]
+    models, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: models.append(value) or broadcast(value))
+    found = {r["doc_id"]: r["score"] for r in lm.score_documents(docs(spark, rows)).collect()}
+    model = [m for m in models if isinstance(m, lm.Model)][-1]
+    shape, full = model.shape, (1 << 64) - 1
+
+    def mixed(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> 33)) * factor & full
+        return x ^ (x >> 33)
+
+    def softmax(bias, table, picked, target):
+        logits = [float(bias[k]) + sum(float(table[r][k]) for r in picked) for k in range(len(bias))]
+        top = max(logits)
+        return logits[target] - top - math.log(sum(math.exp(x - top) for x in logits))
+
+    counts = Counter()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    split = {i: tuple(zip(*[x.tolist() for x in lm.tokens_of([t or ""])[1:]], strict=True)) for i, t in rows}
+    for i, tokens in split.items():
+        counts.update(h for h, _ in tokens if not held(i))
+    top = {int(h): int(c) for h, c in zip(model.top, model.top_class, strict=True)}
+    for i, tokens in split.items():
+        if len(tokens) > 200:
+            continue
+        classes = [top.get(h, int(shape.suffix_class(np.array([s]))[0])) for h, s in tokens]
+        total = 0.0
+        for k, ((h, _), c) in enumerate(zip(tokens, classes, strict=True)):
+            one, two = (tokens[k - j][0] if k >= j else j for j in (1, 2))
+            c1, c2 = (classes[k - j] if k >= j else shape.classes for j in (1, 2))
+            features = [mixed(one ^ 0x11), mixed(two ^ 0x2222), mixed((c1 * (shape.classes + 1) + c2 + 0x333333) & full)]
+            up, low = divmod(c, shape.lower)
+            shift = 64 - shape.bits
+            total += softmax(model.upper_bias, model.upper, [f >> shift for f in features], up)
+            total += softmax(model.lower_bias[up], model.lower, [mixed((f + up) & full) >> shift for f in features], low)
+            within = max(model.class_n[c], 1) + 1 if c < len(model.top) else model.class_n[c] + model.class_v[c] + 1
+            total += math.log((counts[h] + 1) / within)
+        assert found[i] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-4)
+
+
+def test_slices_are_bounded_by_bytes_and_rows():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 0, 30, 1, 1, 1, 1, 100, 2)] + [None]
+    parts = list(common.slices([pa.record_batch([pa.array(texts, pa.string())], ["t"])], 0, 3, 30))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows <= 3 and (p.num_rows == 1 or sum(map(len, filter(None, p.column(0).to_pylist()))) <= 30) for p in parts)
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(17)
     model = lm.Model(np.arange(5, dtype=np.uint64), rng.integers(0, 50, lm.CLASSES).astype(float), np.ones(lm.CLASSES))
