@@ -164,6 +164,14 @@ def _sum_bucket(group: pd.DataFrame, top_words: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "block", "key", "n", "v", "counts"])
 
 
+def _row_max(x: np.ndarray) -> np.ndarray:
+    """The largest value of each row, as a column; rows are a power of 2 long, so halves are compared."""
+    while x.shape[1] > 1:
+        half = x.shape[1] // 2
+        x = np.maximum(x[:, :half], x[:, half:])
+    return x
+
+
 class Model:
     """Word classes with their totals, and the weights of the two softmaxes."""
 
@@ -212,19 +220,19 @@ class Model:
         """ln P of each token's class, with what a gradient step needs: rows, and the probabilities of both softmaxes."""
         up, low = cls // self.shape.lower, cls % self.shape.lower
         rows = [self.rows(f, cls) for f in features]
-        a, b = np.broadcast_to(self.upper_bias, (len(cls), self.shape.upper)).copy(), self.lower_bias[up]
+        a, b = np.broadcast_to(self.upper_bias, (len(cls), self.shape.upper)).copy(), np.take(self.lower_bias, up, axis=0)
         for i, j in rows:
-            a += self.upper[i]
-            b += self.lower[j]
+            a += np.take(self.upper, i, axis=0)
+            b += np.take(self.lower, j, axis=0)
         total = np.zeros(len(cls), np.float64)
         each = np.arange(len(cls))
         for x, y in ((a, up), (b, low)):
-            x -= x.max(1, keepdims=True)
+            x -= _row_max(x)
             target = x[each, y].astype(np.float64)
             np.exp(x, out=x)
-            s = x.sum(1, keepdims=True)
-            total += target - np.log(s[:, 0])
-            x /= s
+            s = np.einsum("ij->i", x)  # not a matrix product, which would start threads of its own
+            total += target - np.log(s)
+            x /= s[:, None]
         return total, rows, a, b
 
     def descend(self, features, cls, squares, rate: float) -> None:
@@ -233,14 +241,17 @@ class Model:
         each = np.arange(len(cls))
         a[each, cls // self.shape.lower] -= 1
         b[each, cls % self.shape.lower] -= 1
-        for pair in rows:
-            for table, square, gradient, row in zip((self.upper, self.lower), squares, (a, b), pair, strict=True):
-                order = np.argsort(row.astype(np.uint16) if self.shape.bits <= 16 else row, kind="stable")
-                sorted_rows = row[order]
-                at = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-                g = np.add.reduceat(gradient[order], at, axis=0)
-                touched = sorted_rows[at]
-                s = square[touched] + g * g
+        for table, square, gradient, side in zip((self.upper, self.lower), squares, (a, b), (0, 1), strict=True):
+            columns = np.ascontiguousarray(gradient.T)
+            for pair in rows:
+                row = pair[side]
+                touched = np.flatnonzero(np.bincount(row, minlength=len(table)))
+                place = np.empty(len(table), np.int64)
+                place[touched] = np.arange(len(touched))
+                place = place[row]
+                g = np.array([np.bincount(place, weights=c, minlength=len(touched)) for c in columns], np.float32).T
+                s = np.take(square, touched, axis=0)
+                s += g * g
                 square[touched] = s
                 table[touched] -= rate * g / np.sqrt(s)
 
