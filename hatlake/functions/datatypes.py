@@ -6,7 +6,9 @@ trims its input and knows two more types.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import trim
@@ -119,12 +121,25 @@ def compare_numbers(left: Column, right: Column, relation: str) -> Column:
 
 
 def matches_all(text: Column, patterns: list[str]) -> Column:
+    """Whether a text matches all patterns; a pattern that is no regular expression matches nothing."""
     found = F.lit(True)
     for pattern in patterns:
-        found &= text.rlike(pattern)
+        found &= text.rlike(pattern) if _compiles(pattern) else F.lit(False)
     return found
 
 
+def _compiles(pattern: str) -> bool:
+    session = SparkSession.getActiveSession()
+    try:
+        if session is None:
+            re.compile(pattern)
+        else:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001  Java's and Python's errors have no class in common
+        return False
+    return True
+
+
 def luhn(text: Column) -> Column:
     """The mod 10 check over the digits of a text; fewer than two digits fail."""
     digits = F.split(F.reverse(_digits(text)), "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +40,25 @@ def unescape(text: Column, delims: Column | None = None) -> Column:
     Split at the escape character, pieces at odd places are sequences; the last one, if odd, isn't closed.
     ``delims`` are the message's own delimiters, which sequences name and to which text returns.
     """
+    return F.when(~F.contains(text, F.lit("\\")), _back(text, delims)).otherwise(F.array_join(once(F.split(text, "\\\\", -1), lambda p: F.transform(p, _reader(p, delims))), ""))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where ``use`` names it within a lambda.
+
+    A column that a lambda names is worked out again for each element; a variable of a lambda isn't.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _back(text: Column, delims: Column | None) -> Column:
+    return text if delims is None else plain(text, delims)
+
+
+def _reader(pieces: Column, delims: Column | None) -> Callable[[Column, Column], Column]:
+    """What each piece between escape characters stands for."""
     own = (lambda name: part(delims, name)) if delims is not None else (lambda name: F.lit(getattr(DEFAULT, name)))
-    back = (lambda x: plain(x, delims)) if delims is not None else (lambda x: x)
-    pieces = F.split(text, "\\\\", -1)
+    back = lambda x: _back(x, delims)
 
     def read(x: Column, i: Column) -> Column:
         value = F.when(i % 2 == 0, back(x)).when(i == F.size(pieces) - 1, F.concat(own("esc"), back(x)))
@@ -48,7 +66,7 @@ def unescape(text: Column, delims: Column | None = None) -> Column:
             value = value.when(x == letter, own(name))
         return value.when(x == ".br", F.lit("\n")).otherwise(F.concat(own("esc"), back(x), own("esc")))
 
-    return F.when(~F.contains(text, F.lit("\\")), back(text)).otherwise(F.array_join(F.transform(pieces, read), ""))
+    return read
 
 
 def needs_escaping(text: Column, delims: Delims = DEFAULT) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.delims import canonical, of_line
-from ..functions.text import NULL, unescape
+from ..functions.text import NULL, once, unescape
 from ..plans.paths import Message, parse_path
 
 
@@ -65,6 +65,19 @@ def parsed(messages: DataFrame, raw: str = "raw") -> DataFrame:
     return parse(messages, raw).filter(F.col("parse_error").isNull())
 
 
+def occurrence_numbers(ids: Column) -> Column:
+    """For each element the how-manieth it is of its kind, from 1: one pass for each distinct element, and one sort."""
+
+    def numbered(own: Column) -> Column:
+        def of_kind(kind: Column) -> Column:
+            places = F.filter(F.transform(own, lambda x, i: F.when(x == kind, i)), lambda i: i.isNotNull())
+            return F.transform(places, lambda i, n: F.struct(i.alias("i"), (n + 1).alias("n")))
+
+        return F.transform(F.sort_array(F.flatten(F.transform(F.array_distinct(own), of_kind))), lambda s: s["n"])
+
+    return once(ids, numbered)
+
+
 def segments(messages: DataFrame, key: str = "msg_id", only: tuple[str, ...] = (), with_rep: bool = True) -> DataFrame:
     """One row per segment: key, delims, seg_idx (from 0), seg_id, seg_rep (from 1), line.
 
@@ -75,8 +88,8 @@ def segments(messages: DataFrame, key: str = "msg_id", only: tuple[str, ...] = (
         numbered = F.filter(numbered, lambda s: s["seg_id"].isin(*only))
     rows = messages.withColumn("_s", numbered)
     if with_rep:
-        of_id = lambda i: F.size(F.filter(F.slice("_ids", F.lit(1), i + 1), lambda x: x == F.get("_ids", i)))
-        rows = rows.withColumn("_ids", F.transform("_s", lambda s: s["seg_id"])).withColumn("_s", F.transform("_s", lambda s, i: s.withField("seg_rep", of_id(i))))
+        rows = rows.withColumn("_reps", occurrence_numbers(F.transform("_s", lambda s: s["seg_id"])))
+        rows = rows.withColumn("_s", F.zip_with("_s", "_reps", lambda s, n: s.withField("seg_rep", n)))
     out = rows.select(key, "delims", F.explode("_s").alias("s"))
     return out.select(key, "delims", *[f"s.{c}" for c in ("seg_idx", "seg_id", *["seg_rep"] * with_rep, "line")])
 

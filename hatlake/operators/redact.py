@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.delims import original
 from ..functions.text import NULL, escape, sha256, unescape
 from ..plans.paths import Path, PathError, parse_path
-from .parse import fields, is_encoding
+from .parse import fields, is_encoding, occurrence_numbers
 
 #: Fields that are always sensitive, and those that basic redaction replaces.
 SENSITIVE = ("PID.3", "PID.5", "PID.7", "PID.11", "PID.13", "PID.14", "PID.19", "NK1.2", "NK1.4", "NK1.5")
@@ -74,13 +75,17 @@ def load_policy(text: str) -> tuple[list[Rule], str]:
 
 
 def flat_text(raw: Column, delims: Column) -> Column:
-    """The text of a raw field, repetition or component: atoms read, separators as they are, HL7 nulls as two quotes."""
+    """The text of a raw field, repetition or component: atoms read, separators as they are, HL7 nulls as two quotes.
+
+    Without an escape character the raw form is the text.
+    """
     own = lambda i: F.substring(delims, i, 1)
     read = lambda a: F.when(a == NULL, a).otherwise(unescape(a, delims))
     subs = lambda comp: F.array_join(F.transform(F.split(comp, "&", -1), read), "\x00")
     comps = lambda rep: F.array_join(F.transform(F.split(rep, "\\^", -1), subs), "\x01")
     joined = F.array_join(F.transform(F.split(raw, "~", -1), comps), "\x02")
-    return F.replace(F.replace(F.replace(joined, F.lit("\x00"), own(5)), F.lit("\x01"), own(2)), F.lit("\x02"), own(3))
+    slow = F.replace(F.replace(F.replace(joined, F.lit("\x00"), own(5)), F.lit("\x01"), own(2)), F.lit("\x02"), own(3))
+    return F.when(~F.contains(raw, F.lit("\\")), original(raw, delims)).otherwise(slow)
 
 
 def _replaced(raw: Column, action: str, delims: Column, basic: str | None) -> Column:
@@ -122,48 +127,76 @@ def redact(messages: DataFrame, rules: list[Rule], basic: str | None = None) ->
     """``messages`` with redacted ``lines``, ``matched`` (count of each rule, in order) and ``policy_errors``.
 
     A message whose policy doesn't cover a sensitive field, or lacks a field that a rule must find, keeps
-    ``lines`` as null: nothing that should have been redacted gets through.
+    ``lines`` as null: nothing that should have been redacted gets through. Lines are rewritten in one pass:
+    a line is split once, and each of its fields goes through the rules that name it, in order.
     """
     delims = F.col("delims")
-    out = messages.withColumn("_red", F.col("lines"))
-    ids = F.transform("lines", lambda line: F.substring(line, 1, 3))
-    out = out.withColumn("_ids", ids).withColumn("_reps", F.transform("_ids", lambda x, i: F.size(F.filter(F.slice("_ids", F.lit(1), i + 1), lambda y: y == x))))
-
-    def here(line: Column, i: Column, path: Path) -> Column:
-        named = F.get("_ids", i) == path.segment
-        if path.segment_rep is not None:
-            named &= F.get("_reps", i) == path.segment_rep
-        at = path.field - 1 if path.segment == "MSH" else path.field
-        raw = F.when(F.length(line) > 4, F.get(F.split(line, "\\|", -1), F.lit(at)))
-        return named & F.coalesce(_reaches(raw, _target(path)), F.lit(False))
-
+    segment_reps = any(rule.path.segment_rep is not None for rule in rules)
+    reps = occurrence_numbers(F.transform("lines", lambda line: F.substring(line, 1, 3))) if segment_reps else F.transform("lines", lambda line: F.lit(0))
+    out = messages.withColumn("_s", F.zip_with("lines", reps, lambda line, n: F.struct(F.substring(line, 1, 3).alias("id"), n.alias("rep"), line.alias("line"))))
+
+    def changed(rule: Rule, rep: Column, raw: Column) -> Column:
+        """A raw field after one rule."""
+        if rule.action == "retain" and basic is None:
+            return raw
+        done = _edit(raw, _target(rule.path), lambda x: _replaced(x, rule.action, delims, basic))
+        return done if rule.path.segment_rep is None else F.when(rep == rule.path.segment_rep, done).otherwise(raw)
+
+    by_field: dict[str, dict[int, list[Rule]]] = {}
     matched = []
-    for k, rule in enumerate(rules):
+    for rule in rules:
         at = rule.path.field - 1 if rule.path.segment == "MSH" else rule.path.field
-        hits = F.size(F.filter(F.transform("_red", _at(here, rule.path)), lambda x: x))
-        out = out.withColumn(f"_m{k}", hits.cast("long"))
-        matched.append(F.col(f"_m{k}"))
-        if rule.action != "retain" or basic is not None:
+        before = by_field.setdefault(rule.path.segment, {}).setdefault(at, [])
+        matched.append(F.size(F.filter("_s", _finds(rule, at, list(before), changed))).cast("long"))
+        before.append(rule)
 
-            out = out.withColumn("_red", F.transform("_red", _edited(here, rule, at, delims, basic)))
-    errors = [F.when(F.col(f"_m{k}") == 0, F.lit(f"rule {r.path} matched no fields")) for k, r in enumerate(rules) if not r.optional and r.action != "retain"]
+    def edited(s: Column) -> Column:
+        line = s["line"]
+        for segment, fields_of in by_field.items():
+            line = F.when((s["id"] == segment) & (F.length(s["line"]) > 4), _with_fields(s, fields_of, changed)).otherwise(line)
+        return line
+
+    out = out.withColumn("matched", F.array(*matched) if matched else F.array().cast("array<bigint>"))
+    errors = [F.when(F.get("matched", F.lit(k)) == 0, F.lit(f"rule {r.path} matched no fields")) for k, r in enumerate(rules) if not r.optional and r.action != "retain"]
     uncovered = [] if basic is not None else [F.when(_present(p) & ~_covered(p, rules), F.lit(f"sensitive field {p} isn't covered")) for p in SENSITIVE]
     failures = F.filter(F.array(*uncovered, *errors) if uncovered or errors else F.array().cast("array<string>"), lambda x: x.isNotNull())
     out = out.withColumn("policy_errors", failures if basic is None else F.array().cast("array<string>"))
-    out = out.withColumn("matched", F.array(*matched) if matched else F.array().cast("array<bigint>"))
-    return out.withColumn("lines", F.when(F.size("policy_errors") == 0, F.col("_red"))).drop("_red", "_ids", "_reps", *[f"_m{k}" for k in range(len(rules))])
-
-
-def _at(here, path: Path):
-    return lambda line, i: here(line, i, path)
-
-
-def _edited(here, rule: Rule, at: int, delims: Column, basic: str | None):
-    def edit(line: Column, i: Column) -> Column:
-        done = F.transform(F.split(line, "\\|", -1), lambda f, j: F.when(j == at, _edit(f, _target(rule.path), lambda x: _replaced(x, rule.action, delims, basic))).otherwise(f))
-        return F.when(here(line, i, rule.path), F.array_join(done, "|")).otherwise(line)
-
-    return edit
+    red = F.when(F.size("policy_errors") == 0, F.transform("_s", edited)).alias("lines")
+    kept = [c for c in messages.columns if c not in ("lines", "matched", "policy_errors")]
+    # A generator, so that a filter on the outcome isn't pushed below the whole rewrite and worked out twice.
+    done = out.select(*kept, F.explode(F.array(F.struct(red, "matched", "policy_errors"))).alias("_r"))
+    order = [*messages.columns, *[c for c in ("matched", "policy_errors") if c not in messages.columns]]
+    return done.select(*[F.col(f"_r.{c}") if c in ("lines", "matched", "policy_errors") else F.col(c) for c in order])
+
+
+def _finds(rule: Rule, at: int, before: list[Rule], changed):
+    """Whether a segment has what the rule names, after the rules that were applied to the field before it."""
+
+    def finds(s: Column) -> Column:
+        raw = F.when(F.length(s["line"]) > 4, F.get(F.split(s["line"], "\\|", -1), F.lit(at)))
+        for other in before:
+            raw = changed(other, s["rep"], raw)
+        named = s["id"] == rule.path.segment
+        if rule.path.segment_rep is not None:
+            named &= s["rep"] == rule.path.segment_rep
+        return named & F.coalesce(_reaches(raw, _target(rule.path)), F.lit(False))
+
+    return finds
+
+
+def _with_fields(s: Column, fields_of: dict[int, list[Rule]], changed) -> Column:
+    """The line with the rules of its fields applied."""
+
+    def one(raw: Column, i: Column) -> Column:
+        value = raw
+        for at, rules in fields_of.items():
+            done = raw
+            for rule in rules:
+                done = changed(rule, s["rep"], done)
+            value = F.when(i == at, done).otherwise(value)
+        return value
+
+    return F.array_join(F.transform(F.split(s["line"], "\\|", -1), one), "|")
 
 
 def _occurrences(path: str) -> Column:

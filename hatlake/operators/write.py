@@ -5,42 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.delims import CANONICAL, original, part
-from ..functions.text import NULL, escape, sha256, unescape
+from ..functions.delims import CANONICAL, canonical, original, part
+from ..functions.text import NULL, escape, once, sha256, unescape
 from ..plans.paths import Message, parse_path
 
 #: What an HL7 null is in JSON.
 JSON_NULL = "__NULL__"
+CANONICAL_HEAD = f"MSH{CANONICAL}"
 
 
-def _rewritten(line: Column, delims: Column, canonical: bool) -> Column:
-    """A canonical line with every atom read and escaped again, under canonical delimiters or the message's own."""
+def _rewritten(line: Column, delims: Column, own: bool) -> Column:
+    """A canonical line with every atom read and escaped again, under the message's own delimiters or canonical ones.
+
+    Sequences that aren't known, or aren't closed, are text: their escape characters are escaped.
+    """
 
     def atom(raw: Column) -> Column:
-        # text of messages with own delimiters can hold canonical delimiter characters: they need escapes here
-        return F.when((raw == NULL) | ((delims == CANONICAL) & ~F.contains(raw, F.lit("\\"))), raw).otherwise(escape(unescape(raw, delims)))
-
-    joined = line
-    if canonical:
-        pieces = F.split(line, "([|~^&])", -1)
-        marks = F.regexp_extract_all(line, F.lit("([|~^&])"), F.lit(1))
-        head = F.when(F.startswith(line, F.lit("MSH")), F.lit("MSH|^~\\&"))
-        body = F.when(head.isNotNull(), F.substring(line, 9, 2147483647)).otherwise(line)
-        pieces, marks = F.split(body, "[|~^&]", -1), F.regexp_extract_all(body, F.lit("([|~^&])"), F.lit(1))
-        joined = F.concat(F.coalesce(head, F.lit("")), F.array_join(F.transform(pieces, lambda p, i: F.concat(atom(p), F.coalesce(F.get(marks, i), F.lit("")))), ""))
-    else:
-        joined = original(line, delims)
-    return joined
+        text = unescape(raw, delims)
+        # Under the message's own delimiters canonical delimiter characters are text. Under canonical ones they need escapes.
+        return F.when(raw == NULL, raw).otherwise(escape(canonical(text, delims) if own else text))
+
+    is_msh = F.startswith(line, F.lit("MSH"))
+    head, body = F.when(is_msh, CANONICAL_HEAD).otherwise(""), F.when(is_msh, F.substring(line, 9, 2147483647)).otherwise(line)
+    pieces, marks = F.split(body, "[|~^&]", -1), F.regexp_extract_all(body, F.lit("([|~^&])"), F.lit(1))
+    rewritten = F.concat(head, F.array_join(F.zip_with(pieces, marks, lambda p, mark: F.concat(atom(p), F.coalesce(mark, F.lit("")))), ""))
+    as_is = ~F.contains(body, F.lit("\\")) if own else (delims == CANONICAL) & ~F.contains(body, F.lit("\\"))
+    done = F.when(as_is, line).otherwise(rewritten)
+    return original(done, delims) if own else done
 
 
 def wire() -> Column:
-    """The message with its own delimiters; every segment ends with CR."""
-    return F.concat(F.array_join(F.transform("lines", lambda line: _rewritten(line, F.col("delims"), False)), "\r"), F.lit("\r"))
+    """The message as it is written: its own delimiters, every atom read and escaped again; every segment ends with CR."""
+    return F.concat(F.array_join(F.transform("lines", lambda line: _rewritten(line, F.col("delims"), True)), "\r"), F.lit("\r"))
 
 
 def normalised() -> Column:
     """The message with canonical delimiters, text escaped for them."""
-    return F.concat(F.array_join(F.transform("lines", lambda line: _rewritten(line, F.col("delims"), True)), "\r"), F.lit("\r"))
+    return F.concat(F.array_join(F.transform("lines", lambda line: _rewritten(line, F.col("delims"), False)), "\r"), F.lit("\r"))
 
 
 def message_hash() -> Column:
@@ -59,7 +60,7 @@ def tree() -> Column:
 
     def one(line: Column) -> Column:
         is_msh = F.startswith(line, F.lit("MSH"))
-        raw = F.when(F.length(line) > 4, F.slice(F.split(line, "\\|", -1), F.lit(2), F.size(F.split(line, "\\|", -1)))).otherwise(F.array().cast("array<string>"))
+        raw = F.when(F.length(line) > 4, once(F.split(line, "\\|", -1), lambda f: F.slice(f, F.lit(2), F.size(f)))).otherwise(F.array().cast("array<string>"))
         number = lambda i: (i + F.when(is_msh, 2).otherwise(1)).cast("string")
         entry = lambda f, i: F.struct(number(i).alias("key"), F.when(is_msh & (i == 0), F.array(F.array(F.array(F.substring(delims, 2, 4))))).otherwise(F.transform(F.split(f, "~", -1), comps)).alias("value"))
         return F.struct(F.substring(line, 1, 3).alias("id"), F.map_from_entries(F.transform(raw, entry)).alias("fields"))

@@ -150,3 +150,51 @@ def test_lenient_messages_of_nested_batches(spark):
     files = spark.createDataFrame([("f", text)], "file_id string, raw string")
     assert [(r["batch"], r["message"]) for r in batch.messages(files).orderBy("message").collect()] == [(1, 1), (1, 2), (2, 3)]
     assert batch.check(files).first()["error"] is None
+
+
+@pytest.mark.parametrize("kind", ["unescape", "write", "segments", "normalise"])
+def test_time_is_proportional_to_the_message(spark, kind):
+    import time
+
+    def took(n):
+        if kind == "segments":
+            rows = frame(spark, "MSH|^~\\&|A\r" + "OBX|1\rNTE|1\r" * n)
+            work = lambda df: atoms(parsed(df)).agg(F.max("seg_rep"))
+        else:
+            rows = frame(spark, "MSH|^~\\&|A\rOBX|1|TX|" + "a\\F\\b^c" * n)
+            column = {"unescape": unescape(F.element_at("lines", -1)), "write": write.wire(), "normalise": write.normalised()}[kind]
+            work = lambda df: parsed(df).agg(F.sum(F.length(column)))
+        work(rows).collect()
+        begun = time.perf_counter()
+        work(rows).collect()
+        return time.perf_counter() - begun
+
+    small, large = took(1000), took(16000)
+    assert large < 16 * small + 2, (small, large)
+
+
+def test_unknown_and_unclosed_sequences_are_written_as_text(spark):
+    for delims in ("|^~\\&", "*%$!?"):
+        own = lambda raw, delims=delims: raw.translate(str.maketrans("|^~\\&", delims))
+        raw = own("MSH|^~\\&|A\rOBX|1|TX|x\\X41\\y^a\\b&\\F\\\\.br\\~\"\"\r")
+        want = own("MSH|^~\\&|A\rOBX|1|TX|x\\E\\X41\\E\\y^a\\E\\b&\\F\\\\.br\\~\"\"\r")
+        row = parsed(frame(spark, raw)).select(write.wire().alias("w"), write.message_hash().alias("h")).first()
+        assert row["w"] == want and row["h"] == __import__("hashlib").sha256(want.encode()).hexdigest()
+
+
+def test_rules_on_one_field_apply_in_order(spark):
+    rules = [redact.Rule(parse_path(p), a, "r") for p, a in (("PID.3[2].1", "drop"), ("PID.3[1]", "hash"), ("OBX[2].5", "drop"), ("PID.5.1.2", "drop"), ("PID.3[9]", "drop"))]
+    rules = [*rules[:4], redact.Rule(rules[4].path, "drop", "r", True)]
+    raw = ADT.replace("Doe&De^John^\"\"", "\"\"&\"\"")
+    row = redact.redact(parsed(frame(spark, raw)), rules).first()
+    digest = __import__("hashlib").sha256(b"1").hexdigest()
+    assert row["matched"] == [1, 1, 1, 1, 0]
+    assert row["policy_errors"] == ["sensitive field PID.3 isn't covered", "sensitive field PID.5 isn't covered", "sensitive field PID.7 isn't covered"] and row["lines"] is None
+    free = redact.redact(parsed(frame(spark, raw.replace("PID|", "ZPI|"))), [redact.Rule(parse_path(str(r.path).replace("PID", "ZPI")), r.action, "r", r.optional) for r in rules]).first()
+    assert free["lines"][1] == f"ZPI|1||hash:sha256:{digest}~^^^X||\"\"&||\"\"|X" and free["lines"][3] == "OBX|2|NM|b||"
+
+
+def test_a_pattern_that_is_none_matches_nothing(spark):
+    from hatlake.functions import datatypes
+
+    assert list(spark.range(1).select(datatypes.matches_all(F.lit("a("), ["^a", "("]), datatypes.matches_all(F.lit("ab"), ["^a", "b$"])).first()) == [False, True]
