@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import batch, corpus, evidence, generate as _generate, redact as _redact, validate as _validate, write
+from .functions.delims import CANONICAL, STAND_INS
 from .operators.parse import atoms, charsets, fields, parse, parsed, segments
 from .plans import profile as _profile
 from .plans.paths import Message, parse_path
 from .sources import mllp
 
 __all__ = [
-    "ack", "atoms", "batch", "bundle", "corpus_diff", "corpus_fingerprint", "corpus_summary", "fields", "generate", "get", "load_profile", "mllp", "normalize", "parse", "parsed", "profile_explain",
+    "ack", "atoms", "batch", "bundle", "corpus_diff", "corpus_fingerprint", "corpus_summary", "fields", "generate", "get", "load_profile", "mllp", "normalize", "parse", "parsed", "profile_explain", "profile_folder",
     "profile_lint", "profile_test", "redact", "register", "replay", "segments", "to_json", "validate",
 ]
 
@@ -67,6 +68,15 @@ def profile_test(fixtures: DataFrame, profile: _profile.Profile, today: str | No
     return evidence.fixture_tests(fixtures, profile, today or _today())
 
 
+def profile_folder(files: DataFrame, profile: _profile.Profile, today: str | None = None) -> DataFrame:
+    """msg_id, kind, valid, passed of message files whose ``kind`` is valid or invalid; a message that can't be read is invalid."""
+    rows = parse(files)
+    checked = _validate.report(_validate.validate(rows.filter("parse_error IS NULL"), profile, today or _today())).select("msg_id", "valid")
+    joined = rows.select("msg_id", "kind").join(checked, "msg_id", "left")
+    valid = F.coalesce("valid", F.lit(False))
+    return joined.select("msg_id", "kind", valid.alias("valid"), (valid == (F.col("kind") == "valid")).alias("passed"))
+
+
 def validate(messages: DataFrame, profile: _profile.Profile, today: str | None = None, version: int = 1) -> DataFrame:
     return _validate.report(_validate.validate(messages, profile, today), version=version)
 
@@ -80,12 +90,16 @@ def corpus_fingerprint(messages: DataFrame) -> DataFrame:
 
 
 def corpus_diff(before: DataFrame, after: DataFrame) -> dict[str, DataFrame]:
-    """Differences of two parsed corpora by message type, segment, and field (presence and cardinality, shapes)."""
+    """Differences of two corpora that ``parse`` gave: totals, message types and segments (with those that are new or removed),
+    and fields (presence and cardinality, shapes)."""
+    all_totals = corpus.totals_diff(corpus.totals(before), corpus.totals(after))
+    before, after = before.filter("parse_error IS NULL"), after.filter("parse_error IS NULL")
     two = lambda f: (f(before), f(after))
     shapes = tuple(f"{s}_count" for s in corpus.SHAPES)
+    types, found = corpus.diff(*two(corpus.message_type_counts), "value", ("count",)), corpus.diff(*two(corpus.segment_counts), "value", ("count",))
     return {
-        "message_types": corpus.diff(*two(corpus.message_type_counts), "value", ("count",)),
-        "segments": corpus.diff(*two(corpus.segment_counts), "value", ("count",)),
+        "totals": all_totals, "message_types": types, "segments": found,
+        "new_or_removed_message_types": corpus.new_and_removed(types), "new_or_removed_segments": corpus.new_and_removed(found),
         "fields": corpus.diff(*two(corpus.fingerprint), "path", (*corpus.CARDINALITY, *shapes)),
     }
 
@@ -105,12 +119,51 @@ def replay(spark: SparkSession, path: str, profile: _profile.Profile, today: str
     return evidence.replay(spark, path, profile, today)
 
 
+CANONICAL_TEXT = CANONICAL.replace("\\", "\\\\")
+_PATH = r"^([A-Za-z0-9]{3})(?:\\[([1-9][0-9]*)\\])?[.-]([1-9][0-9]*)(?:\\[([1-9][0-9]*)\\])?(?:\\.([1-9][0-9]*))?(?:\\.([1-9][0-9]*))?$"
+
+
+def _path_part(group: int) -> str:
+    return f"CAST(coalesce(nullif(regexp_extract(path, '{_PATH}', {group}), ''), '1') AS INT)"
+
+
+def _plain(text: str) -> str:
+    """Text as it was, of a message whose delimiters are ``d``. A lambda's variable can't be given to a function."""
+    return f"CASE WHEN d = '{CANONICAL_TEXT}' THEN {text} ELSE translate({text}, '{STAND_INS}', '{CANONICAL_TEXT}') END"
+
+
+def _function(head: str, body: str) -> str:
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}"
+
+
+#: Each function is an expression over those before it.
+PATH_FUNCTIONS = [
+    _function("hl7_raw_lines(raw STRING) RETURNS ARRAY<STRING>", "filter(transform(split(raw, '\\r', -1), x -> regexp_replace(x, '^\\n', '')), x -> x <> '')"),
+    _function("hl7_delims(raw STRING) RETURNS STRING", "substring(get(hl7_raw_lines(raw), 0), 4, 5)"),
+    _function("hl7_lines(raw STRING) RETURNS ARRAY<STRING>", "transform(hl7_raw_lines(raw), x -> if(hl7_delims(raw) = '|^~\\\\&', x, translate(x, concat(hl7_delims(raw), '|^~\\\\&'), concat('|^~\\\\&', '" + STAND_INS + "'))))"),
+    _function("hl7_line(raw STRING, path STRING) RETURNS STRING", f"get(filter(hl7_lines(raw), x -> left(x, 3) = upper(regexp_extract(path, '{_PATH}', 1))), {_path_part(2)} - 1)"),
+    _function("hl7_field(raw STRING, path STRING) RETURNS STRING", f"CASE WHEN length(hl7_line(raw, path)) > 4 THEN get(split(hl7_line(raw, path), '[|]', -1), {_path_part(3)} - CASE WHEN left(hl7_line(raw, path), 3) = 'MSH' THEN 1 ELSE 0 END) END"),
+    _function("hl7_atom(raw STRING, path STRING) RETURNS STRING", "CASE WHEN NOT regexp_like(path, '" + _PATH + "') THEN NULL"
+        f" WHEN upper(left(path, 3)) = 'MSH' AND {_path_part(3)} <= 2 THEN CASE WHEN {_path_part(4)} * {_path_part(5)} * {_path_part(6)} = 1 AND hl7_line(raw, path) IS NOT NULL THEN substring(hl7_delims(raw), {_path_part(3)}, {_path_part(3)} * {_path_part(3)}) END"
+        f" ELSE get(split(get(split(get(split(hl7_field(raw, path), '~', -1), {_path_part(4)} - 1), '\\\\^', -1), {_path_part(5)} - 1), '&', -1), {_path_part(6)} - 1) END"),
+    _function("hl7_read(t STRING, d STRING) RETURNS STRING", "CASE WHEN NOT contains(t, '\\\\') THEN " + _plain("t") + " ELSE get(transform(array(split(t, '\\\\\\\\', -1)), p -> array_join(transform(p, (x, i) -> CASE WHEN i % 2 = 0 THEN " + _plain("x") +
+        " WHEN i = size(p) - 1 THEN concat(substring(d, 4, 1), " + _plain("x") + ") WHEN x = 'F' THEN substring(d, 1, 1) WHEN x = 'S' THEN substring(d, 2, 1) WHEN x = 'R' THEN substring(d, 3, 1) WHEN x = 'E' THEN substring(d, 4, 1)"
+        " WHEN x = 'T' THEN substring(d, 5, 1) WHEN x = '.br' THEN '\\n' ELSE concat(substring(d, 4, 1), " + _plain("x") + ", substring(d, 4, 1)) END), '')), 0) END"),
+    _function("hl7_get(raw STRING, path STRING) RETURNS STRING", f"CASE WHEN hl7_atom(raw, path) <> '\"\"' THEN CASE WHEN upper(left(path, 3)) = 'MSH' AND {_path_part(3)} <= 2 THEN hl7_atom(raw, path) ELSE hl7_read(hl7_atom(raw, path), hl7_delims(raw)) END END"),
+    _function("hl7_presence(raw STRING, path STRING) RETURNS STRING", "CASE WHEN hl7_atom(raw, path) IS NULL THEN 'missing' WHEN hl7_atom(raw, path) = '\"\"' THEN 'null' WHEN hl7_atom(raw, path) = '' THEN 'empty' ELSE 'value' END"),
+]
+
+
 def register(spark: SparkSession) -> None:
-    """SQL: ``hl7_unescape(text)``, ``hl7_segment_ids(raw)`` and ``hl7_segments(raw)``, all without Python code at run time."""
+    """SQL: ``hl7_get(raw, path)``, ``hl7_presence(raw, path)``, ``hl7_unescape(text)``, ``hl7_segment_ids(raw)`` and
+    ``hl7_segments(raw)``, all without Python code at run time.
+
+    The path is a value, so it may come from a column; one that can't be read gives null. A message that
+    can't be parsed isn't refused here: use ``parse`` to learn of it.
+    """
     lines = "filter(transform(split(raw, '\\r', -1), x -> regexp_replace(x, '^\\n', '')), x -> x <> '')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hl7_segment_ids(raw STRING) RETURNS ARRAY<STRING> RETURN transform({lines}, x -> left(x, 3))")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hl7_segments(raw STRING) RETURNS TABLE(seg_idx INT, line STRING) RETURN SELECT pos, col FROM posexplode({lines})")
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION hl7_unescape(t STRING) RETURNS STRING RETURN array_join(transform(split(t, '\\\\\\\\', -1), (x, i) -> CASE WHEN i % 2 = 0 THEN x WHEN i = size(split(t, '\\\\\\\\', -1)) - 1 THEN concat('\\\\', x) "
-        "WHEN x = 'F' THEN '|' WHEN x = 'S' THEN '^' WHEN x = 'R' THEN '~' WHEN x = 'E' THEN '\\\\' WHEN x = 'T' THEN '&' WHEN x = '.br' THEN '\\n' ELSE concat('\\\\', x, '\\\\') END), '')"
-    )
+    for statement in PATH_FUNCTIONS:
+        spark.sql(statement)
+    spark.sql(_function("hl7_unescape(t STRING) RETURNS STRING", f"hl7_read(t, '{CANONICAL_TEXT}')"))

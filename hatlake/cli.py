@@ -48,6 +48,13 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("replay")
     for x in ("path", "profile", "today"):
         c.add_argument(x)
+    c = sub.add_parser("test")
+    c.add_argument("profile")
+    c.add_argument("fixtures", help="a folder with valid and invalid")
+    c = sub.add_parser("sample")
+    c.add_argument("path")
+    c.add_argument("count", type=int)
+    c.add_argument("--seed", type=int, default=0)
     c = sub.add_parser("gen")
     c.add_argument("template")
     c.add_argument("count", type=int)
@@ -70,11 +77,17 @@ def main(argv: list[str] | None = None) -> int:
         checks = api.replay(spark, a.path, api.load_profile(a.profile), a.today)
         _show(checks, a.out)
         return int(not checks.filter("NOT ok").isEmpty())
+    if a.command == "test":
+        kinds = F.substring_index("msg_id", "/", 1)
+        files = mllp.read_files(spark, a.fixtures).withColumn("kind", kinds).filter(kinds.isin("valid", "invalid"))
+        failed = api.profile_folder(files, api.load_profile(a.profile))
+        _show(failed, a.out)
+        return int(not failed.filter("NOT passed").isEmpty())
     if a.command == "doctor":
         _show(mllp.read_files(spark, a.path).select("msg_id", evidence.diagnostics(F.col("bytes")).alias("found")), a.out)
         return 0
     if a.command == "diff":
-        for name, frame in api.corpus_diff(*[_read(spark, x).filter("parse_error IS NULL") for x in (a.before, a.after)]).items():
+        for name, frame in api.corpus_diff(*[_read(spark, x) for x in (a.before, a.after)]).items():
             _show(frame.withColumn("of", F.lit(name)), a.out and f"{a.out}/{name}")
         return 0
     if a.command == "bundle":
@@ -90,6 +103,9 @@ def main(argv: list[str] | None = None) -> int:
         _show(api.normalize(good), a.out)
     elif a.command == "ack":
         _show(api.ack(good), a.out)
+    elif a.command == "sample":
+        chosen = good.orderBy(F.xxhash64(F.lit(a.seed), "msg_id"), "msg_id").limit(a.count)
+        _show(chosen.select("msg_id", F.col("raw").cast("string").alias("raw")), a.out)
     elif a.command == "stats":
         _show(corpus.samples(good.withColumn("ordinal", F.xxhash64("msg_id"))), a.out)
     elif a.command == "summarize":

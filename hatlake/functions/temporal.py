@@ -39,9 +39,57 @@ def truncate(ts: Column, precision: Column) -> Column:
 
 def is_before(left: Column, right: Column) -> Column:
     """Strictly before, both cut to the coarser precision; false if one is no timestamp."""
+    a, b = _compared(left, right)
+    return F.coalesce(a < b, F.lit(False))
+
+
+def _compared(left: Column, right: Column) -> tuple[Column, Column]:
     a, b = parse_ts(left), parse_ts(right)
     coarser = F.least(a["precision"], b["precision"])
-    return F.coalesce(truncate(a["ts"], coarser) < truncate(b["ts"], coarser), F.lit(False))
+    return truncate(a["ts"], coarser), truncate(b["ts"], coarser)
+
+
+def is_after(left: Column, right: Column) -> Column:
+    """Strictly after, both cut to the coarser precision; false if one is no timestamp."""
+    return is_before(right, left)
+
+
+def is_equal(left: Column, right: Column) -> Column:
+    """The same moment at the coarser precision; false if one is no timestamp."""
+    a, b = _compared(left, right)
+    return F.coalesce(a == b, F.lit(False))
+
+
+def is_valid_ts(text: Column) -> Column:
+    return F.coalesce(parse_ts(text)["ts"].isNotNull(), F.lit(False))
+
+
+def is_valid_date(text: Column) -> Column:
+    return F.coalesce(parse_date(text).isNotNull(), F.lit(False))
+
+
+def is_valid_time(text: Column) -> Column:
+    return F.coalesce(parse_time(text).isNotNull(), F.lit(False))
+
+
+def ts_error(text: Column) -> Column:
+    """Why a text is no timestamp: empty, invalid_length, invalid_characters or out_of_range; null if it is one."""
+    value = trim(text)
+    return (
+        F.when(F.coalesce(value, F.lit("")) == "", "empty")
+        .when(~value.rlike("^[0-9]+\\z"), "invalid_characters")
+        .when(~F.length(value).isin(*PRECISIONS), "invalid_length")
+        .when(parse_ts(text)["ts"].isNull(), "out_of_range")
+    )
+
+
+def now_hl7() -> Column:
+    """The present time in UTC with seconds."""
+    return to_hl7(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+
+
+def today_hl7() -> Column:
+    return F.substring(now_hl7(), 1, 8)
 
 
 def parse_full(text: Column) -> Column:

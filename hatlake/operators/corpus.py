@@ -136,6 +136,16 @@ def diff(before: DataFrame, after: DataFrame, by: str, metrics: tuple[str, ...])
     return joined.filter(changed).select(*columns)
 
 
+def totals_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """metric, before, after and delta of the totals of two corpora, also where nothing changed."""
+    def long(frame: DataFrame, name: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias(name)) for c in frame.columns])
+        return frame.select(F.explode(each).alias("t")).select("t.*")
+
+    joined = long(before, "before").join(long(after, "after"), "metric")
+    return joined.select("metric", "before", "after", (F.col("after") - F.col("before")).alias("delta"))
+
+
 def new_and_removed(count_diff: DataFrame, by: str = "value") -> DataFrame:
     kind = F.when((F.col("before") == 0) & (F.col("after") > 0), "new").when((F.col("before") > 0) & (F.col("after") == 0), "removed")
     return count_diff.select(F.col(by), kind.alias("kind")).filter("kind IS NOT NULL")
@@ -182,6 +192,11 @@ def splits(manifest_rows: DataFrame, ratios: tuple[float, float, float], seed: i
     hashed = manifest_rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_range", F.shiftright(F.col("_h"), 44))
     ranges = hashed.groupBy("_range").agg(F.count("*").alias("_n"))
     starts = ranges.select("_range", (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))  # at most 2 ** 20 rows
-    ranked = hashed.join(starts, "_range").withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)))
-    split = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + validation, "validation").otherwise("test")
-    return ranked.withColumn("split", split).drop("_h", "_range", "_start", "_rank")
+    at = lambda rank: F.when(rank <= train, "train").when(rank <= train + validation, "validation").otherwise("test")
+    ends = starts.join(ranges, "_range").select(F.col("_range").alias("_of"), "_start", at(F.col("_start") + 1).alias("_first"), at(F.col("_start") + F.col("_n")).alias("_last"))
+    placed = hashed.join(ends, F.col("_range") == F.col("_of"))
+    columns = manifest_rows.columns
+    whole = placed.filter("_first = _last").select(*columns, F.col("_first").alias("split"))
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy("_h", key))
+    border = placed.filter("_first <> _last").withColumn("_rank", rank).select(*columns, at(F.col("_rank")).alias("split"))
+    return whole.unionByName(border)

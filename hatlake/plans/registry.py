@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import datatypes as D
 from ..functions import temporal as T
-from ..functions.delims import CANONICAL
 from ..functions.text import escape, needs_escaping, sha256, unescape
 from ..operators import batch, corpus, evidence, generate, lifecycle, redact, validate, write
 from ..operators.parse import atoms, charsets, corpus_type, fields, parse, parsed, segments
@@ -72,6 +71,10 @@ ADT = """a AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS msg_id, c_name, c_na
  '555' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') AS phone, c_custkey % 17 = 0 AS no_name FROM customer)"""
 ORU = """i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS n, l_partkey, l_quantity::BIGINT AS qty, l_returnflag FROM lineitem),
 o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, c_name, c_nationkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS items FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
+#: The raw ORU messages as strings.
+ORU_RAW = ORU + """, x AS (SELECT l_orderkey, string_agg('OBX|' || n || '|NM|' || l_partkey || '^PART' || l_partkey || '||' || qty || '|EA||' || l_returnflag || '|||F', chr(13) ORDER BY n) AS obx FROM i GROUP BY 1),
+m AS (SELECT o_orderkey, concat_ws(chr(13), 'MSH|^~\\&|LAB|FAC' || c_nationkey || '|EHR|HOSP|' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '||ORU^R01^ORU_R01|' || o_orderkey || '|P|2.5.1',
+ 'PID|1||' || o_custkey || '^^^HOSP^MR||' || replace(c_name, '#', '^'), 'OBR|1|' || o_orderkey || '||' || o_orderpriority, obx) AS raw FROM o JOIN x ON o_orderkey = l_orderkey)"""
 FEED = "f AS (SELECT event_id, ts, user_id, event_type, props, CASE event_type WHEN 'click' THEN 'A01' WHEN 'view' THEN 'A03' WHEN 'signup' THEN 'A04' WHEN 'purchase' THEN 'A08' ELSE 'A31' END AS code FROM events)"
 
 #: path, messages that have it, occurrences in a message, and shapes (counts for a message), in terms of ``a``.
@@ -131,9 +134,9 @@ def corpus_fingerprint(spark, d):
     return corpus.fingerprint(_oru(spark, d))
 
 
-@query(f"WITH {ORU} SELECT count(*) AS file_count, count(*) AS message_count, 0::BIGINT AS parse_error_count FROM o")
+@query(f"WITH {ORU_RAW} SELECT count(*) AS file_count, count(*) AS message_count, 0::BIGINT AS parse_error_count, sum(strlen(raw))::BIGINT AS total_bytes FROM m")
 def corpus_totals(spark, d):
-    return corpus.totals(parse(derived.oru(spark, d))).drop("total_bytes")
+    return corpus.totals(parse(derived.oru(spark, d)))
 
 
 def _halves(spark, d):
@@ -180,15 +183,25 @@ def split_counts(spark, d):
     return rows.groupBy("split").agg(F.count("*").alias("count"))
 
 
-@query(f"""WITH {FEED}, v AS (SELECT 'PID.3' AS path, user_id || '^^^WEB^PI' AS value, event_id AS o FROM f UNION ALL SELECT 'EVN.1', code, event_id FROM f UNION ALL SELECT 'ZER.2', user_id::VARCHAR, event_id FROM f WHERE event_type = 'error'),
-s AS (SELECT path, value, min(o) AS o FROM v GROUP BY 1, 2) SELECT path, rank, value FROM (SELECT path, value, row_number() OVER (PARTITION BY path ORDER BY o, value) AS rank FROM s) WHERE rank <= 10""")
+_ESCAPED = "replace(replace(replace(replace(replace(props, chr(92), chr(92) || 'E' || chr(92)), '|', chr(92) || 'F' || chr(92)), '^', chr(92) || 'S' || chr(92)), '~', chr(92) || 'R' || chr(92)), '&', chr(92) || 'T' || chr(92))"
+#: Path, value and events of the first five fields of the feed's segments.
+_FIRST = [
+    ("MSH.3", "'FEED'", "true"), ("MSH.4", "'WEB'", "true"), ("MSH.5", "'EHR'", "true"), ("EVN.1", "code", "true"), ("EVN.2", "strftime(ts, '%Y%m%d%H%M%S')", "true"),
+    ("PID.1", "'1'", "true"), ("PID.3", "user_id || '^^^WEB^PI'", "true"),
+    ("OBX.1", "'1'", "event_type = 'purchase'"), ("OBX.2", "'ST'", "event_type = 'purchase'"), ("OBX.3", "'PROPS'", "event_type = 'purchase'"), ("OBX.5", _ESCAPED, "event_type = 'purchase'"),
+    ("ZER.1", "'1'", "event_type = 'error'"), ("ZER.2", "user_id::VARCHAR", "event_type = 'error'"),
+]
+
+
+@query(f"""WITH {FEED}, v AS ({" UNION ALL ".join(f"SELECT '{path}' AS path, {value} AS value, event_id AS o FROM f WHERE {where}" for path, value, where in _FIRST)}),
+s AS (SELECT path, value, min(o) AS o FROM v WHERE value <> '' GROUP BY 1, 2) SELECT path, rank, value FROM (SELECT path, value, row_number() OVER (PARTITION BY path ORDER BY o, value) AS rank FROM s) WHERE rank <= 10""")
 def stats_topk(spark, d):
-    return corpus.samples(_feed(spark, d)).filter(F.col("path").isin("PID.3", "EVN.1", "ZER.2"))
+    return corpus.samples(_feed(spark, d))
 
 
-@query(f"WITH {ORU} SELECT 'message_' || o_orderkey || '.hl7' AS path, 'ORU^R01^ORU_R01' AS message_type FROM o")
+@query(f"WITH {ORU_RAW} SELECT 'message_' || o_orderkey || '.hl7' AS path, 'ORU^R01^ORU_R01' AS message_type, sha256(raw) AS sha256, strlen(raw)::INT AS bytes FROM m")
 def corpus_manifest(spark, d):
-    return corpus.manifest(_oru(spark, d)).select("path", "message_type")
+    return corpus.manifest(_oru(spark, d))
 
 
 # --- A, B: parsing and paths --------------------------------------------------------------------------------
@@ -354,9 +367,10 @@ def hl7_table_anti(spark, d):
     return _issues(_adt(spark, d), "valuesets: [{path: PID.8, name: HL70001}]\nhl7_tables: [{id: HL70001, name: Sex, version: '2.5', codes: [{value: M, description: m}, {value: F, description: f, status: D}]}]")
 
 
-@query(f"WITH {ADT} " + _found("INVALID_DATA_TYPE", "PID.7", "born", "born = '19991332'") + " UNION ALL " + _found("VALUE_TOO_LONG", "PID.3.1", "k::VARCHAR", "ids > 0 AND length(k::VARCHAR) > 3"))
+@query(f"WITH {ADT} " + _found("INVALID_DATA_TYPE", "PID.7", "born", "born = '19991332'") + " UNION ALL " 
+ + _found("VALUE_TOO_LONG", "PID.3.1", "CASE WHEN length(k::VARCHAR) > 3 THEN k::VARCHAR ELSE 'A' || k END", "ids > 0 AND length(k::VARCHAR) > 3 OR ids = 2 AND length(k::VARCHAR) = 3"))
 def length_bytes(spark, d):
-    return _issues(_adt(spark, d), "lengths: [{path: PID.3.1, max: 3}]\ndatatypes: [{path: PID.7, type: DT}, {path: PID.1, type: SI}]").filter("path <> 'PID.3.1' OR value NOT LIKE 'A%'")
+    return _issues(_adt(spark, d), "lengths: [{path: PID.3.1, max: 3}]\ndatatypes: [{path: PID.7, type: DT}, {path: PID.1, type: SI}]")
 
 
 @query(f"WITH {ADT} " + _found("CHECKSUM_MISMATCH", "PID.13", "phone", "list_sum(list_transform(range(1, 11), lambda i: CASE WHEN i % 2 = 1 THEN reverse(phone)[i]::INT WHEN reverse(phone)[i]::INT >= 5 THEN reverse(phone)[i]::INT * 2 - 9 ELSE reverse(phone)[i]::INT * 2 END)) % 10 <> 0") + " UNION ALL " + _found("VALUE_TOO_SHORT", "PID.8", "sex", "true"))
@@ -379,9 +393,10 @@ def cross_field_require(spark, d):
     return _issues(_adt(spark, d), "cross_field_rules: [{id: r, description: d, conditions: [{field: PID.7, operator: lt, value: '19600000'}], actions: [{field: NK1.1, action: require}, {field: PV1.2, action: prohibit}]}]")
 
 
-@query(f"WITH {ADT} " + _found("INVALID_DATETIME", "PID.7", "born", "born = '19991332'") + " UNION ALL " + _found("TEMPORAL_RULE_VIOLATION", "EVN.2", "'20240101120000'", "born <> '19991332'"))
+@query(f"WITH {ADT} " + _found("INVALID_DATETIME", "PID.7", "born", "born = '19991332'") + " UNION ALL " + _found("TEMPORAL_RULE_VIOLATION", "EVN.2", "'20240101120000'", "born <> '19991332'")
+ + " UNION ALL " + _found("INVALID_DATETIME", "EVN.2", "'20240101120000'", "born = '19991332'"))
 def temporal_tolerance(spark, d):
-    return _issues(_adt(spark, d), "temporal_rules: [{id: a, description: d, before: PID.7, after: EVN.2, tolerance: 5m}, {id: b, description: d, before: EVN.2, after: PID.7, tolerance: 30d}]").filter("code <> 'INVALID_DATETIME' OR path = 'PID.7'")
+    return _issues(_adt(spark, d), "temporal_rules: [{id: a, description: d, before: PID.7, after: EVN.2, tolerance: 5m}, {id: b, description: d, before: EVN.2, after: PID.7, tolerance: 30d}]")
 
 
 @query(f"WITH {ADT} " + _found("CONTEXTUAL_VALIDATION_ERROR", "PID.8", "sex", "pv1 > 0 AND k % 4 = 0 AND sex = 'X'") + " UNION ALL " + _found("CONTEXTUAL_VALIDATION_ERROR", "NK1.1", "'1'", "pv1 > 0 AND k % 4 = 0 AND k % 3 = 0"))
@@ -413,9 +428,12 @@ datatypes: [{path: PID.7, type: DT}]
 _COUNT = "(ids = 0)::INT + (sex = 'X')::INT + (born = '19991332')::INT + (pv1 <> 1)::INT"
 
 
-@query(f"WITH {ADT} SELECT msg_id, {_COUNT} = 0 AS valid, 'ADT^A01' AS message_type, 3 + pv1 + (k % 3 = 0)::INT AS segment_count, {_COUNT} AS issue_count FROM a")
+@query(f"""WITH {ADT} SELECT msg_id, {_COUNT} = 0 AS valid, 'ADT^A01' AS message_type, 3 + pv1 + (k % 3 = 0)::INT AS segment_count, {_COUNT} AS issue_count,
+ concat_ws(',', CASE pv1 WHEN 0 THEN 'missing_required_segment' WHEN 2 THEN 'segment_repetition_not_allowed' END, CASE WHEN ids = 0 THEN 'missing_required_field' END, CASE WHEN sex = 'X' THEN 'value_not_in_set' END,
+ CASE WHEN born = '19991332' THEN 'invalid_data_type' END) AS codes FROM a""")
 def report_rollup(spark, d):
-    return validate.report(validate.validate(_adt(spark, d), profile.loads(PROFILE), TODAY)).drop("codes")
+    found = validate.report(validate.validate(_adt(spark, d), profile.loads(PROFILE), TODAY))
+    return found.withColumn("codes", F.array_join("codes", ","))
 
 
 @query(f"""WITH {ADT} SELECT code, n AS count FROM (SELECT 'missing_required_field' AS code, count(*) FILTER (ids = 0) AS n FROM a UNION ALL SELECT 'value_not_in_set', count(*) FILTER (sex = 'X') FROM a UNION ALL SELECT 'invalid_data_type', count(*) FILTER (born = '19991332') FROM a
@@ -461,10 +479,25 @@ def redact_coverage(spark, d):
     return redact.uncovered(_adt(spark, d), rules).groupBy("path").agg(F.count("*").alias("messages"))
 
 
-@query(f"""WITH {ADT} SELECT 'PID.7' AS canonical_path, 'hashed_sha256' AS value_shape, 'hash' AS redaction_action, count(*) AS n FROM a UNION ALL SELECT 'PID.5', 'empty', 'drop', count(*) FROM a UNION ALL SELECT 'PID.8', 'present', NULL, count(*) FROM a UNION ALL SELECT 'PV1.2', 'present', 'retain', sum(pv1)::BIGINT FROM a""")
+#: Every field of a redacted ADT message: path, shape, action, and how many a message has.
+_TRACED = [
+    *[(f"MSH.{n}", "empty" if n == 8 else "present", None, "1") for n in range(2, 13)], ("EVN.1", "present", None, "1"), ("EVN.2", "present", None, "1"),
+    *[(f"PID.{n}", shape, action, "1") for n, shape, action in (
+        (1, "present", None), (2, "empty", None), (3, "hashed_sha256", "hash"), (4, "empty", None), (5, "empty", "drop"), (6, "empty", None), (7, "hashed_sha256", "hash"), (8, "present", None),
+        (9, "empty", None), (10, "empty", None), (11, "empty", "drop"), (12, "empty", None), (13, "hashed_sha256", "hash"))],
+    ("PV1.1", "present", None, "pv1"), ("PV1.2", "present", "retain", "pv1"), ("PV1.3", "present", None, "pv1"),
+    ("NK1.1", "present", None, "(k % 3 = 0)::INT"), ("NK1.2", "empty", "drop", "(k % 3 = 0)::INT"), ("NK1.3", "present", None, "(k % 3 = 0)::INT"),
+]
+
+
+def _quoted(text: str | None) -> str:
+    return "NULL::VARCHAR" if text is None else f"'{text}'"
+
+
+@query(_union([f"SELECT '{p}' AS canonical_path, '{s}' AS value_shape, {_quoted(x)} AS redaction_action, sum({n})::BIGINT AS n FROM a" for p, s, x, n in _TRACED], ADT))
 def field_trace(spark, d):
     rules, _ = redact.load_policy(POLICY)
-    rows = redact.trace(redact.redact(_adt(spark, d), rules), rules).filter(F.col("canonical_path").isin("PID.5", "PID.7", "PID.8", "PV1.2"))
+    rows = redact.trace(redact.redact(_adt(spark, d), rules), rules)
     return rows.groupBy("canonical_path", "value_shape", "redaction_action").agg(F.count("*").alias("n"))
 
 
@@ -518,24 +551,48 @@ def mllp_roundtrip(spark, d):
 
 
 def _batches(spark, d):
-    rows = parsed(derived.adt(spark, d)).filter(F.col("delims") == CANONICAL).join(spark.read.parquet(f"{d}/customer.parquet"), F.col("ordinal") == F.col("c_custkey"))
+    """A batch for each nation; messages with delimiters of their own are normalised."""
+    rows = _adt(spark, d).select("ordinal", write.normalised().alias("raw")).join(spark.read.parquet(f"{d}/customer.parquet"), F.col("ordinal") == F.col("c_custkey"))
     return batch.write_batch(rows, "c_nationkey").withColumnRenamed("c_nationkey", "file_id")
 
 
-@query(f"WITH {ADT} SELECT c_nationkey AS file_id, count(*) AS messages, 1::BIGINT AS batches, NULL::VARCHAR AS error FROM a WHERE NOT own GROUP BY 1")
+def _file_batches(spark, d):
+    batches = _batches(spark, d).select(F.expr("file_id div 5").alias("key"), F.col("file_id").alias("ordinal"), "raw")
+    return batch.write_file_batch(batches, "key").withColumnRenamed("key", "file_id")
+
+
+@query(f"WITH {ADT} SELECT c_nationkey AS file_id, count(*) AS messages, 1::BIGINT AS batches, NULL::VARCHAR AS error FROM a GROUP BY 1")
 def batch_counts(spark, d):
     return batch.check(_batches(spark, d)).select("file_id", "messages", "batches", "error")
 
 
-@query(f"WITH {ADT} SELECT c_nationkey // 5 AS file_id, c_nationkey % 5 + 1 AS batch, count(*) AS n FROM a WHERE NOT own GROUP BY 1, 2")
+@query(f"WITH {ADT} SELECT c_nationkey // 5 AS file_id, c_nationkey % 5 + 1 AS batch, count(*) AS n FROM a GROUP BY 1, 2")
 def file_batch_counts(spark, d):
-    files = batch.write_file_batch(_batches(spark, d).select(F.expr("file_id div 5").alias("key"), F.col("file_id").alias("ordinal"), "raw"), "key").withColumnRenamed("key", "file_id")
-    return batch.messages(files).groupBy("file_id", "batch").agg(F.count("*").alias("n"))
+    return batch.messages(_file_batches(spark, d)).groupBy("file_id", "batch").agg(F.count("*").alias("n"))
+
+
+_NO_NAMES = ", ".join(f"NULL::VARCHAR AS {name}" for name in batch.HEADER.values())
 
 
-@query(f"WITH {ADT} SELECT c_nationkey AS file_id, 'BTS' AS id, count(*) AS message_count FROM a WHERE NOT own GROUP BY 1")
+@query(f"""WITH {ADT}, e AS (SELECT c_nationkey // 5 AS file_id, c_nationkey % 5 + 1 AS batch, count(*)::INT AS n FROM a GROUP BY 1, 2)
+SELECT file_id, batch, unnest(['BHS', 'BTS']) AS id, '|' AS field_separator, unnest(['^~\\&', NULL]) AS encoding_characters, {_NO_NAMES}, unnest([NULL, n]) AS message_count, NULL::VARCHAR AS trailer_comment FROM e
+UNION ALL SELECT file_id, NULL, unnest(['FHS', 'FTS']), '|', unnest(['^~\\&', NULL]), {_NO_NAMES}, unnest([NULL, sum(n)::INT]), NULL FROM e GROUP BY 1""")
 def batch_envelopes(spark, d):
-    return batch.envelopes(_batches(spark, d)).filter("id = 'BTS'").select("file_id", "id", "message_count")
+    return batch.envelopes(_file_batches(spark, d))
+
+
+#: What is done to a batch file to make it faulty, by its number; its error.
+_FAULTS = {0: "CountMismatch", 1: "CountMismatch", 2: "MissingSegment BTS", 3: "InvalidStructure"}
+
+
+@query(f"WITH {ADT} SELECT c_nationkey // 5 AS file_id, count(*) AS messages, CASE c_nationkey // 5 {' '.join(f'WHEN {n} THEN {_quoted(x)}' for n, x in _FAULTS.items())} END AS error FROM a GROUP BY 1")
+def batch_faults(spark, d):
+    """A wrong FTS count, a wrong BTS count, a batch without its end, something before the header."""
+    spoilt = (
+        F.when(F.col("file_id") == 0, F.regexp_replace("raw", r"FTS\|(\d+)", r"FTS|9$1")).when(F.col("file_id") == 1, F.regexp_replace("raw", r"BTS\|(\d+)", r"BTS|9$1"))
+        .when(F.col("file_id") == 2, F.regexp_replace("raw", r"BTS\|\d+\r", "")).when(F.col("file_id") == 3, F.concat(F.lit("ZZZ|1\r"), "raw")).otherwise(F.col("raw"))
+    )
+    return batch.check(_file_batches(spark, d).withColumn("raw", spoilt)).select("file_id", "messages", "error")
 
 
 @query("SELECT * FROM (VALUES ('count', 'CountMismatch'), ('empty', 'InvalidStructure'), ('good', NULL), ('no_bhs', 'MissingSegment BHS'), ('no_bts', 'MissingSegment BTS'), ('other', 'InvalidStructure'), ('plain', NULL)) t(file_id, error)")
@@ -547,14 +604,15 @@ def batch_errors(spark, d):
 
 # --- I, J: guard, lifecycle, generator, streams ------------------------------------------------------------------
 
-_LEN = "strlen('MSH|^~\\&|FEED|WEB|EHR|HOSP|20240101000000||ADT^A01|E' || event_id || '|P|2.5.1') + 1 + strlen('EVN|A01|20240101000000') + 1 + strlen('PID|1||' || user_id || '^^^WEB^PI')"
+_LEN = f"""strlen('MSH|^~\\&|FEED|WEB|EHR|HOSP|20240101000000||ADT^A01|E' || event_id || '|P|2.5.1') + 1 + strlen('EVN|A01|20240101000000') + 1 + strlen('PID|1||' || user_id || '^^^WEB^PI')
+ + CASE event_type WHEN 'purchase' THEN 1 + strlen('OBX|1|ST|PROPS||' || coalesce({_ESCAPED}, '')) WHEN 'error' THEN 1 + strlen('ZER|1|' || user_id) ELSE 0 END"""
 
 
-@query(f"""WITH {FEED}, l AS (SELECT event_id, ({_LEN})::HUGEINT AS v FROM f WHERE event_type NOT IN ('purchase', 'error')), w AS (SELECT event_id, v, count(*) OVER p AS n, (sum(v) OVER p)::DOUBLE AS s, (sum(v * v) OVER p)::DOUBLE AS q FROM l WINDOW p AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+@query(f"""WITH {FEED}, l AS (SELECT event_id, ({_LEN})::HUGEINT AS v FROM f), w AS (SELECT event_id, v, count(*) OVER p AS n, (sum(v) OVER p)::DOUBLE AS s, (sum(v * v) OVER p)::DOUBLE AS q FROM l WINDOW p AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 z AS (SELECT event_id, CASE WHEN n >= 100 AND (q - s * s / n) / (n - 1) > 0 THEN least(abs(v::DOUBLE - s / n) / sqrt((q - s * s / n) / (n - 1)) / 10, 1.0) ELSE 0.0 END AS score FROM w) SELECT event_id, round(score, 6) AS score, score >= 0.2 AS is_anomaly FROM z""")
 def guard_running_zscore(spark, d):
-    feed = derived.feed(spark, d).filter(~F.col("event_type").isin("purchase", "error"))
-    return lifecycle.guard(feed, F.octet_length("raw"), threshold=0.2, width=1000).select(F.col("ordinal").alias("event_id"), F.round("guard_score", 6).alias("score"), "is_anomaly")
+    scored = lifecycle.guard(derived.feed(spark, d), F.octet_length("raw"), threshold=0.2, width=1000)
+    return scored.select(F.col("ordinal").alias("event_id"), F.round("guard_score", 6).alias("score"), "is_anomaly")
 
 
 @query(f"WITH {FEED} SELECT 'E' || event_id AS message_id, ts + INTERVAL 30 DAY <= TIMESTAMP '2024-02-15' AND event_type <> 'error' AS due, 'archived' AS next_state, ts + INTERVAL 395 DAY AS next_at FROM f")
@@ -650,3 +708,6 @@ def lenient_batches(spark, d):
     rows = [("good", f"BHS|^~\\&\r{m}\rBTS|9\r"), ("plain", m), ("nested", f"FHS|^~\\&\rBHS|^~\\&\r{m}\rBTS|1\rFTS|1\r")]
     found = batch.messages(spark.createDataFrame(rows, "file_id string, raw string"))
     return found.select("file_id", (F.col("raw") == m).alias("same"))
+
+
+from . import coverage  # noqa: E402, F401  further queries register themselves

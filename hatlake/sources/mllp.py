@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import socket
 from collections.abc import Iterator
 
@@ -59,14 +60,17 @@ def frames(buffers: DataFrame, data: str = "bytes") -> DataFrame:
 def read_files(spark, path: str) -> DataFrame:
     """Every regular file below ``path``: msg_id (relative path), bytes, raw (unframed), framing_error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    relative = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    root = F.lit("/" + re.sub(r"^[a-z]+:/*", "", path).strip("/") + "/")
+    whole = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    # a pattern, or a folder given by its place in the working folder, isn't a beginning: then the whole path stays
+    relative = F.when(F.startswith(whole, root), F.call_function("substring", whole, F.length(root) + 1, F.lit(2147483647))).otherwise(whole)
     named = files.select(relative.alias("msg_id"), F.col("content").alias("bytes"))
     error = F.when(is_framed(F.col("bytes")), unwrap_error(F.col("bytes")))
     return named.select("msg_id", "bytes", payload_of(F.col("bytes")).alias("raw"), error.alias("framing_error"))
 
 
-def take_frames(buffer: bytes, limit: int = MAX_FRAME) -> tuple[list[bytes], bytes]:
-    """Whole frames of a buffer and what is left. Bytes before a start mark are junk; a frame over the limit is given up."""
+def take_frames(buffer: bytes, limit: int = MAX_FRAME) -> tuple[list[bytes | None], bytes]:
+    """Whole frames of a buffer and what is left. Bytes before a start mark are junk; a frame over the limit is None."""
     found = []
     while True:
         at = buffer.find(START)
@@ -75,9 +79,8 @@ def take_frames(buffer: bytes, limit: int = MAX_FRAME) -> tuple[list[bytes], byt
         end = buffer.find(END, at + 1)
         if end < 0:
             rest = buffer[at:]
-            return found, rest if len(rest) <= limit else b""
-        if end - at - 1 <= limit:
-            found.append(buffer[at + 1 : end])
+            return (found, rest) if len(rest) <= limit else ([*found, None], b"")
+        found.append(buffer[at + 1 : end] if end - at - 1 <= limit else None)
         buffer = buffer[end + 2 :]
 
 
@@ -88,16 +91,24 @@ def _reassemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         done, buffer = take_frames(bytes(buffer) + bytes(chunk[1]))
         rows += done
     state.update((buffer, number + len(rows)))
-    yield pd.DataFrame({"connection": [key[0]] * len(rows), "frame": range(number, number + len(rows)), "payload": rows})
+    errors = ["frame_too_long" if row is None else None for row in rows]
+    yield pd.DataFrame({"connection": [key[0]] * len(rows), "frame": range(number, number + len(rows)), "payload": rows, "error": errors})
 
 
 def stream_frames(chunks: DataFrame) -> DataFrame:
-    """Frames of byte chunks (connection, seq, bytes) that arrive in any cut; what is unfinished waits in the state."""
-    return chunks.groupBy("connection").applyInPandasWithState(_reassemble, "connection string, frame long, payload binary", "buffer binary, frames long", "append", GroupStateTimeout.NoTimeout)
+    """Frames of byte chunks (connection, seq, bytes) that arrive in any cut; what is unfinished waits in the state.
+
+    A frame that grows over MAX_FRAME is a row without payload and with the error ``frame_too_long``.
+    """
+    return chunks.groupBy("connection").applyInPandasWithState(_reassemble, "connection string, frame long, payload binary, error string", "buffer binary, frames long", "append", GroupStateTimeout.NoTimeout)
 
 
 class MllpSource(DataSource):
-    """``spark.readStream.format("mllp").option("host", ...).option("port", ...)``: raw chunks of one connection."""
+    """``spark.readStream.format("mllp").option("host", ...).option("port", ...)``: raw chunks of one connection.
+
+    One socket is read on the driver: a feed of several hosts is a stream for each, united. What was received and
+    not yet committed is kept in memory, so a batch can be read again, but not after the driver is lost.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -122,15 +133,25 @@ class MllpReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"seq": 0}
 
+    def _receive(self) -> bytes:
+        """What has arrived; nothing if the peer is silent or away. A closed connection is opened again later."""
+        try:
+            if self.socket is None:
+                self.socket = socket.create_connection(self.address, timeout=self.wait)
+            data = self.socket.recv(65536)
+        except TimeoutError:
+            return b""
+        except OSError:
+            data = b""
+        if not data and self.socket is not None:
+            self.socket.close()
+            self.socket = None
+        return data
+
     def read(self, start: dict):
-        if self.socket is None:
-            self.socket = socket.create_connection(self.address, timeout=self.wait)
         seq, taken = start["seq"], 0
         while taken < self.limit:
-            try:
-                data = self.socket.recv(65536)
-            except TimeoutError:
-                break
+            data = self._receive()
             if not data:
                 break
             self.kept.append((seq, data))
@@ -157,6 +178,8 @@ def send(messages: DataFrame, host: str, port: int, payload: str = "raw", timeou
             while await_ack:
                 done, buffer = take_frames(buffer)
                 if done:
+                    if done[0] is None:
+                        raise ValueError("the acknowledgement is too long")
                     break
                 more = connection.recv(65536)
                 if not more:

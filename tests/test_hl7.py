@@ -198,3 +198,76 @@ def test_a_pattern_that_is_none_matches_nothing(spark):
     from hatlake.functions import datatypes
 
     assert list(spark.range(1).select(datatypes.matches_all(F.lit("a("), ["^a", "("]), datatypes.matches_all(F.lit("ab"), ["^a", "b$"])).first()) == [False, True]
+
+
+def test_over_long_frames_are_reported():
+    take = mllp.take_frames
+    assert take(b"junk\x0babc\x1c\r\x0b" + b"x" * 20 + b"\x1c\r\x0bok\x1c\r\x0bpart", limit=10) == ([b"abc", None, b"ok"], b"\x0bpart")
+    assert take(b"\x0b" + b"x" * 20, limit=10) == ([None], b"") and take(b"xxx\x1c\r\x0bok\x1c\r", limit=10) == ([b"ok"], b"")
+
+
+def test_files_are_named_by_their_place(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "x.hl7").write_bytes(b"MSH|^~\\&|A\r")
+    (tmp_path / "a" / "b" / "y.hl7").write_bytes(b"\x0bMSH|^~\\&|A\r\x1c\r")
+    (tmp_path / "a" / "b" / "z.hl7").write_bytes(b"\x0bMSH|")
+    found = {r["msg_id"]: (r["raw"] and bytes(r["raw"]), r["framing_error"]) for r in mllp.read_files(spark, f"{tmp_path}/a").collect()}
+    assert found == {"x.hl7": (b"MSH|^~\\&|A\r", None), "b/y.hl7": (b"MSH|^~\\&|A\r", None), "b/z.hl7": (None, "missing end block")}
+
+
+def test_reader_opens_a_closed_connection_again():
+    import socket
+    import threading
+
+    server = socket.create_server(("localhost", 0))
+
+    def serve():
+        for data in (b"one", b"two"):
+            connection, _ = server.accept()
+            connection.sendall(data)
+            connection.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    reader = mllp.MllpReader({"host": "localhost", "port": str(server.getsockname()[1])})
+    got, at = [], reader.initialOffset()
+    for _ in range(20):
+        rows, at = reader.read(at)
+        got += [r[2] for r in rows]
+        if len(got) == 2:
+            break
+    server.close()
+    assert got == [b"one", b"two"] and reader.read(at)[1] == at
+
+
+def test_splits_rank_only_borders(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("path"))
+    found = corpus.splits(rows, (0.8, 0.1, 0.1), seed=3)
+    counts = {r["split"]: r["count"] for r in found.groupBy("split").count().collect()}
+    assert counts == {"train": 4000, "validation": 500, "test": 500} and found.count() == 5000
+    order = [r["split"] for r in found.orderBy(F.xxhash64(F.lit(3), "path"), "path").collect()]
+    assert order == ["train"] * 4000 + ["validation"] * 500 + ["test"] * 500
+
+
+def test_command_line(tmp_path, capsys, spark):
+    import json
+
+    from hatlake import cli
+
+    profile_text = "message_structure: ADT_A01\nversion: '2.5.1'\nconstraints: [{path: PID.3, required: true}]\n"
+    (tmp_path / "p.yaml").write_text(profile_text)
+    for kind, raw in (("valid", ADT), ("invalid", ADT.replace("1~2^^^X", "")), ("valid", ADT.replace("1~2^^^X", ""))):
+        (tmp_path / "fixtures" / kind).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "fixtures" / kind / f"{len(raw)}.hl7").write_bytes(raw.encode())
+
+    def lines(*argv):
+        code = cli.main(list(argv))
+        return code, [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+    folder = str(tmp_path / "fixtures")
+    code, found = lines("test", str(tmp_path / "p.yaml"), folder)
+    assert code == 1 and sorted((r["kind"], r["valid"], r["passed"]) for r in found) == [("invalid", False, True), ("valid", False, False), ("valid", True, True)]
+    assert lines("parse", folder)[0] == 0 and len(lines("sample", folder, "2")[1]) == 2
+    assert {r["valid"] for r in lines("val", folder, str(tmp_path / "p.yaml"))[1]} == {True, False}
+    code, found = lines("diff", f"{folder}/valid", f"{folder}/invalid")
+    assert code == 0 and {r["of"] for r in found} >= {"totals", "message_types", "segments", "fields"}
+    assert cli.main(["lint", str(tmp_path / "p.yaml")]) == 0
