@@ -12,8 +12,8 @@ that adds the mean number of shingles of a document / 2 ** DF_BITS, a constant.
 Texts that are equal are one node. In a band's bucket every node is compared with one leader, not with
 all others, and links make components. Where a bucket still holds several components, nodes outside the
 main one are compared with its hubs, and what is open then is joined by an exact prefix filter (a pair
-that is similar enough must share one of its rarest shingles, with enough left after it), so
-every similar pair that shares a band ends in one component, and a large group of copies costs a few
+that is similar enough must share one of its rarest shingles, with enough left after it, and can't share
+more than the lesser of both texts' weights in each part of the hash space), so every similar pair that shares a band ends in one component, and a large group of copies costs a few
 comparisons for each node.
 """
 
