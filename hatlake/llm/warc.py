@@ -3,8 +3,8 @@
 Writing: of pages with equal payloads one is a ``response`` record and the others ``revisit`` it. Long
 HTTP blocks are framed in chunks and split into segments: a first record with segment number 1 and
 ``continuation`` records that name it as their origin, the last of which gives the total length.
-Spark's text writer writes the records as they are, with the two line ends that close a record as
-separator, into gzip files of bounded size.
+Every record is a gzip member of its own, so a reader can seek to it; Spark's text writer puts the members
+into files of bounded size, with the member of the two line ends that close a record as separator.
 
 Reading: files are parsed record by record; segments are grouped by origin, ordered by number and
 verified against the total length; chunked framing is decoded and digests are verified.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 32 * 1024, 8 * 1024, 2000
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
+#: The address of a page that has none: WARC asks for one in every record of a page.
+NO_URL = "urn:x-page:"
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member, without a time, so that a second try of a task writes the same."""
+    return gzip.compress(data, 6, mtime=0)
+
+
+#: The separator as the text writer takes it: one character for each byte.
+SEPARATOR = member(END.encode()).decode("latin-1")
 
 
 def digest_of(payload: bytes) -> str:
@@ -91,7 +103,8 @@ def page_records(page_id, url, payload: bytes, response_page, response_url, is_r
     """The records of one page, without the line ends that close a record."""
     digest = digest_of(payload)
     me = record_id(page_id, url, digest)
-    about = [("WARC-Date", DATE), ("WARC-Target-URI", None if url is None else _one_line(url)), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+    target = ("WARC-Target-URI", f"{NO_URL}{page_id}" if url is None else _one_line(url))
+    about = [("WARC-Date", DATE), target, ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if not is_response:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}{END}".encode()
         other = [("WARC-Refers-To", record_id(response_page, response_url, digest)), ("WARC-Profile", REVISIT_PROFILE)]
@@ -109,19 +122,20 @@ def page_records(page_id, url, payload: bytes, response_page, response_url, is_r
         if number == 1:
             fields = [("WARC-Type", "response"), ("WARC-Record-ID", me), *about, ("WARC-Segment-Number", 1)]
         else:
-            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(me, number, digest)), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", me), ("WARC-Segment-Number", number)]
+            fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(me, number, digest)), ("WARC-Date", DATE), target, ("WARC-Segment-Origin-ID", me), ("WARC-Segment-Number", number)]
             fields += [("WARC-Segment-Total-Length", len(block))] * (number == len(starts))
         yield _header(fields, piece) + piece
 
 
 def _records(batches: Iterator[pa.RecordBatch], segment_bytes: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     info = b"software: hatlake\r\nformat: WARC File Format 1.1"
-    out, held = [_header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], info) + info], 0
+    named = f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'part {TaskContext.get().partitionId()}').urn}>"
+    out, held = [member(_header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", named), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], info) + info)], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for record in page_records(*row, segment_bytes, chunk_bytes):
-                out.append(record)
-                held += len(record)
+                out.append(member(record))
+                held += len(out[-1])
             if held > 4 << 20:
                 yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
                 out, held = [], 0
@@ -145,8 +159,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     first = F.col("top").isNull() | (F.col("page").eqNullSafe(F.col("top.page")) & F.col("url").eqNullSafe(F.col("top.url")))
     ready = joined.select("page", "url", "payload", F.col("top.page").alias("top_page"), F.col("top.url").alias("top_url"), first.alias("first"))
     records = ready.mapInArrow(partial(_records, segment_bytes=segment_bytes, chunk_bytes=chunk_bytes), "record binary")
-    # The bytes go out as they are: the cast doesn't decode, and the writer copies.
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    # The bytes go out as they are: the cast doesn't decode, and the writer copies. The encoding is that of the separator.
+    out = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1")
+    out.option("maxRecordsPerFile", records_per_file).text(path)
 
 
 RECORD = "type string, record_id string, page string, uri string, refers_to string, payload_digest string, segment int, origin string, total long, block binary, block_ok boolean"
@@ -188,6 +203,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if f["warc-type"] == "warcinfo":
                         continue
                     kind, me, page, uri, refers, digest, number, origin, total = (f.get(x) for x in _FIELDS)
+                    uri = None if uri and uri.startswith(NO_URL) else uri
                     rows.append((kind, me, page, uri, refers, digest and digest.removeprefix("sha1:"), whole(number), origin, whole(total), block, f.get("warc-block-digest") == f"sha1:{digest_of(block)}"))
                     held += len(block)
                     if held > 4 << 20:
@@ -199,7 +215,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``; see ``RECORD``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(_parse, RECORD)
 
 

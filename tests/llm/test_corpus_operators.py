@@ -46,6 +46,31 @@ def test_archives(spark, tmp_path):
     assert warc.page_report(frame.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_every_record_is_a_member_and_names_its_page(spark, tmp_path):
+    """Archives read with the library's gzip alone: members, headers and segments."""
+    import gzip
+    import io
+
+    frame = spark.createDataFrame([(1, "u1", "x" * 100_000, "clash"), (2, None, "y", "clash"), (3, "u3", "y", "clash")], "page_id long, url string, html string, record string").coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "w"))
+    seen = []
+    for part in (tmp_path / "w").glob("part-*"):
+        data = part.read_bytes()
+        assert data.count(b"\x1f\x8b\x08\x00\x00\x00\x00\x00") == 2 * sum(1 for _ in warc.parse_records(io.BytesIO(gzip.decompress(data))))
+        at = 0
+        while at < len(data):  # every member is whole by itself: a record, or the line ends that close one
+            whole = zlib.decompressobj(31)
+            text = whole.decompress(data[at:])
+            at = len(data) - len(whole.unused_data)
+            assert text == b"\r\n\r\n" or len(list(warc.parse_records(io.BytesIO(text)))) == 1
+        seen += [f for f, _ in warc.parse_records(io.BytesIO(gzip.decompress(data)))]
+    kinds = Counter(f["warc-type"] for f in seen)
+    assert kinds["response"] == 2 and kinds["revisit"] == 1 and kinds["continuation"] >= 3
+    assert {f["warc-target-uri"] for f in seen if f["warc-type"] != "warcinfo"} == {"u1", "urn:x-page:2", "u3"}
+    found = {r["page"]: r["uri"] for r in warc.reassemble(warc.read_records(spark, str(tmp_path / "w"))).collect()}
+    assert found == {"1": "u1", "2": None, "3": "u3"}
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     frame = spark.createDataFrame([(i, "u", "tiny") for i in range(3)], "page_id long, url string, html string")
     assert {r["record_type"] for r in warc.page_report(frame, str(tmp_path / "w"), least_bytes=5).collect()} == {"response"}
