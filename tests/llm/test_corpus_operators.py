@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hatlake.llm import common, components, lm, near_dedup, rollups, warc
+from hatlake.llm import common, components, lm, near_dedup, rollups, tokens, warc
 
 JSON = P.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node string"
@@ -371,6 +371,47 @@ def test_model_grows_with_the_corpus():
     assert abs(total - 1) < 1e-4
 
 
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, node string, line string, kept boolean"
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Empty tables, nulls, repeated rows, a very long text, and extra columns whose names clash with internal ones."""
+    rng = random.Random(37)
+    long = " ".join(words(rng, 60_000))
+    line = "A line that stands on all the sites"
+    texts = [(i, " ".join(words(rng, 50)) + "\n" + line) for i in range(40)] + [(500, long)] + [(3, None), (None, None), (None, ""), (7, "too short")]
+    texts += [(600, "a repeated row " + " ".join(words(rng, 40)))] * 3 + [(None, "a text without id " + " ".join(words(rng, 40)))]
+    rows = [(i, t, None if (i or 0) % 5 == 0 else "en", f"s{(i or 0) % 9}", len(t or ""), 1, "r", "n", "l", None) for i, t in texts]
+    frame = spark.createDataFrame(rows, EXTRA)
+    seen = [frame]
+    for _, stage in corpus_pipeline.STAGES:
+        seen.append(stage(spark, seen[-1], ""))
+        empty = stage(spark, seen[-2].limit(0), "")
+        assert empty.count() == 0 and empty.columns == seen[-1].columns
+    clean, unlined, single, packed = seen[1:]
+    assert all(f.columns == frame.columns for f in seen[1:4])
+    ids = lambda rows: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows.collect())
+    assert ids(clean) == sorted([*range(40), 500, 600, 600, 600, -1])
+    assert ids(single) == sorted([*range(40), 500, 600, -1])
+    kept = {r["doc_id"]: r["text"] for r in single.collect()}
+    assert kept[500] == long and kept[0].endswith(line) and not kept[1].endswith(line)
+    totals = Counter()
+    for r in packed.collect():
+        totals[r["doc_id"]] += r["length"]
+    library = tokens.tokenizer_from_json(JSON)
+    assert totals == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+
+
+def test_pipeline_packs_empty_texts(spark):
+    """A text that has lost all its lines is still a document of the later stages."""
+    rows = [(i, "This line is on all of the sites", "en", f"s{i}", 32) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    unlined = corpus_pipeline.line_stage(spark, frame, "")
+    assert {r["text"] for r in unlined.collect() if r["doc_id"]} == {""}
+    packed = corpus_pipeline.packing_stage(spark, corpus_pipeline.near_stage(spark, unlined, ""), "").collect()
+    assert sorted((r["doc_id"], r["length"] == 1) for r in packed) == [(0, False), (1, True)]
+
+
 def test_pipeline(spark):
     rng = random.Random(19)
     line = "This line is on all of the sites"
