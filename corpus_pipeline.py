@@ -21,25 +21,41 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the adaptive fences reject go."""
+    """Documents that the base rules or the adaptive fences reject go.
+
+    Null and empty texts have no ten words and go; null languages and sources are cohorts of their own; repeated
+    rows are judged alike; a very long text is one row like others. Other columns pass, whatever their names. No rows give none.
+    """
     ship_package(spark)
     return quality_filter(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites go, but for their first document."""
+    """Lines that stand on many sites go, but for their first document.
+
+    All rows stay: a text may become empty, and a null one stays null. Repeated rows lose the same lines; of equal
+    first ids all rows keep theirs. A very long text is cut by slices. Other columns pass; ``n_chars`` follows the text.
+    """
     ship_package(spark)
     return drop_boilerplate(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays: that with the least id, null ids last.
+
+    Null and empty texts are one class. Repeated rows leave one. A very long text is hashed whole by one task.
+    Other columns pass, whatever their names.
+    """
     ship_package(spark)
     return near_dedup(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is tokenised and packed into sequences of 2048."""
+    """Every document is tokenised and packed into sequences of 2048.
+
+    A null or empty text is its end id alone; a very long one gives full pieces and a rest. Repeated rows are packed
+    each. Other columns aren't read.
+    """
     ship_package(spark)
     return pack(docs, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN)
 
