@@ -142,15 +142,18 @@ PATH_FUNCTIONS = [
     _function("hl7_delims(raw STRING) RETURNS STRING", "substring(get(hl7_raw_lines(raw), 0), 4, 5)"),
     _function("hl7_lines(raw STRING) RETURNS ARRAY<STRING>", "transform(hl7_raw_lines(raw), x -> if(hl7_delims(raw) = '|^~\\\\&', x, translate(x, concat(hl7_delims(raw), '|^~\\\\&'), concat('|^~\\\\&', '" + STAND_INS + "'))))"),
     _function("hl7_line(raw STRING, path STRING) RETURNS STRING", f"get(filter(hl7_lines(raw), x -> left(x, 3) = upper(regexp_extract(path, '{_PATH}', 1))), {_path_part(2)} - 1)"),
-    _function("hl7_field(raw STRING, path STRING) RETURNS STRING", f"CASE WHEN length(hl7_line(raw, path)) > 4 THEN get(split(hl7_line(raw, path), '[|]', -1), {_path_part(3)} - CASE WHEN left(hl7_line(raw, path), 3) = 'MSH' THEN 1 ELSE 0 END) END"),
+    _function("hl7_field(raw STRING, path STRING) RETURNS STRING",
+        f"CASE WHEN length(hl7_line(raw, path)) > 4 THEN get(split(hl7_line(raw, path), '[|]', -1), {_path_part(3)} - CASE WHEN left(hl7_line(raw, path), 3) = 'MSH' THEN 1 ELSE 0 END) END"),
     _function("hl7_atom(raw STRING, path STRING) RETURNS STRING", "CASE WHEN NOT regexp_like(path, '" + _PATH + "') THEN NULL"
         f" WHEN upper(left(path, 3)) = 'MSH' AND {_path_part(3)} <= 2 THEN CASE WHEN {_path_part(4)} * {_path_part(5)} * {_path_part(6)} = 1 AND hl7_line(raw, path) IS NOT NULL THEN substring(hl7_delims(raw), {_path_part(3)}, {_path_part(3)} * {_path_part(3)}) END"
         f" ELSE get(split(get(split(get(split(hl7_field(raw, path), '~', -1), {_path_part(4)} - 1), '\\\\^', -1), {_path_part(5)} - 1), '&', -1), {_path_part(6)} - 1) END"),
     _function("hl7_read(t STRING, d STRING) RETURNS STRING", "CASE WHEN NOT contains(t, '\\\\') THEN " + _plain("t") + " ELSE get(transform(array(split(t, '\\\\\\\\', -1)), p -> array_join(transform(p, (x, i) -> CASE WHEN i % 2 = 0 THEN " + _plain("x") +
         " WHEN i = size(p) - 1 THEN concat(substring(d, 4, 1), " + _plain("x") + ") WHEN x = 'F' THEN substring(d, 1, 1) WHEN x = 'S' THEN substring(d, 2, 1) WHEN x = 'R' THEN substring(d, 3, 1) WHEN x = 'E' THEN substring(d, 4, 1)"
         " WHEN x = 'T' THEN substring(d, 5, 1) WHEN x = '.br' THEN '\\n' ELSE concat(substring(d, 4, 1), " + _plain("x") + ", substring(d, 4, 1)) END), '')), 0) END"),
-    _function("hl7_get(raw STRING, path STRING) RETURNS STRING", f"CASE WHEN hl7_atom(raw, path) <> '\"\"' THEN CASE WHEN upper(left(path, 3)) = 'MSH' AND {_path_part(3)} <= 2 THEN hl7_atom(raw, path) ELSE hl7_read(hl7_atom(raw, path), hl7_delims(raw)) END END"),
-    _function("hl7_presence(raw STRING, path STRING) RETURNS STRING", "CASE WHEN hl7_atom(raw, path) IS NULL THEN 'missing' WHEN hl7_atom(raw, path) = '\"\"' THEN 'null' WHEN hl7_atom(raw, path) = '' THEN 'empty' ELSE 'value' END"),
+    _function("hl7_get(raw STRING, path STRING) RETURNS STRING",
+        f"CASE WHEN hl7_atom(raw, path) <> '\"\"' THEN CASE WHEN upper(left(path, 3)) = 'MSH' AND {_path_part(3)} <= 2 THEN hl7_atom(raw, path) ELSE hl7_read(hl7_atom(raw, path), hl7_delims(raw)) END END"),
+    _function("hl7_presence(raw STRING, path STRING) RETURNS STRING",
+        "CASE WHEN hl7_atom(raw, path) IS NULL THEN 'missing' WHEN hl7_atom(raw, path) = '\"\"' THEN 'null' WHEN hl7_atom(raw, path) = '' THEN 'empty' ELSE 'value' END"),
 ]
 
 

@@ -121,7 +121,8 @@ class Rules:
         count = self.message.segment_count(spec["id"])
         out = []
         if not spec.get("repetition"):
-            one = lambda i: F.struct(F.lit("SEGMENT_REPETITION_NOT_ALLOWED").alias("code"), F.lit("error").alias("severity"), F.concat(F.lit(f"{spec['id']}["), i.cast("string"), F.lit("]")).alias("path"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("value"))
+            one = lambda i: F.struct(F.lit("SEGMENT_REPETITION_NOT_ALLOWED").alias("code"), F.lit("error").alias("severity"),
+                F.concat(F.lit(f"{spec['id']}["), i.cast("string"), F.lit("]")).alias("path"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("value"))
             out.append(F.when(count > 1, F.transform(F.sequence(F.lit(2), F.greatest(count, F.lit(2))), one)).otherwise(F.array().cast(f"array<{ISSUE}>")))
         if spec.get("required"):
             out.append(self.issue(count == 0, "MISSING_REQUIRED_SEGMENT", spec["id"]))
@@ -343,7 +344,8 @@ def issues(validated: DataFrame, key: str = "msg_id") -> DataFrame:
 def report(validated: DataFrame, key: str = "msg_id", version: int = 1) -> DataFrame:
     """One row per message: valid, message_type, segment_count, issue_count, codes."""
     errors = F.size(F.filter("issues", lambda i: i["severity"] == "error"))
-    out = validated.select(key, (errors == 0).alias("valid"), report_type().alias("message_type"), F.size("lines").alias("segment_count"), F.size("issues").alias("issue_count"), F.transform("issues", lambda i: stable_code(i["code"])).alias("codes"))
+    out = validated.select(key, (errors == 0).alias("valid"), report_type().alias("message_type"), F.size("lines").alias("segment_count"), F.size("issues").alias("issue_count"),
+        F.transform("issues", lambda i: stable_code(i["code"])).alias("codes"))
     return out if version == 1 else envelope(out)
 
 

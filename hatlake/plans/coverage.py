@@ -57,7 +57,8 @@ def script_forms(spark, d):
 
 
 @query(f"WITH {ADT} " + _found("CROSS_FIELD_VALIDATION_ERROR", "PID.7", "born", "pv1 > 0 AND born = '19991332'") + " UNION ALL " + _found("CROSS_FIELD_VALIDATION_ERROR", "PID.8", "sex", "pv1 > 0 AND sex = 'X'")
- + " UNION ALL " + _found("CONTEXTUAL_VALIDATION_ERROR", "NK1.1", "NULL::VARCHAR", "sex = 'F' AND k % 3 <> 0") + " UNION ALL " + _found("CONTEXTUAL_VALIDATION_ERROR", "PID.7", "born", "sex = 'F' AND born = '19991332'"))
+ + " UNION ALL " + _found("CONTEXTUAL_VALIDATION_ERROR", "NK1.1", "NULL::VARCHAR", "sex = 'F' AND k % 3 <> 0") + " UNION ALL " + _found("CONTEXTUAL_VALIDATION_ERROR", "PID.7", "born",
+     "sex = 'F' AND born = '19991332'"))
 def rule_actions(spark, d):
     """The action that validates, and contextual rules that require and that check a type."""
     text = """valuesets: [{path: ZZZ.1, name: SEX, codes: [M, F]}]
@@ -93,7 +94,8 @@ def corpus_diff_totals(spark, d):
     return corpus.totals_diff(corpus.totals(feed.filter(F.col("ts") < cut)), corpus.totals(feed.filter(F.col("ts") >= cut)))
 
 
-_SHAPED = """p AS (SELECT ts, event_type, value || '.' || unnest(CASE value WHEN 'MSH' THEN [2, 3, 4, 5, 6, 7, 9, 10, 11, 12] WHEN 'EVN' THEN [1, 2] WHEN 'PID' THEN [1, 3] WHEN 'OBX' THEN [1, 2, 3, 5] ELSE [1, 2] END)::VARCHAR AS path FROM s),
+_SHAPED = """p AS (SELECT ts, event_type, value || '.' || unnest(CASE value WHEN 'MSH' THEN [2, 3, 4, 5, 6, 7, 9, 10, 11, 12] WHEN 'EVN' THEN [1, 2] WHEN 'PID' THEN [1, 3]
+ WHEN 'OBX' THEN [1, 2, 3, 5] ELSE [1, 2] END)::VARCHAR AS path FROM s),
 b AS (SELECT path, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS x, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS y FROM p GROUP BY 1),
 n AS (SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS x, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS y FROM f)"""
 
@@ -139,7 +141,8 @@ def write_escapes(spark, d):
     return parsed(rows).select("msg_id", write.wire().alias("written"), write.message_hash().alias("message_hash"))
 
 
-@query(f"WITH {ADT} SELECT msg_id, 'AE' AS code, 'C' || k AS control_id, 'no name & no | id' AS error, CASE WHEN no_name THEN 3 ELSE 2 END AS segments FROM a".replace("'no name & no | id' AS error", "CASE WHEN no_name THEN 'no name & no | id' END AS error"))
+@query(f"WITH {ADT} SELECT msg_id, 'AE' AS code, 'C' || k AS control_id, 'no name & no | id' AS error, CASE WHEN no_name THEN 3 ELSE 2 END AS segments FROM a".replace("'no name & no | id' AS error",
+    "CASE WHEN no_name THEN 'no name & no | id' END AS error"))
 def ack_with_error(spark, d):
     error = F.when(_get("PID.5").isNull(), "no name & no | id")
     back = parsed(_adt(spark, d).select("msg_id", write.ack("AE", F.lit("2024-01-01 00:00:00").cast("timestamp"), error).alias("raw")))
@@ -173,7 +176,8 @@ def unescape_needed(spark, d):
 
 # --- scalars --------------------------------------------------------------------------------------------------------
 
-@query("""SELECT event_id, date_trunc('day', ts) > TIMESTAMP '2024-01-16' AS after, date_trunc('day', ts) = TIMESTAMP '2024-01-16' AS equal, true AS valid, CASE event_id % 4 WHEN 0 THEN 'invalid_length' WHEN 1 THEN 'invalid_characters' WHEN 2 THEN 'out_of_range' ELSE 'empty' END AS error FROM events""")
+@query("""SELECT event_id, date_trunc('day', ts) > TIMESTAMP '2024-01-16' AS after, date_trunc('day', ts) = TIMESTAMP '2024-01-16' AS equal, true AS valid, CASE event_id % 4
+ WHEN 0 THEN 'invalid_length' WHEN 1 THEN 'invalid_characters' WHEN 2 THEN 'out_of_range' ELSE 'empty' END AS error FROM events""")
 def ts_relations(spark, d):
     text = F.date_format("ts", "yyyyMMddHHmm")
     bad = F.when(F.col("event_id") % 4 == 0, "20240").when(F.col("event_id") % 4 == 1, "2024-01-01").when(F.col("event_id") % 4 == 2, "20241301").otherwise(" ")
@@ -182,16 +186,20 @@ def ts_relations(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", T.is_after(text, day).alias("after"), T.is_equal(text, day).alias("equal"), ok.alias("valid"), T.ts_error(bad).alias("error"))
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, (1940 + c_custkey % 60)::VARCHAR || '0101' AS born FROM customer) SELECT k, born <= '19700101' AS age, k::VARCHAR LIKE '1%' AND k::VARCHAR LIKE '%0' AS pattern, false AS broken, k > 100 AS gt, k >= 100 AS ge, k <= 100 AS le, k = 100 AS eq, k <> 100 AS ne FROM c""")
+@query("""WITH c AS (SELECT c_custkey AS k, (1940 + c_custkey % 60)::VARCHAR || '0101' AS born FROM customer)
+ SELECT k, born <= '19700101' AS age, k::VARCHAR LIKE '1%' AND k::VARCHAR LIKE '%0' AS pattern, false AS broken, k > 100 AS gt, k >= 100 AS ge, k <= 100 AS le, k = 100 AS eq, k <> 100 AS ne FROM c""")
 def scalar_relations(spark, d):
     k = F.col("c_custkey").cast("string")
     born = F.concat((1940 + F.col("c_custkey") % 60).cast("string"), F.lit("0101"))
     relations = [D.compare_numbers(k, F.lit("100"), r).alias(r) for r in ("gt", "ge", "le", "eq", "ne")]
-    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), D.is_age_range(born, F.lit("19700101")).alias("age"), D.matches_all(k, ["^1", "0$"]).alias("pattern"), D.matches_all(k, ["^", "("]).alias("broken"), *relations)
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), D.is_age_range(born, F.lit("19700101")).alias("age"), D.matches_all(k, ["^1", "0$"]).alias("pattern"),
+        D.matches_all(k, ["^", "("]).alias("broken"), *relations)
 
 
-@query(f"""WITH {ADT} SELECT msg_id, CASE WHEN no_name THEN NULL ELSE split_part(c_name, '#', 1) END AS family, CASE WHEN ids = 2 THEN 'A' || k END AS second_id, CASE WHEN own THEN '*' ELSE '|' END AS separator,
- c_mktsegment || CASE WHEN own THEN ' ? Co*' ELSE ' & Co|' END AS address, CASE WHEN no_name THEN 'null' ELSE 'value' END AS name, CASE WHEN pv1 = 2 THEN 'value' ELSE 'missing' END AS second_pv1 FROM a""")
+@query(f"""WITH {ADT} SELECT msg_id, CASE WHEN no_name THEN NULL ELSE split_part(c_name, '#', 1) END AS family, CASE WHEN ids = 2 THEN 'A' || k END AS second_id, CASE
+ WHEN own THEN '*' ELSE '|' END AS separator,
+ c_mktsegment || CASE WHEN own THEN ' ? Co*' ELSE ' & Co|' END AS address, CASE WHEN no_name THEN 'null' ELSE 'value' END AS name, CASE WHEN pv1 = 2 THEN 'value'
+ ELSE 'missing' END AS second_pv1 FROM a""")
 def sql_paths(spark, d):
     """The SQL functions, with paths as values."""
     from .. import api

@@ -70,7 +70,8 @@ ADT = """a AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS msg_id, c_name, c_na
  CASE WHEN c_custkey % 11 = 0 THEN 'X' WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex,
  '555' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') AS phone, c_custkey % 17 = 0 AS no_name FROM customer)"""
 ORU = """i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS n, l_partkey, l_quantity::BIGINT AS qty, l_returnflag FROM lineitem),
-o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, c_name, c_nationkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS items FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
+o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, c_name, c_nationkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS items FROM orders
+ JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
 #: The raw ORU messages as strings.
 ORU_RAW = ORU + """, x AS (SELECT l_orderkey, string_agg('OBX|' || n || '|NM|' || l_partkey || '^PART' || l_partkey || '||' || qty || '|EA||' || l_returnflag || '|||F', chr(13) ORDER BY n) AS obx FROM i GROUP BY 1),
 m AS (SELECT o_orderkey, concat_ws(chr(13), 'MSH|^~\\&|LAB|FAC' || c_nationkey || '|EHR|HOSP|' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '||ORU^R01^ORU_R01|' || o_orderkey || '|P|2.5.1',
@@ -155,7 +156,8 @@ def corpus_diff_segments(spark, d):
     return corpus.diff(corpus.segment_counts(before), corpus.segment_counts(after), "value", ("count",))
 
 
-@query(f"""WITH {FEED}, {_SEGMENTS}, p AS (SELECT ts, value || '.' || unnest(CASE value WHEN 'MSH' THEN [2, 3, 4, 5, 6, 7, 9, 10, 11, 12] WHEN 'EVN' THEN [1, 2] WHEN 'PID' THEN [1, 3] WHEN 'OBX' THEN [1, 2, 3, 5] ELSE [1, 2] END)::VARCHAR AS path FROM s),
+@query(f"""WITH {FEED}, {_SEGMENTS}, p AS (SELECT ts, value || '.' || unnest(CASE value WHEN 'MSH' THEN [2, 3, 4, 5, 6, 7, 9, 10, 11, 12] WHEN 'EVN' THEN [1, 2]
+ WHEN 'PID' THEN [1, 3] WHEN 'OBX' THEN [1, 2, 3, 5] ELSE [1, 2] END)::VARCHAR AS path FROM s),
 b AS (SELECT path, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS x, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS y FROM p GROUP BY 1)
 SELECT path, x AS message_count_before, y AS message_count_after, y - x AS message_count_delta, x AS occurrence_count_before, y AS occurrence_count_after, y - x AS occurrence_count_delta FROM b WHERE x <> y""")
 def corpus_diff_fields(spark, d):
@@ -194,7 +196,8 @@ _FIRST = [
 
 
 @query(f"""WITH {FEED}, v AS ({" UNION ALL ".join(f"SELECT '{path}' AS path, {value} AS value, event_id AS o FROM f WHERE {where}" for path, value, where in _FIRST)}),
-s AS (SELECT path, value, min(o) AS o FROM v WHERE value <> '' GROUP BY 1, 2) SELECT path, rank, value FROM (SELECT path, value, row_number() OVER (PARTITION BY path ORDER BY o, value) AS rank FROM s) WHERE rank <= 10""")
+s AS (SELECT path, value, min(o) AS o FROM v WHERE value <> '' GROUP BY 1, 2) SELECT path, rank, value
+ FROM (SELECT path, value, row_number() OVER (PARTITION BY path ORDER BY o, value) AS rank FROM s) WHERE rank <= 10""")
 def stats_topk(spark, d):
     return corpus.samples(_feed(spark, d))
 
@@ -216,7 +219,8 @@ def path_get(spark, d):
     return _adt(spark, d).select("msg_id", _get("PID.5.1").alias("family"), _get("PID-3[2].1").alias("second_id"), _get("MSH-10").alias("control_id"), _get("MSH.1").alias("separator"))
 
 
-@query(f"""WITH {ADT}, p AS (SELECT CASE WHEN ids = 0 THEN 'empty' ELSE 'value' END AS id, CASE WHEN no_name THEN 'null' ELSE 'value' END AS name, CASE WHEN ids = 2 THEN 'value' ELSE 'missing' END AS second, 'empty' AS alias, 'missing' AS zzz FROM a)
+@query(f"""WITH {ADT}, p AS (SELECT CASE WHEN ids = 0 THEN 'empty' ELSE 'value' END AS id, CASE WHEN no_name THEN 'null' ELSE 'value' END AS name, CASE WHEN ids = 2 THEN 'value'
+ ELSE 'missing' END AS second, 'empty' AS alias, 'missing' AS zzz FROM a)
 SELECT id, name, second, alias, zzz, count(*) AS n FROM p GROUP BY ALL""")
 def path_presence(spark, d):
     m = Message()
@@ -250,7 +254,8 @@ def charset_list(spark, d):
 
 @query(f"WITH {ADT} SELECT msg_id, 'ADT^A01' AS type, '2.5.1' AS version, 'FAC' || c_nationkey AS facility, 3 + pv1 + (k % 3 = 0)::INT AS segments FROM a")
 def metadata_projection(spark, d):
-    return _adt(spark, d).select("msg_id", F.concat_ws("^", _get("MSH.9.1"), _get("MSH.9.2")).alias("type"), F.coalesce(_get("MSH.12"), F.lit("2.5")).alias("version"), _get("MSH.4").alias("facility"), F.size("lines").alias("segments"))
+    return _adt(spark, d).select("msg_id", F.concat_ws("^", _get("MSH.9.1"), _get("MSH.9.2")).alias("type"), F.coalesce(_get("MSH.12"), F.lit("2.5")).alias("version"), _get("MSH.4").alias("facility"),
+        F.size("lines").alias("segments"))
 
 
 # --- C: text ------------------------------------------------------------------------------------------------
@@ -284,8 +289,10 @@ def escape_delims(spark, d):
 
 # --- D: scalar validators -----------------------------------------------------------------------------------
 
-@query("""WITH n AS (SELECT l_orderkey * 100 + l_linenumber AS n FROM lineitem), u AS (SELECT n, list_reduce(list_transform(range(1, length(n::VARCHAR) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(n::VARCHAR)[i]::INT
- WHEN reverse(n::VARCHAR)[i]::INT >= 5 THEN reverse(n::VARCHAR)[i]::INT * 2 - 9 ELSE reverse(n::VARCHAR)[i]::INT * 2 END), lambda a, b: a + b) AS s FROM n) SELECT s % 10 = 0 AS valid, count(*) AS n FROM u GROUP BY 1""")
+@query("""WITH n AS (SELECT l_orderkey * 100 + l_linenumber AS n FROM lineitem), u AS (SELECT n, list_reduce(list_transform(range(1, length(n::VARCHAR) + 1), lambda i: CASE
+ WHEN i % 2 = 1 THEN reverse(n::VARCHAR)[i]::INT
+ WHEN reverse(n::VARCHAR)[i]::INT >= 5 THEN reverse(n::VARCHAR)[i]::INT * 2 - 9 ELSE reverse(n::VARCHAR)[i]::INT * 2 END), lambda a, b: a + b) AS s FROM n)
+ SELECT s % 10 = 0 AS valid, count(*) AS n FROM u GROUP BY 1""")
 def luhn(spark, d):
     number = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("string")
     return spark.read.parquet(f"{d}/lineitem.parquet").groupBy(D.luhn(number).alias("valid")).agg(F.count("*").alias("n"))
@@ -306,12 +313,14 @@ def email_phone_ssn(spark, d):
 #: value, and whether it is a DT, TM, TS, NM, SI, ID and PN. Plain facts of the standard's formats.
 TYPED = (
     ("20240229", 1, 1, 1, 1, 1, 1, 0), ("20230229", 0, 1, 0, 1, 1, 1, 0), ("202402291230", 0, 1, 1, 1, 0, 1, 0), ("1230", 0, 1, 0, 1, 1, 1, 0), ("123045.5", 0, 1, 0, 1, 0, 1, 0), ("2460", 0, 0, 0, 1, 1, 1, 0),
-    ("-1.5e3", 0, 0, 0, 1, 0, 1, 0), (" 1", 0, 0, 0, 0, 0, 1, 0), ("1d", 0, 0, 0, 0, 0, 1, 0), ("inf", 0, 0, 0, 0, 0, 1, 1), ("0", 0, 0, 0, 1, 0, 1, 0), ("4294967296", 0, 0, 0, 1, 0, 1, 0), ("O''Neil-Ax", 0, 0, 0, 0, 0, 1, 1), ("", 0, 0, 0, 0, 0, 1, 1), ("12305", 0, 1, 0, 1, 1, 1, 0),
+    ("-1.5e3", 0, 0, 0, 1, 0, 1, 0), (" 1", 0, 0, 0, 0, 0, 1, 0), ("1d", 0, 0, 0, 0, 0, 1, 0), ("inf", 0, 0, 0, 0, 0, 1, 1), ("0", 0, 0, 0, 1, 0, 1, 0), ("4294967296", 0, 0, 0, 1, 0, 1, 0),
+        ("O''Neil-Ax", 0, 0, 0, 0, 0, 1, 1), ("", 0, 0, 0, 0, 0, 1, 1), ("12305", 0, 1, 0, 1, 1, 1, 0),
 )
 _KINDS = ("DT", "TM", "TS", "NM", "SI", "ID", "PN")
 
 
-@query("SELECT v AS value, " + ", ".join(f"{k.lower()}::BOOLEAN AS {k.lower()}" for k in _KINDS) + " FROM (VALUES " + ", ".join("(" + ", ".join([f"'{r[0]}'", *map(str, r[1:])]) + ")" for r in TYPED) + ") t(v, " + ", ".join(k.lower() for k in _KINDS) + ")")
+@query("SELECT v AS value, " + ", ".join(f"{k.lower()}::BOOLEAN AS {k.lower()}" for k in _KINDS) + " FROM (VALUES " + ", ".join("(" + ", ".join([f"'{r[0]}'",
+    *map(str, r[1:])]) + ")" for r in TYPED) + ") t(v, " + ", ".join(k.lower() for k in _KINDS) + ")")
 def datatype_matrix(spark, d):
     rows = spark.createDataFrame([(r[0].replace("''", "'"),) for r in TYPED], "value string")
     return rows.select("value", *[F.coalesce(D.valid(F.col("value"), k), F.lit(False)).alias(k.lower()) for k in _KINDS])
@@ -321,9 +330,11 @@ _PREC = "CASE event_id % 4 WHEN 0 THEN 'month' WHEN 1 THEN 'day' WHEN 2 THEN 'mi
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('month', ts) WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END
- < CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2024-01-01' WHEN 1 THEN TIMESTAMP '2024-01-16' WHEN 2 THEN TIMESTAMP '2024-01-16 12:30:00' ELSE TIMESTAMP '2024-01-16 12:30:15' END AS before FROM events""")
+ < CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2024-01-01' WHEN 1 THEN TIMESTAMP '2024-01-16' WHEN 2 THEN TIMESTAMP '2024-01-16 12:30:00'
+ ELSE TIMESTAMP '2024-01-16 12:30:15' END AS before FROM events""")
 def ts_precision_before(spark, d):
-    pattern = F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyyMM")).when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyyMMdd")).when(F.col("event_id") % 4 == 2, F.date_format("ts", "yyyyMMddHHmm")).otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
+    pattern = F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyyMM")).when(F.col("event_id") % 4 == 1, F.date_format("ts", "yyyyMMdd")).when(F.col("event_id") % 4 == 2,
+        F.date_format("ts", "yyyyMMddHHmm")).otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", T.is_before(pattern, F.lit("20240116123015")).alias("before"))
 
 
@@ -373,7 +384,8 @@ def length_bytes(spark, d):
     return _issues(_adt(spark, d), "lengths: [{path: PID.3.1, max: 3}]\ndatatypes: [{path: PID.7, type: DT}, {path: PID.1, type: SI}]")
 
 
-@query(f"WITH {ADT} " + _found("CHECKSUM_MISMATCH", "PID.13", "phone", "list_sum(list_transform(range(1, 11), lambda i: CASE WHEN i % 2 = 1 THEN reverse(phone)[i]::INT WHEN reverse(phone)[i]::INT >= 5 THEN reverse(phone)[i]::INT * 2 - 9 ELSE reverse(phone)[i]::INT * 2 END)) % 10 <> 0") + " UNION ALL " + _found("VALUE_TOO_SHORT", "PID.8", "sex", "true"))
+@query(f"WITH {ADT} " + _found("CHECKSUM_MISMATCH", "PID.13", "phone",
+    "list_sum(list_transform(range(1, 11), lambda i: CASE WHEN i % 2 = 1 THEN reverse(phone)[i]::INT WHEN reverse(phone)[i]::INT >= 5 THEN reverse(phone)[i]::INT * 2 - 9 ELSE reverse(phone)[i]::INT * 2 END)) % 10 <> 0") + " UNION ALL " + _found("VALUE_TOO_SHORT", "PID.8", "sex", "true"))
 def advanced_datatypes(spark, d):
     return _issues(_adt(spark, d), "advanced_datatypes: [{path: PID.13, type: NM, min_length: 10, max_length: 10, checksum: luhn}, {path: PID.8, type: ID, min_length: 2}]")
 
@@ -388,7 +400,8 @@ def cross_field_assert(spark, d):
     return _issues(_adt(spark, d), "cross_field_rules: [{id: r, description: d, validation_mode: assert, conditions: [{field: PID.8, operator: in, values: [M, F]}, {field: PID.7, operator: before, value: '1990'}]}]")
 
 
-@query(f"WITH {ADT} " + _found("CROSS_FIELD_VALIDATION_ERROR", "NK1.1", "NULL::VARCHAR", "born < '1960' AND born <> '19991332' AND k % 3 <> 0") + " UNION ALL " + _found("CROSS_FIELD_VALIDATION_ERROR", "PV1.2", "CASE WHEN k % 4 = 0 THEN 'I' ELSE 'O' END", "born < '1960' AND born <> '19991332' AND pv1 > 0"))
+@query(f"WITH {ADT} " + _found("CROSS_FIELD_VALIDATION_ERROR", "NK1.1", "NULL::VARCHAR", "born < '1960' AND born <> '19991332' AND k % 3 <> 0") + " UNION ALL " + _found("CROSS_FIELD_VALIDATION_ERROR",
+    "PV1.2", "CASE WHEN k % 4 = 0 THEN 'I' ELSE 'O' END", "born < '1960' AND born <> '19991332' AND pv1 > 0"))
 def cross_field_require(spark, d):
     return _issues(_adt(spark, d), "cross_field_rules: [{id: r, description: d, conditions: [{field: PID.7, operator: lt, value: '19600000'}], actions: [{field: NK1.1, action: require}, {field: PV1.2, action: prohibit}]}]")
 
@@ -399,7 +412,8 @@ def temporal_tolerance(spark, d):
     return _issues(_adt(spark, d), "temporal_rules: [{id: a, description: d, before: PID.7, after: EVN.2, tolerance: 5m}, {id: b, description: d, before: EVN.2, after: PID.7, tolerance: 30d}]")
 
 
-@query(f"WITH {ADT} " + _found("CONTEXTUAL_VALIDATION_ERROR", "PID.8", "sex", "pv1 > 0 AND k % 4 = 0 AND sex = 'X'") + " UNION ALL " + _found("CONTEXTUAL_VALIDATION_ERROR", "NK1.1", "'1'", "pv1 > 0 AND k % 4 = 0 AND k % 3 = 0"))
+@query(f"WITH {ADT} " + _found("CONTEXTUAL_VALIDATION_ERROR", "PID.8", "sex", "pv1 > 0 AND k % 4 = 0 AND sex = 'X'") + " UNION ALL " + _found("CONTEXTUAL_VALIDATION_ERROR", "NK1.1", "'1'",
+    "pv1 > 0 AND k % 4 = 0 AND k % 3 = 0"))
 def contextual_rule(spark, d):
     text = "valuesets: [{path: ZZZ.1, name: SEX, codes: [M, F]}]\ncontextual_rules: [{id: a, description: d, context_field: PV1.2, context_value: I, target_field: PID.8, validation_type: validate_valueset, parameters: {valueset: SEX}}, {id: b, description: d, context_field: PV1.2, context_value: I, target_field: NK1.1, validation_type: prohibit}]"
     return _issues(_adt(spark, d), text)
@@ -409,7 +423,8 @@ def contextual_rule(spark, d):
     _found("CUSTOM_RULE_VIOLATION", "PID.3", "k::VARCHAR", "ids > 0 AND length(k::VARCHAR) <= 2"), _found("CUSTOM_RULE_VIOLATION", "PID.3", "''", "ids = 0"), _found("CUSTOM_RULE_VIOLATION", "PID.8", "sex", "sex <> 'M'"),
     _found("CUSTOM_RULE_VIOLATION", "PID.7", "born", "born = '19991332'"), _found("CUSTOM_RULE_VIOLATION", "PID.13", "phone", "phone::DOUBLE NOT BETWEEN 5550000100 AND 5550000200")]))
 def custom_rules(spark, d):
-    scripts = ["field(PID.3).length() > 2", "field(PID.8) in ['M']", "field(PID.7).is_valid_birth_date()", "field(PID.13) between 5550000100 and 5550000200", "field(PID.13).is_phone_number()", "field(PID.1) == field(PV1.1)"]
+    scripts = ["field(PID.3).length() > 2", "field(PID.8) in ['M']", "field(PID.7).is_valid_birth_date()", "field(PID.13) between 5550000100 and 5550000200", "field(PID.13).is_phone_number()",
+        "field(PID.1) == field(PV1.1)"]
     return _issues(_adt(spark, d), "custom_rules: [" + ", ".join(f"{{id: r{i}, description: d, script: \"{s}\"}}" for i, s in enumerate(scripts)) + "]")
 
 
@@ -429,14 +444,16 @@ _COUNT = "(ids = 0)::INT + (sex = 'X')::INT + (born = '19991332')::INT + (pv1 <>
 
 
 @query(f"""WITH {ADT} SELECT msg_id, {_COUNT} = 0 AS valid, 'ADT^A01' AS message_type, 3 + pv1 + (k % 3 = 0)::INT AS segment_count, {_COUNT} AS issue_count,
- concat_ws(',', CASE pv1 WHEN 0 THEN 'missing_required_segment' WHEN 2 THEN 'segment_repetition_not_allowed' END, CASE WHEN ids = 0 THEN 'missing_required_field' END, CASE WHEN sex = 'X' THEN 'value_not_in_set' END,
+ concat_ws(',', CASE pv1 WHEN 0 THEN 'missing_required_segment' WHEN 2 THEN 'segment_repetition_not_allowed' END, CASE WHEN ids = 0 THEN 'missing_required_field' END, CASE
+ WHEN sex = 'X' THEN 'value_not_in_set' END,
  CASE WHEN born = '19991332' THEN 'invalid_data_type' END) AS codes FROM a""")
 def report_rollup(spark, d):
     found = validate.report(validate.validate(_adt(spark, d), profile.loads(PROFILE), TODAY))
     return found.withColumn("codes", F.array_join("codes", ","))
 
 
-@query(f"""WITH {ADT} SELECT code, n AS count FROM (SELECT 'missing_required_field' AS code, count(*) FILTER (ids = 0) AS n FROM a UNION ALL SELECT 'value_not_in_set', count(*) FILTER (sex = 'X') FROM a UNION ALL SELECT 'invalid_data_type', count(*) FILTER (born = '19991332') FROM a
+@query(f"""WITH {ADT} SELECT code, n AS count FROM (SELECT 'missing_required_field' AS code, count(*) FILTER (ids = 0) AS n FROM a UNION ALL
+ SELECT 'value_not_in_set', count(*) FILTER (sex = 'X') FROM a UNION ALL SELECT 'invalid_data_type', count(*) FILTER (born = '19991332') FROM a
  UNION ALL SELECT 'missing_required_segment', count(*) FILTER (pv1 = 0) FROM a UNION ALL SELECT 'segment_repetition_not_allowed', count(*) FILTER (pv1 = 2) FROM a) WHERE n > 0""")
 def issue_code_counts(spark, d):
     return corpus.issue_code_counts(validate.validate(_adt(spark, d), profile.loads(PROFILE), TODAY))
@@ -457,7 +474,8 @@ def profile_lint(spark, d):
 
 # --- H: redaction -------------------------------------------------------------------------------------------
 
-POLICY = "\n".join(f'[[rules]]\npath = "{p}"\naction = "{a}"\nreason = "r"\noptional = {o}' for p, a, o in (("PID.3", "hash", "true"), ("PID.5", "drop", "true"), ("PID.7", "hash", "true"), ("PID.11", "drop", "true"), ("PID-13", "hash", "true"), ("NK1.2", "drop", "true"), ("PV1.2", "retain", "true")))
+POLICY = "\n".join(f'[[rules]]\npath = "{p}"\naction = "{a}"\nreason = "r"\noptional = {o}' for p, a,
+    o in (("PID.3", "hash", "true"), ("PID.5", "drop", "true"), ("PID.7", "hash", "true"), ("PID.11", "drop", "true"), ("PID-13", "hash", "true"), ("NK1.2", "drop", "true"), ("PV1.2", "retain", "true")))
 
 
 @query(f"WITH {ADT} SELECT msg_id, 'hash:sha256:' || sha256(born) AS born, '' AS name, 'hash:sha256:' || sha256(phone) AS phone, sex FROM a")
@@ -524,7 +542,8 @@ def write_roundtrip(spark, d):
 @query(f"WITH {ADT} SELECT msg_id, CASE WHEN no_name THEN '__NULL__' ELSE split_part(c_name, '#', 1) END AS family, sex, 3 + pv1 + (k % 3 = 0)::INT AS segments FROM a")
 def json_fields(spark, d):
     rows = _adt(spark, d).select("msg_id", write.to_json(charsets()).alias("j"))
-    return rows.select("msg_id", F.get_json_object("j", "$.segments[2].fields['5'][0][0][0]").alias("family"), F.get_json_object("j", "$.segments[2].fields['8'][0][0][0]").alias("sex"), F.json_array_length(F.get_json_object("j", "$.segments")).alias("segments"))
+    return rows.select("msg_id", F.get_json_object("j", "$.segments[2].fields['5'][0][0][0]").alias("family"), F.get_json_object("j", "$.segments[2].fields['8'][0][0][0]").alias("sex"),
+        F.json_array_length(F.get_json_object("j", "$.segments")).alias("segments"))
 
 
 @query(f"WITH {ADT} SELECT msg_id, 'EHR' AS sender, 'FAC' || c_nationkey AS receiver_facility, 'ACK^ADT' AS type, CASE WHEN {_COUNT} = 0 THEN 'AA' ELSE 'AR' END AS code, 'C' || k AS control_id FROM a")
@@ -547,7 +566,8 @@ def ack_policy(spark, d):
 @query(f"WITH {ADT} SELECT count(*) AS n, count(*) AS same, count(*) AS framed, count(*) AS lengths FROM a")
 def mllp_roundtrip(spark, d):
     rows = derived.adt(spark, d).select("raw", mllp.wrap(F.col("raw")).alias("b"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(mllp.unwrap(F.col("b")) == F.col("raw").cast("binary")).alias("same"), F.count_if(mllp.is_framed(F.col("b"))).alias("framed"), F.count_if(mllp.frame_length(F.col("b")) == F.octet_length("raw") + 3).alias("lengths"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(mllp.unwrap(F.col("b")) == F.col("raw").cast("binary")).alias("same"), F.count_if(mllp.is_framed(F.col("b"))).alias("framed"),
+        F.count_if(mllp.frame_length(F.col("b")) == F.octet_length("raw") + 3).alias("lengths"))
 
 
 def _batches(spark, d):
@@ -608,8 +628,11 @@ _LEN = f"""strlen('MSH|^~\\&|FEED|WEB|EHR|HOSP|20240101000000||ADT^A01|E' || eve
  + CASE event_type WHEN 'purchase' THEN 1 + strlen('OBX|1|ST|PROPS||' || coalesce({_ESCAPED}, '')) WHEN 'error' THEN 1 + strlen('ZER|1|' || user_id) ELSE 0 END"""
 
 
-@query(f"""WITH {FEED}, l AS (SELECT event_id, ({_LEN})::HUGEINT AS v FROM f), w AS (SELECT event_id, v, count(*) OVER p AS n, (sum(v) OVER p)::DOUBLE AS s, (sum(v * v) OVER p)::DOUBLE AS q FROM l WINDOW p AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-z AS (SELECT event_id, CASE WHEN n >= 100 AND (q - s * s / n) / (n - 1) > 0 THEN least(abs(v::DOUBLE - s / n) / sqrt((q - s * s / n) / (n - 1)) / 10, 1.0) ELSE 0.0 END AS score FROM w) SELECT event_id, round(score, 6) AS score, score >= 0.2 AS is_anomaly FROM z""")
+@query(f"""WITH {FEED}, l AS (SELECT event_id, ({_LEN})::HUGEINT AS v
+ FROM f), w AS (SELECT event_id, v, count(*) OVER p AS n, (sum(v) OVER p)::DOUBLE AS s, (sum(v * v) OVER p)::DOUBLE AS q FROM l
+ WINDOW p AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT event_id, CASE WHEN n >= 100 AND (q - s * s / n) / (n - 1) > 0 THEN least(abs(v::DOUBLE - s / n) / sqrt((q - s * s / n) / (n - 1)) / 10, 1.0) ELSE 0.0 END AS score
+ FROM w) SELECT event_id, round(score, 6) AS score, score >= 0.2 AS is_anomaly FROM z""")
 def guard_running_zscore(spark, d):
     scored = lifecycle.guard(derived.feed(spark, d), F.octet_length("raw"), threshold=0.2, width=1000)
     return scored.select(F.col("ordinal").alias("event_id"), F.round("guard_score", 6).alias("score"), "is_anomaly")
@@ -625,7 +648,8 @@ def lifecycle_next(spark, d):
 TEMPLATE = {
     "name": "adt", "delims": "^~\\&",
     "segments": ["MSH|^~\\&|GEN|LAB|EHR|HOSP|20240101||ADT^A01|1|P|2.5.1", "PID|1||x||x^x||19800101|x"],
-    "values": {"MSH.10": [{"type": "Numeric", "value": {"digits": 8}}], "PID.3": [{"type": "RealisticMrn"}], "PID.5": [{"type": "RealisticName"}], "PID.8": [{"type": "From", "value": ["M", "F"]}], "PID.7": [{"type": "Date", "value": {"start": "19400101", "end": "19991231"}}]},
+    "values": {"MSH.10": [{"type": "Numeric", "value": {"digits": 8}}], "PID.3": [{"type": "RealisticMrn"}], "PID.5": [{"type": "RealisticName"}], "PID.8": [{"type": "From", "value": ["M", "F"]}],
+        "PID.7": [{"type": "Date", "value": {"start": "19400101", "end": "19991231"}}]},
 }
 
 
@@ -639,7 +663,8 @@ def generate_messages(spark, d):
     return counts.crossJoin(ok.agg(F.count_if("ok").alias("again")))  # one row each
 
 
-@query(f"""WITH {FEED} SELECT 'start_message' AS event, count(*) AS n FROM f UNION ALL SELECT 'end_message', count(*) FROM f UNION ALL SELECT 'segment', count(*) * 2 + count(*) FILTER (event_type IN ('purchase', 'error')) FROM f
+@query(f"""WITH {FEED} SELECT 'start_message' AS event, count(*) AS n FROM f UNION ALL SELECT 'end_message', count(*) FROM f UNION ALL
+ SELECT 'segment', count(*) * 2 + count(*) FILTER (event_type IN ('purchase', 'error')) FROM f
  UNION ALL SELECT 'field', count(*) * (11 + 2 + 3) + 5 * count(*) FILTER (event_type = 'purchase') + 2 * count(*) FILTER (event_type = 'error') FROM f""")
 def stream_events(spark, d):
     return stream.events(derived.feed(spark, d)).groupBy("event").agg(F.count("*").alias("n"))
@@ -673,7 +698,8 @@ def datatype_detail(spark, d):
 @query("SELECT event_id, epoch(date_trunc('second', ts)) % 86400 + (event_id % 10) / 10.0 AS seconds, (event_id % 10) * 100000 AS micros, 6 AS precision, ts::DATE = DATE '2024-01-16' AS same_day FROM events")
 def timestamp_fractions(spark, d):
     digit = F.concat(F.lit("."), (F.col("event_id") % 10).cast("string"))
-    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.date_format("ts", "yyyyMMddHHmmss"), digit).alias("t"), F.concat(F.date_format("ts", "HHmmss"), digit).alias("tm"), F.date_format("ts", "yyyyMMddHHmm").alias("short"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.date_format("ts", "yyyyMMddHHmmss"), digit).alias("t"), F.concat(F.date_format("ts", "HHmmss"), digit).alias("tm"),
+        F.date_format("ts", "yyyyMMddHHmm").alias("short"))
     f = T.parse_ts_fraction(F.col("t"))
     return rows.select("event_id", T.parse_time(F.col("tm")).alias("seconds"), f["micros"].alias("micros"), f["precision"].alias("precision"), T.is_same_day(F.col("short"), F.lit("20240116")).alias("same_day"))
 
@@ -695,8 +721,10 @@ def hashed_identifiers(spark, d):
     return _adt(spark, d).select("msg_id", redact.hash_identifier(_get("MSH.10")).alias("control"))
 
 
-@query(f"""WITH {FEED}, g AS (SELECT user_id, date_trunc('second', ts) AS ts, CASE WHEN date_trunc('second', ts) - lag(date_trunc('second', ts)) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id)),
-s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id::VARCHAR AS pid, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, n""")
+@query(f"""WITH {FEED}, g AS (SELECT user_id, date_trunc('second', ts) AS ts, CASE WHEN date_trunc('second', ts) - lag(date_trunc('second', ts)) OVER w <= INTERVAL 12 HOUR THEN 0
+ ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+ SELECT user_id::VARCHAR AS pid, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, n""")
 def event_time_sessions(spark, d):
     timed = stream.with_event_time(_feed(spark, d)).withColumn("pid", _get("PID.3.1"))
     return stream.session_counts(timed, "pid", "12 hours")

@@ -26,7 +26,8 @@ def events(messages: DataFrame, key: str = "msg_id", raw: str = "raw", max_bytes
     text = F.col(raw).cast("string")
     mark = F.substring(text, 4, 1)
     kind = "struct<event:string,seg_id:string,field_num:int,value:string>"
-    make = lambda event, seg=None, num=None, value=None: F.struct(F.lit(event).alias("event"), (seg if seg is not None else F.lit(None)).cast("string").alias("seg_id"), (num if num is not None else F.lit(None)).cast("int").alias("field_num"), (value if value is not None else F.lit(None)).cast("string").alias("value"))
+    make = lambda event, seg=None, num=None, value=None: F.struct(F.lit(event).alias("event"), (seg if seg is not None else F.lit(None)).cast("string").alias("seg_id"),
+        (num if num is not None else F.lit(None)).cast("int").alias("field_num"), (value if value is not None else F.lit(None)).cast("string").alias("value"))
     cut = lambda line: F.split(line, F.concat(F.lit("\\Q"), mark, F.lit("\\E")), -1)
 
     def of_line(line):
