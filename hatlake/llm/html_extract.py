@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template iframe object svg math canvas button select textarea input title".split())
-#: Elements and roles that aren't main text by their own meaning.
-APART_TAGS = frozenset("form nav footer aside menu dialog".split())
-APART_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form".split())
+#: Elements and roles that are never main text, and those that aren't unless they hold most of the text.
+NEVER_TAGS, NEVER_ROLES = frozenset("nav footer menu".split()), frozenset("navigation banner contentinfo search menu menubar".split())
+APART_TAGS, APART_ROLES = frozenset("form aside dialog".split()), frozenset("complementary alert alertdialog dialog form".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -57,16 +57,17 @@ STRONG = frozenset(
 )
 WEAK = frozenset("header share social related recommended recommendations widget widgets copyright legal disclaimer".split())
 #: What a name multiplies the score of its paths by, and the share of the selected text that annuls it.
-TALK_FACTOR, STRONG_FACTOR, WEAK_FACTOR = 0.09, 0.1, 0.7
+TALK_FACTOR, STRONG_FACTOR, WEAK_FACTOR, APART_FACTOR, LEAST_FACTOR = 0.09, 0.1, 0.7, 0.001, 0.005
 TALK_SHARE, MARK_SHARE = 0.9, 0.5
 
 SIGMA = 1.0
 #: The share of the mean score that a path must reach, and in an article or main element, which says itself what is content.
-THRESHOLD, ARTICLE_THRESHOLD = 0.5, 0.25
+THRESHOLD, ARTICLE_THRESHOLD = 0.5, 0.15
 #: What a path is worth if all of it is links.
 LINK_SHARE = 0.1
-#: An article or main element is the container if it has this share of the selected text; another element, if it has the second.
-ARTICLE_SHARE, CONTAINER_SHARE = 0.125, 0.9
+#: An article or main element is the container if it has this share of the selected text, or if there isn't as much outside
+#: of it as a story has characters; another element, if it has the last share.
+ARTICLE_SHARE, STORY_CHARS, CONTAINER_SHARE = 0.125, 280, 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -74,6 +75,7 @@ _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 
@@ -101,7 +103,7 @@ class Block(NamedTuple):
 @functools.lru_cache(4096)
 def _named(tag: str, attributes: str) -> tuple[float, str]:
     """The factor of an element's name or meaning, and its classes as part of the path."""
-    factor = 0.0 if tag in APART_TAGS else WEAK_FACTOR if tag == "header" else 1.0
+    factor = 0.0 if tag in NEVER_TAGS else APART_FACTOR if tag in APART_TAGS else WEAK_FACTOR if tag == "header" else 1.0
     classes = ""
     if attributes.strip():
         for name, *values in _ATTRIBUTE.findall(attributes):
@@ -114,7 +116,9 @@ def _named(tag: str, attributes: str) -> tuple[float, str]:
                     for known, value_of in ((TALK, TALK_FACTOR), (STRONG, STRONG_FACTOR), (WEAK, WEAK_FACTOR)):
                         if not known.isdisjoint(words):
                             factor = min(factor, value_of)
-            elif name == "role" and value.strip().lower() in APART_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
+            elif name == "role" and value.strip().lower() in APART_ROLES:
+                factor = min(factor, APART_FACTOR)
+            elif name == "role" and value.strip().lower() in NEVER_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
                 factor = 0.0
     return factor, classes
 
@@ -224,7 +228,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if tag in ("article", "main", "section", "nav", "aside", "footer"):
             links = 0  # a link doesn't reach over sections
         factor, classes = _named(tag, attributes)
-        if attributes.rstrip().endswith("/") and tag not in ("p", "div", "article", "section", "main", "body", "html"):
+        if _CLOSED.search(attributes) and tag not in ("p", "div", "article", "section", "main", "body", "html"):
             continue
         push(tag, attributes, factor, classes)
     flush()
@@ -285,10 +289,11 @@ def _factors(elements: list[Element], blocks: list[Block]) -> list[float]:
     scores = path_scores(keys, blocks, [1.0] * len(blocks))
     limit = THRESHOLD * _mean_score(scores, blocks)
     mass = _masses(elements, blocks, [_plain(b) * s if s >= limit else 0.0 for b, s in zip(blocks, scores, strict=True)])
+    text = _masses(elements, blocks, [float(_plain(b)) for b in blocks])
     holds = [False] * len(elements)  # an article or main element with text
     for index in range(len(elements) - 1, 0, -1):
         e = elements[index]
-        if mass[index] > 0 and (holds[index] or e.tag in ("article", "main")):
+        if text[index] > 0 and (holds[index] or e.tag in ("article", "main")):
             holds[e.parent] = True
     factors = [1.0] * len(elements)
     inside = [False] * len(elements)  # an article or main element that no mark takes away
@@ -298,33 +303,36 @@ def _factors(elements: list[Element], blocks: list[Block]) -> list[float]:
         spared = e.factor == 1 or holds[index]
         factors[index] = factors[e.parent] * (1.0 if spared else e.factor)
         inside[index] = inside[e.parent] or e.tag in ("article", "main") and factors[index] == 1
-        plain = plain or inside[index] and mass[index] > 0
+        plain = plain or inside[index] and text[index] > 0
     # Where an article says what is content, much text outside of it is no sign of main text: a footer can be longer.
     factors = [1.0] * len(elements)
     for index in range(1, len(elements)):
         e = elements[index]
         share = TALK_SHARE if e.factor == TALK_FACTOR else MARK_SHARE
-        most = mass[0] > 0 and mass[index] >= share * mass[0] and (inside[index] or not plain)
+        most = e.factor > 0 and mass[0] > 0 and mass[index] >= share * mass[0] and (inside[index] or not plain)
         factors[index] = factors[e.parent] * (1.0 if e.factor == 1 or holds[index] or most else e.factor)
     return factors
 
 
 def _container(elements: list[Element], blocks: list[Block], selected: list[bool], scores: list[float]) -> int:
     """The element that holds the main text: the article with the most selected text, else ``main``, each if it has
-    a fair share of it; else the deepest element that holds nine tenths of the selected text."""
+    a fair share of it or no story stands outside; else the deepest element that holds nine tenths of the selected text."""
     mass = _masses(elements, blocks, [_plain(b) * s if chosen else 0.0 for b, s, chosen in zip(blocks, scores, selected, strict=True)])
     length = _masses(elements, blocks, [_plain(b) if chosen else 0.0 for b, chosen in zip(blocks, selected, strict=True)])
+    text = _masses(elements, blocks, [float(_plain(b)) for b in blocks])
     for tag in ("article", "main"):
-        above = [False] * len(elements)
+        above, marked = [False] * len(elements), [False] * len(elements)
         tops = []
         for index in range(1, len(elements)):
             up = elements[index].parent
-            above[index] = above[up] or elements[up].tag == tag
-            if elements[index].tag == tag and not above[index]:
+            above[index], marked[index] = above[up] or elements[up].tag == tag, marked[up] or elements[up].factor < 1
+            # below a mark it may be a teaser: it counts if it holds half of the text
+            if elements[index].tag == tag and not above[index] and (not marked[index] or 2 * mass[index] >= mass[0]):
                 tops.append(index)
         if tops:
-            best = max(tops, key=mass.__getitem__)
-            if mass[best] > 0 and 2 * mass[best] >= sum(mass[t] for t in tops) and length[best] >= ARTICLE_SHARE * length[0]:
+            best = max(tops, key=lambda t: (mass[t], text[t]))
+            fair = length[best] >= ARTICLE_SHARE * length[0] or length[0] - length[best] < STORY_CHARS
+            if text[best] > 0 and 2 * mass[best] >= sum(mass[t] for t in tops) and fair:
                 return best
     deepest = max((i for i in range(len(elements)) if mass[i] >= CONTAINER_SHARE * mass[0]), key=lambda i: (elements[i].depth, -i), default=0)
     # a single block can't be the container: its neighbours of the same parent belong to the text
@@ -336,18 +344,25 @@ def _container(elements: list[Element], blocks: list[Block], selected: list[bool
 def select(elements: list[Element], blocks: list[Block]) -> list[Block]:
     """The blocks of the main text."""
     factors = _factors(elements, blocks)
-    blocks = [b for b in blocks if factors[b.element] > 0]
+    blocks = [b for b in blocks if factors[b.element] >= LEAST_FACTOR]
     if not blocks:
         return []
     of = [factors[b.element] for b in blocks]
     keys = [(elements[b.element].path, f) for b, f in zip(blocks, of, strict=True)]
     scores = path_scores(keys, blocks, of)
-    mean = _mean_score(scores, blocks)
+    # The mean is that of what has no mark against it: long comments must not lower what is asked of a path.
+    clear = [(s, b) for s, b, f in zip(scores, blocks, of, strict=True) if f >= WEAK_FACTOR] or list(zip(scores, blocks, strict=True))
+    mean = _mean_score(*map(list, zip(*clear, strict=True)))
     root = _container(elements, blocks, [s >= THRESHOLD * mean for s in scores], scores)
-    limit = (ARTICLE_THRESHOLD if elements[root].tag in ("article", "main") else THRESHOLD) * mean
     within = [False] * len(elements)
     for index in range(len(elements)):
         within[index] = index == root or index > 0 and within[elements[index].parent]
+    explicit = elements[root].tag in ("article", "main")
+    if explicit:
+        # What an article asks of a path is a share of its own mean: text around a short one can be longer.
+        own = [(s, b) for s, b in clear if within[b.element]]
+        mean = _mean_score(*map(list, zip(*own, strict=True))) if own else mean
+    limit = (ARTICLE_THRESHOLD if explicit else THRESHOLD) * mean
     inside = [(b, s >= limit, f) for b, s, f in zip(blocks, scores, of, strict=True) if within[b.element]]
     # A path that holds a tenth of the container's plain text is content, if nothing speaks against it.
     lengths: dict[int, int] = {}

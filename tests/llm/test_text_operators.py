@@ -87,6 +87,19 @@ def test_scores_select_inside_and_outside_articles():
     assert html_extract.main_text(page) == "\n\n".join([*STORY, "Short."])
 
 
+def test_short_articles_and_long_surroundings():
+    comments = "".join(f"<div class=comment><b>user{i}</b><p>I think this is quite wrong, and here is why: it is long. I do not agree at all!</p></div>" for i in range(30))
+    foot = "<footer><p>Copyright by us. All rights reserved, of course, by all of us here.</p></footer>"
+    page = "<body><nav><a href=/>Home</a></nav><div class=ad>Buy this now, it is cheap and good.</div><article><p>{}</p></article>{}</body>"
+    assert [html_extract.main_text(page.format(x, foot)) for x in ("x", "Two words")] == ["x", "Two words"]
+    section = f"<section id=comments><h2>30 Comments</h2>{comments}</section>"
+    for inner in (f"<article><h1>T</h1>{paragraphs(STORY)}{section}</article>", f"<article><h1>T</h1>{paragraphs(STORY)}</article>{section}"):
+        assert html_extract.main_text(f"<body>{inner}{foot}</body>") == "\n\n".join(["T", *STORY])
+    table = "<ul><li>Milk</li><li>Salt</li></ul><table><tr><th>Year</th><th>Sum</th></tr><tr><td>1999</td><td>12</td></tr></table>"
+    page = f"<body><article>{paragraphs(STORY)}{table}<div class=notice>This is old, be aware. It may be wrong.</div></article></body>"
+    assert html_extract.main_text(page) == "\n\n".join([*STORY, "Milk", "Salt", "Year", "Sum", "1999", "12"])
+
+
 def test_marked_inline_text_goes_and_its_paragraph_stays_whole():
     page = f"<body><div>{paragraphs(STORY)}<p>Words before it, <span class=ad>Buy!</span> and <i>words</i> after.</p></div></body>"
     assert html_extract.main_text(page) == "\n\n".join([*STORY, "Words before it, and words after."])
