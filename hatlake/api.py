@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import batch, corpus, evidence, generate as _generate, redact as _redact, validate as _validate, write
 from .functions.delims import CANONICAL, STAND_INS
+from .functions.text import sha256
 from .operators.parse import atoms, charsets, fields, parse, parsed, segments
 from .plans import profile as _profile
 from .plans.paths import Message, parse_path
@@ -21,7 +22,7 @@ from .sources import mllp
 
 __all__ = [
     "ack", "atoms", "batch", "bundle", "corpus_diff", "corpus_fingerprint", "corpus_summary", "fields", "generate", "get", "load_profile", "mllp", "normalize", "parse", "parsed", "profile_explain", "profile_folder",
-    "profile_lint", "profile_test", "redact", "register", "replay", "segments", "to_json", "validate",
+    "profile_lint", "profile_test", "redact", "register", "replay", "safe_analysis", "segments", "to_json", "validate",
 ]
 
 
@@ -111,6 +112,23 @@ def redact(messages: DataFrame, policy: str) -> tuple[DataFrame, DataFrame]:
     return done, _redact.receipt(done, rules)
 
 
+def safe_analysis(messages: DataFrame, policy: str, raw: str = "raw", key: str = "msg_id") -> DataFrame:
+    """Raw messages in, redacted ones out: key, status, raw, input_sha256, output_sha256, policy_sha256, errors.
+
+    ``status`` is redacted, refused (the policy doesn't cover a sensitive field, or misses one) or unreadable. Only
+    redacted messages have ``raw``, so nothing that wasn't redacted gets through.
+    """
+    rules, digest = _redact.load_policy(policy)
+    rows = parse(messages.select(key, F.col(raw).alias("raw"), sha256(F.col(raw)).alias("input_sha256")))
+    done = _redact.redact(rows, rules)
+    bad = F.col("parse_error").isNotNull()
+    out = F.when(~bad & F.col("lines").isNotNull(), write.wire())
+    status = F.when(bad, "unreadable").when(F.col("lines").isNull(), "refused").otherwise("redacted")
+    errors = F.when(bad, F.array("parse_error.code")).otherwise(F.col("policy_errors"))
+    return done.select(key, status.alias("status"), out.alias("out"), "input_sha256", F.lit(digest).alias("policy_sha256"), errors.alias("errors")).select(
+        key, "status", F.col("out").alias("raw"), "input_sha256", sha256(F.col("out")).alias("output_sha256"), "policy_sha256", "errors")
+
+
 def bundle(messages: DataFrame, profile: _profile.Profile, policy: str, path: str, today: str | None = None) -> None:
     evidence.bundle(messages, profile, policy, path, today or _today())
 

@@ -87,7 +87,7 @@ class Maker:
         if key == "phone":
             return F.concat(F.lit("("), (self.below(f"{name}/a", 800) + 200).cast("string"), F.lit(")555-"), self.digits(f"{name}/d", 4))
         if key == "ssn":
-            return F.concat((self.below(f"{name}/a", 665) + 1).cast("string").alias("x"), F.lit("-"), F.lpad((self.below(f"{name}/g", 99) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((self.below(f"{name}/s", 9999) + 1).cast("string"), 4, "0"))
+            return F.concat((self.below(f"{name}/a", 566) + 100).cast("string"), F.lit("-"), F.lpad((self.below(f"{name}/g", 99) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((self.below(f"{name}/s", 9999) + 1).cast("string"), 4, "0"))
         if key == "mrn":
             return self.digits(name, 8)
         lists = {k.replace("_", ""): v for k, v in CODES.items()}

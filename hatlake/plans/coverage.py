@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import datatypes as D
 from ..functions import temporal as T
-from ..functions.text import needs_unescaping
-from ..operators import corpus, validate, write
-from ..operators.parse import parse, parsed
+from ..functions.text import needs_unescaping, unescape
+from ..operators import corpus, generate, validate, write
+from ..operators.parse import fields, parse, parsed
 from ..sources import derived, mllp
 from . import profile
 from .registry import ADT, FEED, TODAY, _adt, _feed, _found, _get, _halves, _issues, _LEN, _SEGMENTS, query
@@ -81,6 +81,32 @@ def inherited_profile(spark, d):
     return validate.issues(validate.validate(_adt(spark, d), merged, TODAY)).select("msg_id", "code", "path", "value")
 
 
+# --- generated values ---------------------------------------------------------------------------------------------------
+
+#: Source of a generated value, and what every value of it matches.
+KINDS = (
+    ({"type": "Fixed", "value": "a|b"}, r"^a\|b$"), ({"type": "From", "value": ["x", "y"]}, "^[xy]$"), ({"type": "Map", "value": {"k": "v1", "l": "v2"}}, "^v[12]$"), ({"type": "Numeric", "value": {"digits": 5}}, "^[0-9]{5}$"),
+    ({"type": "Date", "value": {"start": "20200101", "end": "20201231"}}, "^2020(0[1-9]|1[0-2])([0-2][0-9]|3[01])$"), ({"type": "Gaussian", "value": {"mean": 100, "sd": 1, "precision": 1}}, r"^(9|10)[0-9]\.[0-9]$"),
+    ("UuidV4", "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}$"), ("DtmNowUtc", "^20[0-9]{12}$"), ({"type": "RealisticName", "value": {"gender": "F"}}, r"^[A-Z][a-z]+\^(Ada|Bea|Cora|Dina|Elsa|Fern|Gwen)$"),
+    ("RealisticAddress", r"^[0-9]+ [A-Za-z ]+\^\^[A-Za-z]+\^ST\^[0-9]{5}$"), ("RealisticPhone", r"^\([2-9][0-9]{2}\)555-[0-9]{4}$"), ("RealisticSsn", "^[1-6][0-9]{2}-[0-9]{2}-[0-9]{4}$"), ("RealisticMrn", "^[0-9]{8}$"),
+    ("RealisticIcd10", r"^[A-Z][0-9]+(\.[0-9]+)?$"), ("RealisticLoinc", "^[0-9]+-[0-9]$"), ("RealisticMedication", "^[A-Z][a-z]+$"), ("RealisticAllergen", "^[A-Z][a-z]+$"), ("RealisticBloodType", r"^(A|B|AB|O)[+-]$"),
+    ("RealisticEthnicity", "^[HNU]$"), ("RealisticRace", "^[0-9]{4}-[0-9]$"),
+)
+
+
+@query(f"SELECT unnest(range(1, {len(KINDS) + 1})) AS kind, (SELECT count(*) FROM customer) AS n")
+def value_kinds(spark, d):
+    """Messages whose value of each kind has the form that it should have."""
+    sources = {f"ZVK.{i}": [s] for i, (s, _) in enumerate(KINDS, 1)}
+    template = {"name": "kinds", "segments": ["MSH|^~\\&|GEN|LAB|||20240101||ADT^A01|1|P|2.5.1", "ZVK" + "|x" * len(KINDS)], "values": sources}
+    made = generate.generate(spark, template, 5, spark.read.parquet(f"{d}/customer.parquet").count()).withColumn("msg_id", F.col("ordinal").cast("string"))
+    rows = fields(parsed(made), only=("ZVK",)).select(F.col("field_no").alias("kind"), unescape(F.col("raw"), F.col("delims")).alias("text"))
+    fits = F.lit(False)
+    for i, (_, pattern) in enumerate(KINDS, 1):
+        fits |= (F.col("kind") == i) & F.col("text").rlike(pattern)
+    return rows.filter(fits).groupBy("kind").agg(F.count("*").alias("n")).select(F.col("kind").cast("long").alias("kind"), "n")
+
+
 # --- differences of corpora ----------------------------------------------------------------------------------
 
 _PER_DAY = "count(*) FILTER (ts < TIMESTAMP '2024-01-16')", "count(*) FILTER (ts >= TIMESTAMP '2024-01-16')"

@@ -271,3 +271,28 @@ def test_command_line(tmp_path, capsys, spark):
     code, found = lines("diff", f"{folder}/valid", f"{folder}/invalid")
     assert code == 0 and {r["of"] for r in found} >= {"totals", "message_types", "segments", "fields"}
     assert cli.main(["lint", str(tmp_path / "p.yaml")]) == 0
+
+
+def test_safe_analysis(spark):
+    import hashlib
+
+    policy = "\n".join(f'[[rules]]\npath = "{p}"\naction = "{a}"\nreason = "r"\noptional = true' for p, a in (("PID.3", "hash"), ("PID.5", "drop"), ("PID.7", "drop")))
+    covered = ADT
+    uncovered = ADT.replace("||\"\"|X", "||\"\"|X|||secret street")
+    rows = {r["msg_id"]: r for r in api.safe_analysis(frame(spark, covered, uncovered, "PID|1"), policy).collect()}
+    assert [rows[k]["status"] for k in "012"] == ["redacted", "refused", "unreadable"]
+    assert "Doe" not in rows["0"]["raw"] and rows["0"]["raw"].startswith("MSH|^~\\&|App") and rows["1"]["raw"] is None and rows["2"]["raw"] is None
+    assert rows["0"]["input_sha256"] == hashlib.sha256(covered.encode()).hexdigest() and rows["0"]["output_sha256"] == hashlib.sha256(rows["0"]["raw"].encode()).hexdigest()
+    assert rows["1"]["errors"] == ["sensitive field PID.11 isn't covered"] and rows["2"]["errors"] == ["InvalidSegmentId"] and rows["1"]["output_sha256"] is None
+    assert {r["policy_sha256"] for r in rows.values()} == {hashlib.sha256(policy.encode()).hexdigest()}
+
+
+def test_templates_share_rows_by_weight(spark):
+    from hatlake.operators import generate
+
+    one = lambda name: {"name": name, "segments": [f"MSH|^~\\&|{name}"]}
+    counts = {r["template"]: r["count"] for r in generate.generate(spark, [(one("a"), 3), (one("b"), 1)], 9, 4000).groupBy("template").count().collect()}
+    assert set(counts) == {"a", "b"} and abs(counts["a"] - 3000) < 150
+    for source in ("NoSuchKind", "DuplicateDelims"):
+        with pytest.raises(generate.TemplateError):
+            generate.generate(spark, {"segments": ["MSH|^~\\&|x"], "values": {"MSH.3": [source]}}, 1, 1)
