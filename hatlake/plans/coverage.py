@@ -243,3 +243,39 @@ def corpus_summary(spark, d):
     found = corpus.summary(parse(derived.adt(spark, d)))["totals"].select(F.col("message_count").alias("messages"))
     types = corpus.message_type_counts(_feed(spark, d)).agg(F.count("*").alias("types"))
     return found.crossJoin(types)  # one row each
+
+
+# --- profiles ----------------------------------------------------------------------------------------------------------
+
+#: Faulty profiles, and the codes that lint gives for each.
+FAULTY = (
+    ("message_structure: [", "yaml_parse_error"),
+    ("[]", "profile_load_error"),
+    ("message_structure: ' '\nversion: ''", "empty_message_structure empty_version"),
+    ("message_structure: T\nversion: '1'\nextra: 1\nsegments: [{id: ''}, {id: PID}, {id: PID, colour: red}]\nexpression_guardrails: {allow_custom_scripts: true, other: 1}",
+     "unknown_top_level_key empty_segment_id duplicate_segment_id unknown_segment_key unknown_expression_guardrail_key"),
+    ("message_structure: T\nversion: '1'\nconstraints: [{path: PID, colour: red}, {path: PID.1, components: {min: 3, max: 2}}, {path: PID.2, pattern: '(', when: {eq: [PID.8]}}]\nlengths: [{path: PID.1, max: 1, policy: odd}]",
+     "invalid_hl7_path unknown_constraint_key component_min_exceeds_max invalid_constraint_pattern invalid_condition_eq unknown_length_policy"),
+    ("message_structure: T\nversion: '1'\nvaluesets: [{path: PID.1, name: ''}, {path: PID.2, name: A, codes: [x]}, {path: PID.3, name: A, codes: [x]}]\ndatatypes: [{path: PID.1, type: ''}]",
+     "empty_valueset_name duplicate_valueset_name empty_valueset_without_table empty_datatype"),
+    ("message_structure: T\nversion: '1'\nadvanced_datatypes: [{path: PID.1, type: ''}, {path: PID.2, type: NM, min_length: 3, max_length: 2}, {path: PID.3, type: NM, pattern: '('}, {path: PID.4, type: NM, checksum: crc}]",
+     "empty_advanced_datatype datatype_min_length_exceeds_max invalid_datatype_pattern unknown_checksum_algorithm"),
+    ("message_structure: T\nversion: '1'\ncross_field_rules: [{id: '', validation_mode: odd}, {id: a, conditions: [{field: PID.1, operator: near}, {field: PID.1, operator: matches_regex}, "
+     "{field: PID.1, operator: matches_regex, value: '('}, {field: PID.1, operator: within_range, values: [1]}], actions: [{field: PID.1, action: fly}, {field: PID.1, action: validate, valueset: NONE}]}, {id: a}]",
+     "empty_rule_id duplicate_rule_id unknown_cross_field_validation_mode unknown_rule_condition_operator missing_rule_condition_regex invalid_rule_condition_regex invalid_within_range_values"
+     " unknown_rule_action unknown_action_valueset"),
+    ("message_structure: T\nversion: '1'\ntemporal_rules: [{id: t, before: PID.7, after: EVN.2, tolerance: soon}]\ncontextual_rules: [{id: a, context_field: PID.1, context_value: x, target_field: PID.2, validation_type: odd}, "
+     "{id: b, context_field: PID.1, context_value: x, target_field: PID.2, validation_type: validate_datatype}, {id: c, context_field: PID.1, context_value: x, target_field: PID.2, validation_type: validate_valueset}, "
+     "{id: d, context_field: PID.1, context_value: x, target_field: PID.2, validation_type: validate_valueset, parameters: {valueset: NONE}}]",
+     "invalid_temporal_tolerance unknown_contextual_validation_type missing_contextual_datatype_parameter missing_contextual_valueset_parameter unknown_contextual_valueset"),
+    ("message_structure: T\nversion: '1'\nhl7_tables: [{id: '', name: a, version: '1', codes: []}, {id: T1, name: '', version: '', codes: []}, {id: T1, name: a, version: '1', codes: []}]\n"
+     "table_precedence: [T9]\ncustom_rules: [{id: c, description: d, script: ''}]",
+     "empty_table_id duplicate_table_id empty_table_name empty_table_version unknown_table_precedence_entry empty_custom_rule_script custom_rules_without_script_guardrail"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{code}')" for i, (_, codes) in enumerate(FAULTY) for code in codes.split()) + ") t(profile, code)")
+def profile_lint_codes(spark, d):
+    """Every code of the linter, each from a profile that has the fault."""
+    rows = {(i, issue["code"]) for i, (text, _) in enumerate(FAULTY) for issue in profile.lint(text)}
+    return spark.createDataFrame(sorted(rows), "profile int, code string")
