@@ -83,8 +83,16 @@ def check(files: DataFrame, key: str = "file_id", raw: str = "raw") -> DataFrame
     return joined.select(key, F.coalesce("batches", F.lit(0)).cast("long").alias("batches"), F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), error.alias("error"))
 
 
-def write_batch(messages_frame: DataFrame, by: str, raw: str = "raw", order: str = "ordinal") -> DataFrame:
-    """One batch file for each ``by``: BHS, the messages in order, BTS with their number."""
+def write_batch(messages_frame: DataFrame, by: str, raw: str = "raw", order: str = "ordinal", size: int | None = None) -> DataFrame:
+    """One batch file for each ``by``: BHS, the messages in order, BTS with their number.
+
+    A batch is one row, so it must fit into a task. With ``size`` the messages of a ``by`` are dealt in their order into
+    batches of at most so many, told apart by ``part`` (from 0); numbering them is a sort that can spill.
+    """
+    if size is not None:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(order, raw)) - 1
+        dealt = messages_frame.withColumn("part", F.floor(place / size).cast("long")).withColumn("_by", F.struct(by, "part"))
+        return write_batch(dealt, "_by", raw, order).select(f"_by.{by}", "_by.part", "raw")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(order, raw))), lambda x: F.rtrim(x[raw], F.lit("\r")))
     return messages_frame.groupBy(by).agg(F.concat(F.lit("BHS|^~\\&\r"), F.array_join(ordered, "\r"), F.lit("\rBTS|"), F.count("*").cast("string"), F.lit("\r")).alias("raw"))
 

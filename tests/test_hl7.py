@@ -296,3 +296,13 @@ def test_templates_share_rows_by_weight(spark):
     for source in ("NoSuchKind", "DuplicateDelims"):
         with pytest.raises(generate.TemplateError):
             generate.generate(spark, {"segments": ["MSH|^~\\&|x"], "values": {"MSH.3": [source]}}, 1, 1)
+
+
+def test_batches_of_bounded_size(spark):
+    rows = spark.range(25).select((F.col("id") % 2).alias("who"), F.col("id").alias("ordinal"), F.concat(F.lit("MSH|^~\\&|A"), F.col("id").cast("string")).alias("raw"))
+    made = batch.write_batch(rows, "who", size=5)
+    found = made.select(F.concat_ws("/", "who", "part").alias("file_id"), "raw")
+    checked = {r["file_id"]: (r["messages"], r["error"]) for r in batch.check(found).collect()}
+    assert checked == {"0/0": (5, None), "0/1": (5, None), "0/2": (3, None), "1/0": (5, None), "1/1": (5, None), "1/2": (2, None)}
+    first = made.filter("who = 0 AND part = 1").first()["raw"]
+    assert [x for x in first.split("\r") if x.startswith("MSH")] == [f"MSH|^~\\&|A{i}" for i in (10, 12, 14, 16, 18)]
