@@ -10,12 +10,15 @@ from __future__ import annotations
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from hatlake.llm.common import delete_path, shared_path, ship_package, table
+from hatlake.llm.common import delete_path, shared_path, ship_package, small_batches, table
 from hatlake.llm.line_dedup import drop_boilerplate
 from hatlake.llm.near_dedup import near_dedup
 from hatlake.llm.packing import pack
 from hatlake.llm.quality import quality_filter
 
+#: Pieces in a generation of a packing worker's memo. Spark keeps the workers while the next stages run.
+MEMO_PIECES = 100_000
+
 #: Near-duplicate classes and token ids aren't for SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
@@ -47,7 +50,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Other columns pass, whatever their names.
     """
     ship_package(spark)
-    return near_dedup(docs)
+    with small_batches(spark):
+        return near_dedup(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     each. Other columns aren't read.
     """
     ship_package(spark)
-    return pack(docs, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN)
+    with small_batches(spark):
+        return pack(docs, vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, memo_pieces=MEMO_PIECES)
 
 
 STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("packing", packing_stage)]

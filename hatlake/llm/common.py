@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker takes at once; bounds memory, not results.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch in the pipeline, whose stages share the executors' memory; a longer row goes alone.
+BATCH_BYTES = 4 << 20
 #: The white space of every contract here, as a Java and a Python character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -71,6 +74,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> Iterator[None]:
+    """What is run inside sends Python workers Arrow batches of about ``n_bytes`` at most; then the session's setting is back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, for tables that are written and read back."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

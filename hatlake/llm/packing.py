@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import ROWS_AT_ONCE
 from .common import materialise, slices, text_of
-from .tokens import encoder_for
+from .tokens import MEMO_PIECES, encoder_for
 
 #: Pieces in a group on average. It bounds the memory of a task; more pieces leave less padding.
 GROUP_PIECES = 8192
@@ -57,8 +57,9 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, pattern: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, pattern: str, capacity: int, end_id: int, with_ids: bool, memo_pieces: int | None = None) -> Iterator[pa.RecordBatch]:
     encoder, end = encoder_for(path, pattern), int(end_id).to_bytes(4, "little")
+    encoder.keep(MEMO_PIECES if memo_pieces is None else memo_pieces)
     for batch in slices(batches, 1, ROWS_AT_ONCE):
         rows: list[tuple] = []
         for key, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist()), strict=True):
@@ -73,6 +74,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, pattern: str, capacity
         if with_ids:
             out["ids"] = pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in columns[5]], pa.list_(pa.int32()))
         yield pa.record_batch(out)
+    if memo_pieces is not None:
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
 
 
 def _pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -82,16 +86,17 @@ def _pack_group(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return group.assign(sequence_id=group["group"].to_numpy() * (1 << 32) + bins, offset=offsets).drop(columns=["group", "draw"])
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False, seed: int = 11) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False, seed: int = 11, memo_pieces: int | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
     A null or empty text is its end id alone. Repeated rows and null ids are packed like others, since
     groups are drawn at random and not by id. Other columns of ``docs`` aren't read. An empty table
-    gives no rows. Offsets inside a sequence have no gaps.
+    gives no rows. Offsets inside a sequence have no gaps. With ``memo_pieces`` a worker's memo has so many
+    pieces in a generation and is dropped after each task; it changes memory and time, not results.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    job = functools.partial(_pieces, path=path, pattern=pattern, capacity=capacity, end_id=end_id, with_ids=with_ids)
+    job = functools.partial(_pieces, path=path, pattern=pattern, capacity=capacity, end_id=end_id, with_ids=with_ids, memo_pieces=memo_pieces)
     pieces = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(job, schema)
     pieces = materialise(pieces.withColumn("draw", F.rand(seed)))
     groups = max(1, -(-pieces.count() // group_pieces))

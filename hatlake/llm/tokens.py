@@ -87,7 +87,7 @@ class _Memo(dict):
     """Ids of pieces, filled on demand; a second generation takes over when the first is full."""
 
     def __init__(self, make):
-        self.make, self.old = make, {}
+        self.make, self.old, self.most = make, {}, MEMO_PIECES
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -98,10 +98,14 @@ class _Memo(dict):
         return ids
 
     def turn(self) -> None:
-        if len(self) > MEMO_PIECES:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Encoder:
     """Encodes by a tokenizer's merge model, within each match of ``pattern``.
@@ -170,6 +174,15 @@ class Encoder:
             self.pre.turn()
         return out
 
+    def keep(self, pieces: int) -> None:
+        """From now on each generation of a memo has about so many pieces at most."""
+        self.words.most = self.pre.most = pieces
+
+    def forget(self) -> None:
+        """Drop the memos: a worker that Spark keeps for later tasks then holds the vocabulary only."""
+        self.words.forget()
+        self.pre.forget()
+
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hatlake.llm import common, components, lm, near_dedup, rollups, tokens, warc
+from hatlake.llm import common, components, lm, near_dedup, packing, rollups, tokens, warc
 
 JSON = P.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node string"
@@ -412,6 +413,26 @@ def test_pipeline_packs_empty_texts(spark):
     assert sorted((r["doc_id"], r["length"] == 1) for r in packed) == [(0, False), (1, True)]
 
 
+def test_pipeline_workers_give_memory_back(spark):
+    """Workers get small Arrow batches and drop their memo of pieces; both change no result."""
+    batch = pa.record_batch({"id": [1, 2], "text": ["ein zwei drei", " ".join(f"w{i}" for i in range(500))]})
+    encoder = tokens.encoder_for(JSON, P.PATTERN)
+    plain, lean = ([x.to_pylist() for x in packing._pieces([batch], JSON, P.PATTERN, 64, 1, True, most)] for most in (None, 100))
+    assert plain == lean and not encoder.words and not encoder.pre and not encoder.words.old and not encoder.pre.old
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, used, pack = spark.conf.get(key), [], corpus_pipeline.pack
+    frame = docs(spark, [(i, "a text " * 9) for i in range(3)])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "pack", lambda *args, **more: used.append((spark.conf.get(key), more["memo_pieces"])) or pack(*args, **more))
+        corpus_pipeline.packing_stage(spark, frame, "")
+    assert used == [(str(common.BATCH_BYTES), corpus_pipeline.MEMO_PIECES)] and spark.conf.get(key) == before
+    rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches)
+    with common.small_batches(spark):
+        most = common.materialise(rows.mapInArrow(sizes, "n long")).agg(F.max("n")).first()[0]
+    assert most < 2 * common.BATCH_BYTES
+
+
 def test_pipeline(spark):
     rng = random.Random(19)
     line = "This line is on all of the sites"
